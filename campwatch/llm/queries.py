@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from campwatch.llm import exact_dedup, mixing
+from campwatch.llm import exact_dedup, mixing, near_join
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_exact_dedup": exact_dedup.op2,
+    "op10_ngram_jaccard": near_join.op10,
 }
 
 ORACLES = {
