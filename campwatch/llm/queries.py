@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from campwatch.llm import exact_dedup, mixing, near_join
+from campwatch.llm import chat_format, exact_dedup, media, mixing, near_join, packing, token_counts
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_exact_dedup": exact_dedup.op2,
+    "op3_token_counts": token_counts.op3,
+    "op6_pack_sequences": packing.op6,
+    "op7_audio_columns": media.op7,
+    "op9_chat_format": chat_format.op9,
     "op10_ngram_jaccard": near_join.op10,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op9_chat_format": chat_format.OP9_SQL,
 }
