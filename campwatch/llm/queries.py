@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from campwatch.llm import chat_format, exact_dedup, media, mixing, near_join, packing, token_counts
+from campwatch.llm import (
+    chat_format,
+    exact_dedup,
+    media,
+    mixing,
+    near_join,
+    packing,
+    quality,
+    token_counts,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_mix_sources": mixing.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_token_counts": token_counts.op3,
+    "op4_warc_history": warc.op4,
+    "op5_quality_resample": quality.op5,
     "op6_pack_sequences": packing.op6,
     "op7_audio_columns": media.op7,
+    "op8_toxicity_chain": toxicity.op8,
     "op9_chat_format": chat_format.op9,
     "op10_ngram_jaccard": near_join.op10,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_warc_history": warc.OP4_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
 }
