@@ -13,9 +13,10 @@ The order puts shingles that many texts share last; it only affects speed.
 
 Inside a bucket only what components need is compared: first every member
 against a few leaders, then members that the first links left in different
-components, through the tree. No group is expanded into all its pairs, and no
-link between different components is lost. Large buckets are cut into blocks,
-and block pairs go to separate tasks.
+components: directly in buckets of a few members, through trees in larger
+ones. No group is expanded into all its pairs, and no link between different
+components is lost. Large buckets are cut into blocks, and block pairs go to
+separate tasks. Every pair passes the bound before its sets are fetched.
 
 Equal sets are one node, found by a 128-bit set hash, so exact copies never
 meet in a bucket.
@@ -39,13 +40,18 @@ from campwatch.llm import _kernels as K
 from campwatch.llm._common import forget, saved, table
 from campwatch.llm.graph import components
 
-GROUPS = 64
+#: A power of two. More groups bound the overlap more sharply.
+GROUPS = 256
 #: Shingles kept to order the rest: those found most often. A bound on what is broadcast.
 COMMON = 1 << 18
 #: Documents that must share a shingle for it to be ordered last.
 COMMON_FROM = 16
 BLOCK_ROWS = 256
 LEAF = 8
+#: Buckets up to this many members are paired directly; larger ones through trees.
+SMALL_BUCKET = 12
+#: Each salt puts bucket members in another order, whose first is a leader.
+LEADER_SALTS = (0, 0x5DEECE66D1F3A7C1, 0x2545F4914F6CDD1D)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -64,6 +70,20 @@ def node_of(shingles: np.ndarray) -> bytes:
     return np.array([one, two], ">u8").tobytes()
 
 
+def count_vector(shingles: np.ndarray) -> bytes:
+    """Shingles per group; the last representable count stands for any number above it."""
+    groups = (shingles >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64)
+    counts = np.bincount(groups, minlength=GROUPS)
+    return np.minimum(counts, 255).astype("u1").tobytes()
+
+
+def _points(vectors: pa.Array) -> np.ndarray:
+    flat = np.frombuffer(b"".join(vectors.to_pylist()), "u1").reshape(-1, GROUPS)
+    points = flat.astype(np.int32)
+    points[points == 255] = 1 << 22
+    return points
+
+
 def _count_common(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -102,8 +122,7 @@ def _describe(k: int, num: int, den: int, common):
                 n = len(own)
                 size.append(n)
                 node.append(node_of(own) if n else None)
-                groups = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-                cv.append(groups.astype("<u4").tobytes())
+                cv.append(count_vector(own))
                 first = n - (num * n + den - 1) // den + 1 if n else 0
                 if n and len(often):
                     at = np.minimum(np.searchsorted(often, own), len(often) - 1)
@@ -211,52 +230,78 @@ class CountTree:
 
 
 def _tree_pairs(num: int, den: int):
-    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        counts = np.frombuffer(b"".join(cell.column("cv").to_pylist()), "<u4").reshape(-1, GROUPS)
-        sizes = cell.column("n").to_numpy()
-        root = np.array(cell.column("root").to_pylist(), dtype=object)
-        node = np.array(cell.column("node").to_pylist(), dtype=object)
-        block, low, high = (cell.column(c).to_numpy() for c in ("block", "low", "high"))
-        left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block == high)
+        counts = _points(cell.column("cv"))
+        size, root, nid, block, low, high, sig = (
+            cell.column(c).to_numpy() for c in ("n", "root", "nid", "block", "low", "high", "sig")
+        )
+        shared = cell.column("open_sigs").to_pylist()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(left) or not len(right):
             return out.empty_table()
-        one = CountTree(counts[left], sizes[left])
-        two = one if low[0] == high[0] else CountTree(counts[right], sizes[right])
+        one = CountTree(counts[left], size[left])
+        two = one if low[0] == high[0] else CountTree(counts[right], size[right])
         i, j = one.pairs(two, num, den)
         i, j = left[i], right[j]
-        apart = root[i] != root[j]
+        apart = (root[i] != root[j]) & (nid[i] < nid[j] if one is two else True)
         i, j = i[apart], j[apart]
-        swap = node[i] > node[j]
-        a, b = np.where(swap, node[j], node[i]), np.where(swap, node[i], node[j])
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=out)
+        # A pair that meets in several buckets is given by the first of them.
+        own, held = sig[0], [frozenset(x) for x in shared]
+        first = [min(held[x] & held[y]) == own for x, y in zip(i, j, strict=True)]
+        i, j = i[first], j[first]
+        a, b = nid[i], nid[j]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
+
+    return run
+
+
+def _bound(num: int, den: int):
+    """Drop pairs whose summed coordinate minima miss the overlap they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = np.minimum(_points(batch.column(2)), _points(batch.column(3))).sum(1, dtype=np.int64)
+            good = pa.array(bound * (num + den) >= num * batch.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"]
+            )
 
     return run
 
 
 def _verify(df, pairs, nodes, id_col, text_col, k, num, den, name):
-    """The pairs that reach the threshold, measured on full sets of shingles."""
-    wanted = saved(
-        pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-nodes"
+    """The pairs that reach the threshold: by the bound, then on full sets of shingles."""
+    bounded = saved(
+        pairs.join(nodes.select(F.col("nid").alias("a"), F.col("cv").alias("ca"), F.col("n").alias("na")), "a")
+        .join(nodes.select(F.col("nid").alias("b"), F.col("cv").alias("cb"), F.col("n").alias("nb")), "b")
+        .select("a", "b", "ca", "cb", F.col("na") + F.col("nb"))
+        .mapInArrow(_bound(num, den), "a long, b long"),
+        f"{name}-bounded",
     )
-    ids = nodes.join(wanted, "node").select(F.col("row_id").alias("__id")).distinct()
+    ends = bounded.select(F.col("a").alias("nid")).union(bounded.select("b")).distinct()
+    wanted = saved(nodes.select("nid", "node", "row_id").join(ends, "nid"), f"{name}-nodes")
+    ids = wanted.select(F.col("row_id").alias("__id")).distinct()
     texts = df.select(id_col, text_col).join(
         ids, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi"
     )
     full = texts.mapInArrow(_shingles(k), "node binary, full binary")
-    full = saved(full.join(wanted, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
-    both = pairs.join(full.select(F.col("node").alias("a"), F.col("full").alias("fa")), "a").join(
-        full.select(F.col("node").alias("b"), F.col("full").alias("fb")), "b"
+    full = saved(
+        full.join(wanted.select("node", "nid"), "node").dropDuplicates(["nid"]).select("nid", "full"),
+        f"{name}-sets",
+    )
+    both = bounded.join(full.select(F.col("nid").alias("a"), F.col("full").alias("fa")), "a").join(
+        full.select(F.col("nid").alias("b"), F.col("full").alias("fb")), "b"
     )
     links = saved(
-        both.select("a", "b", "fa", "fb").mapInArrow(_overlap(num, den), "a binary, b binary"),
+        both.select("a", "b", "fa", "fb").mapInArrow(_overlap(num, den), "a long, b long"),
         f"{name}-links",
     )
-    forget(full)
-    forget(wanted)
+    for done in (bounded, wanted, full):
+        forget(done)
     return links
 
 
@@ -294,81 +339,89 @@ def jaccard_components(
         rows.where("n > 0").groupBy("node").agg(
             F.min("row_id").alias("row_id"), F.any_value("n").alias("n"),
             F.any_value("cv").alias("cv"), F.any_value("sigs").alias("sigs"),
-        ),
+        ).withColumn("nid", F.monotonically_increasing_id()),
         "nodes",
     )
-    entries = nodes.select(F.explode("sigs").alias("sig"), "node", "n")
-    lead = saved(
-        entries.groupBy("sig")
-        .agg(
-            F.count("*").alias("members"),
-            F.min(F.struct("node", "n")).alias("one"),
-            F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("two"),
-            F.min(F.struct("n", "node")).alias("three"),
-            F.max(F.struct("n", "node")).alias("four"),
-        )
-        .where("members > 1")
-        .select(
-            "sig",
-            "members",
-            F.array_distinct(
-                F.array(*[F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.n").alias("n"))
-                          for c in ("one", "two", "three", "four")])
-            ).alias("leaders"),
+    entries = nodes.select(F.explode("sigs").alias("sig"), "nid")
+    buckets = saved(
+        entries.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1"), "buckets"
+    )
+    every = saved(entries.join(buckets, "sig"), "every-member")
+    # Buckets with the same members would give the same pairs: one of them stays.
+    # Their 128-bit set hashes tell them apart.
+    alike = every.groupBy("sig", "members").agg(
+        F.bit_xor(F.xxhash64("nid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "nid")).alias("h2")
+    )
+    kept = alike.groupBy("members", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
+    members = saved(
+        every.join(saved(kept, "kept-buckets"), "sig", "left_semi").join(nodes.select("nid", "n"), "nid"),
+        "members",
+    )
+    firsts = [F.min(F.col("nid").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in LEADER_SALTS]
+    leaders = members.groupBy("sig").agg(F.array(*firsts).alias("leaders"))
+    leaders = saved(
+        leaders.select("sig", F.explode(F.array_distinct("leaders")).alias("leader")).join(
+            nodes.select(F.col("nid").alias("leader"), F.col("n").alias("ln")), "leader"
         ),
-        "buckets",
-    )
-    members = saved(entries.join(lead, "sig"), "members")
-    close = (F.col("n") * den >= F.col("ln") * num) & (F.col("ln") * den >= F.col("n") * num)
-    star = (
-        members.select("node", "n", F.explode("leaders").alias("l"))
-        .select("node", "n", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"))
-        .where((F.col("node") != F.col("leader")) & close)
-        .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        .distinct()
+        "leaders",
+    )
+    star = saved(
+        members.join(leaders, "sig")
+        .where((F.col("nid") != F.col("leader")) & _near("n", "ln", num, den))
+        .select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b"))
+        .distinct(),
+        "star",
     )
-    star = saved(star, "star")
     links = _verify(df, star, nodes, id_col, text_col, k, num, den, "star")
     found = saved(components(links), "first-components")
-    rooted = members.join(found, "node", "left").select(
-        "sig", "members", "node", "n", F.coalesce("root", "node").alias("root")
+    rooted = members.join(found.withColumnRenamed("node", "nid"), "nid", "left").select(
+        "sig", "members", "nid", "n", F.coalesce("root", "nid").alias("root")
     )
+    # Buckets of up to as many members as leaders have met in full.
     split = saved(
-        rooted.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-        .where("r1 != r2").select("sig"),
+        rooted.where(F.col("members") > len(LEADER_SALTS)).groupBy("sig")
+        .agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("sig"),
         "split",
     )
-    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    open_rows = (
-        rooted.join(split, "sig")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(nodes.select("node", "cv"), "node")
+    open_rows = saved(rooted.join(split, "sig"), "open")
+    few = open_rows.where(F.col("members") <= SMALL_BUCKET)
+    mate = few.select(
+        "sig", F.col("nid").alias("nid2"), F.col("n").alias("n2"), F.col("root").alias("root2")
+    )
+    direct = (
+        few.join(mate, "sig")
+        .where((F.col("nid") < F.col("nid2")) & (F.col("root") != F.col("root2")) & _near("n", "n2", num, den))
+        .select(F.col("nid").alias("a"), F.col("nid2").alias("b"))
+    )
+    many = open_rows.where(F.col("members") > SMALL_BUCKET)
+    of_node = many.groupBy("nid").agg(F.collect_list("sig").alias("open_sigs"))
+    cells = (
+        many.join(of_node.join(nodes.select("nid", "cv"), "nid"), "nid")
+        .withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate"))
         .select(
-            "sig", "node", "n", "root", "cv", "block",
+            "sig", "nid", "n", "root", "cv", "open_sigs", "block",
             F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"),
         )
     )
-    more = saved(
-        open_rows.groupBy("sig", "low", "high")
-        .applyInArrow(_tree_pairs(num, den), "a binary, b binary")
-        .distinct(),
-        "tree-pairs",
+    trees = cells.groupBy("sig", "low", "high").applyInArrow(
+        _tree_pairs(num, den), "a long, b long"
     )
-    further = _verify(df, more, nodes, id_col, text_col, k, num, den, "tree")
+    more = saved(direct.union(trees).distinct().join(star, ["a", "b"], "left_anti"), "more")
+    further = _verify(df, more, nodes, id_col, text_col, k, num, den, "more")
     final = saved(components(links.union(further)), "components")
-    labels = final.join(nodes.select("node", "row_id"), "node")
+    labels = final.join(nodes.select(F.col("nid").alias("node"), "row_id"), "node")
     smallest = labels.groupBy("root").agg(F.min("row_id").alias("component_id"))
     named = saved(
-        nodes.select("node", "row_id")
-        .join(final, "node", "left")
+        nodes.select("node", "nid", "row_id")
+        .join(final.select(F.col("node").alias("nid"), "root"), "nid", "left")
         .join(smallest, "root", "left")
         .select("node", F.when(F.col("root").isNull(), F.col("row_id"))
                 .otherwise(F.col("component_id")).alias("component_id")),
         "named",
     )
-    for done in (members, lead, split, star, more):
+    for done in (buckets, every, members, leaders, star, split, open_rows, more, nodes):
         forget(done)
     slim = rows.select("row_id", "n", "node")
     return slim.where("n > 0").join(named, "node").select(
@@ -376,6 +429,11 @@ def jaccard_components(
     ).union(slim.where("n = 0").select("row_id", "n", "row_id"))
 
 
+def _near(one: str, two: str, num: int, den: int):
+    """Whether two set sizes can reach the threshold at all."""
+    return (F.col(one) * den >= F.col(two) * num) & (F.col(two) * den >= F.col(one) * num)
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``df`` with the row of the smallest id of each component, columns unchanged."""
     from pyspark.sql import Window
