@@ -88,6 +88,44 @@ def refine(df: DataFrame, prior: Column | None = None, variant: str = "server")
     return out.withColumn("tier", F.when(~escalates, 0).when(top < TIER2, 1).otherwise(2))
 
 
+def candidate_rows(df: DataFrame, keys: list[str], variant: str = "server") -> DataFrame:
+    """The candidates of ``refine`` as rows, from ``scan``'s output, without session flags.
+
+    Whatever concerns the whole message (how many tactics, whether calming words
+    contradict urgency) is settled before hits become rows, so plans stay flat.
+    ``keys, norm, tactic, spans, base, n_candidates``.
+    """
+    least = 2 if variant == "edge" else 3
+
+    def hits_of(tactic: str) -> Column:
+        return F.aggregate(
+            "hits", F.lit(0), lambda n, h: n + F.when(h["tactic"] == tactic, F.size(h["spans"])).otherwise(0)
+        )
+
+    # A filter here would be pushed below the scan and repeat it; an empty array is not.
+    whole = df.withColumn("hits", F.when(F.col("tier0") >= ESCALATE, F.col("hits"))).select(
+        *keys, "norm", "hits", hits_of(T.CALMING).alias("calm"), hits_of(T.URGENCY).alias("urgent"),
+        F.size("hits").alias("n"),
+    )
+    whole = whole.withColumn("scored", F.col("n") - F.when(F.col("calm") > 0, 1).otherwise(0))
+
+    def base(count: Column, extra: Column) -> Column:
+        return F.least(F.lit(1.0), F.least(F.lit(1.0), F.lit(0.22) * count) + extra)
+
+    lift = F.when(F.col("scored") >= least, 0.10).otherwise(0.0)
+    calm_base = F.least(F.lit(1.0), F.lit(0.22) * F.col("calm"))
+    dropped = (F.col("urgent") > 0) & (calm_base >= base(F.col("urgent"), lift) * 0.7)
+    whole = whole.withColumn("dropped", dropped).select(
+        *keys, "norm", "scored", "dropped",
+        (F.col("scored") - F.col("dropped").cast("int")).alias("n_candidates"), F.inline("hits"),
+    )
+    gone = (F.col("tactic") == T.CALMING) | (F.col("dropped") & (F.col("tactic") == T.URGENCY))
+    extra = F.when(F.col("scored") < least, 0.0).when(F.col("tactic") == T.PAYMENT, 0.20).otherwise(0.10)
+    return whole.where(~gone).select(
+        *keys, "norm", "tactic", "spans", base(F.size("spans"), extra).alias("base"), "n_candidates"
+    )
+
+
 def blend(df: DataFrame, scores: DataFrame, keys: list[str], missing_is_zero: bool = False) -> DataFrame:
     """Average candidates' bases with model confidences, where a model gave one.
 
@@ -103,7 +141,7 @@ def blend(df: DataFrame, scores: DataFrame, keys: list[str], missing_is_zero: bo
         given = F.try_element_at("__model", c["tactic"])
         if missing_is_zero:
             given = F.when(F.col("__model").isNotNull(), F.coalesce(given, F.lit(0.0)))
-        half = F.least(F.lit(1.0), F.lit(0.5) * c["base"] + F.lit(0.5) * given)
+        half = F.when(given.isNotNull(), F.least(F.lit(1.0), F.lit(0.5) * c["base"] + F.lit(0.5) * given))
         return F.struct(c["tactic"].alias("tactic"), c["spans"].alias("spans"), F.coalesce(half, c["base"]).alias("base"))
 
     return df.join(by_row, keys, "left").withColumn("candidates", F.transform("candidates", mixed)).drop("__model")

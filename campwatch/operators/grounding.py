@@ -132,7 +132,49 @@ def explain(spans: Column) -> Column:
 
 
 def flags(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per flag, from rows with ``results``."""
-    return df.select(*keys, F.explode("results").alias("r")).select(
-        *keys, "r.tactic", "r.confidence", "r.verdict", "r.reason", explain(F.col("r.spans")).alias("evidence")
+    """One row per candidate with its confidence, verdict, reason and quoted evidence.
+
+    The same gate as ``entail`` and ``gate`` on flat columns, for rows from
+    ``cascade.candidate_rows`` (which never carry the calming tactic).
+    """
+    lift = F.least(F.lit(0.30), F.lit(0.15) * F.greatest(F.lit(0), F.col("n_candidates") - 1))
+    rows = df.select(*keys, "norm", lift.alias("lift"), "tactic", "spans", "base")
+    hyp = F.when(X.is_hypothetical(F.col("norm")), 0.55).otherwise(1.0)
+    neg = F.when(X.has_negation(F.lower("norm"), F.col("spans")), 0.15).otherwise(1.0)
+    rows = rows.select("*", hyp.alias("hyp"), neg.alias("neg"), specificity(F.col("spans")).alias("spec"))
+    own = F.round(F.least(F.lit(1.0), F.col("base") * F.col("spec") * F.col("hyp") * F.col("neg")), 4)
+    rows = rows.withColumn("own", own)
+    rows = rows.withColumn("lifted", (F.col("lift") > 0) & (F.col("own") < CEILING))
+    more = F.round(F.least(F.lit(1.0), F.col("own") + F.col("lift")), 4)
+    rows = rows.withColumn("confidence", F.when(F.col("lifted"), more).otherwise(F.col("own")))
+    verdict = (
+        F.when(F.col("confidence") < CEILING, "abstained_entailment_failed")
+        .when(F.col("confidence") < FLOOR, "abstained_low_confidence")
+        .otherwise("surfaced")
+    )
+    reason = (
+        F.when((F.col("confidence") >= CEILING) & F.col("lifted"), "corroborated")
+        .when(F.col("confidence") >= CEILING, "entailed")
+        .when(F.col("neg") < 1, "negated")
+        .when(F.col("hyp") < 1, "hypothetical")
+        .otherwise("fragmentary")
     )
+    return rows.select(
+        *keys, "tactic", "confidence", verdict.alias("verdict"), reason.alias("reason"),
+        explain(F.col("spans")).alias("evidence"),
+    )
+
+
+def edge_flags(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Surfaced flags of the on-device gate, unrounded until the end, on flat columns."""
+    lift = F.least(F.lit(0.30), F.lit(0.15) * F.greatest(F.lit(0), F.col("n_candidates") - 1))
+    rows = df.select(*keys, "norm", lift.alias("lift"), "tactic", "spans", "base")
+    hyp = F.when(X.is_hypothetical(F.col("norm")), 0.55).otherwise(1.0)
+    neg = F.when(X.has_negation(F.col("norm"), F.col("spans")), 0.15).otherwise(1.0)
+    rows = rows.select("*", hyp.alias("hyp"), neg.alias("neg"), specificity(F.col("spans")).alias("spec"))
+    own = F.least(F.lit(1.0), F.col("base") * F.col("spec") * F.col("hyp") * F.col("neg"))
+    rows = rows.withColumn("own", own)
+    more = F.least(F.lit(1.0), F.col("own") + F.col("lift"))
+    conf = F.when((F.col("lift") > 0) & (F.col("own") < CEILING), more).otherwise(F.col("own"))
+    rows = rows.withColumn("confidence", conf).where(F.col("confidence") >= CEILING)
+    return rows.select(*keys, "tactic", F.round("confidence", 4).alias("confidence"))

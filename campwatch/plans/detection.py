@@ -41,6 +41,9 @@ PHRASES = (
 )
 
 
+KEYS = ["conv_id", "turn"]
+
+
 def turns(spark: SparkSession, sf_dir: str, inject: bool = True) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     if not inject:
@@ -50,9 +53,17 @@ def turns(spark: SparkSession, sf_dir: str, inject: bool = True) -> DataFrame:
     return df.withColumn("text", F.concat("text", F.lit(" "), phrase))
 
 
+def routed(spark: SparkSession, sf_dir: str, inject: bool = True) -> DataFrame:
+    return cascade.refine(cascade.scan(turns(spark, sf_dir, inject)))
+
+
 def gated(spark: SparkSession, sf_dir: str, inject: bool = True) -> DataFrame:
-    scored = cascade.refine(cascade.scan(turns(spark, sf_dir, inject)))
-    return grounding.gate(grounding.entail(scored))
+    return grounding.gate(grounding.entail(routed(spark, sf_dir, inject)))
+
+
+def server_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cascade.candidate_rows(cascade.scan(turns(spark, sf_dir)), KEYS)
+    return grounding.flags(rows, KEYS)
 
 
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +101,7 @@ def cascade_route(spark, sf_dir):
 
 
 def gate_flags(spark, sf_dir):
-    return grounding.flags(gated(spark, sf_dir), ["conv_id", "turn"]).select(
+    return server_flags(spark, sf_dir).select(
         "conv_id", "turn", "tactic", "confidence", "verdict", "reason"
     )
 
@@ -112,7 +123,8 @@ def benign_path(spark, sf_dir):
 
 
 def cascade_edge_variant(spark, sf_dir):
-    return grounding.flags(edge(spark, sf_dir), ["conv_id", "turn"]).where("verdict = 'surfaced'").select(
+    rows = cascade.candidate_rows(cascade.scan(turns(spark, sf_dir), variant="edge"), KEYS, "edge")
+    return grounding.edge_flags(rows, KEYS).select(
         "conv_id", "turn", "tactic", F.round("confidence", 3).alias("confidence")
     )
 
@@ -143,7 +155,7 @@ def turn_index(spark, sf_dir):
 
 
 def conversation_summary(spark, sf_dir):
-    kept = grounding.flags(gated(spark, sf_dir), ["conv_id", "turn"]).where("verdict = 'surfaced'")
+    kept = server_flags(spark, sf_dir).where("verdict = 'surfaced'")
     flags = F.transform("flags", lambda f: F.concat_ws(":", f["turn"].cast("string"), f["tactic"]))
     return conversation.summary(kept).select("conv_id", F.array_join(flags, ",").alias("flags"))
 
