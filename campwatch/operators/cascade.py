@@ -117,7 +117,7 @@ def candidate_rows(df: DataFrame, keys: list[str], variant: str = "server") -> D
     dropped = (F.col("urgent") > 0) & (calm_base >= base(F.col("urgent"), lift) * 0.7)
     whole = whole.withColumn("dropped", dropped).select(
         *keys, "norm", "scored", "dropped",
-        (F.col("scored") - F.col("dropped").cast("int")).alias("n_candidates"), F.inline("hits"),
+        (F.col("scored") - F.col("dropped").cast("int")).alias("n_candidates"), F.inline_outer("hits"),
     )
     gone = (F.col("tactic") == T.CALMING) | (F.col("dropped") & (F.col("tactic") == T.URGENCY))
     extra = F.when(F.col("scored") < least, 0.0).when(F.col("tactic") == T.PAYMENT, 0.20).otherwise(0.10)

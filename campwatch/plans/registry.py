@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campwatch.plans import detection
+from campwatch.plans import detection, intel
 
-_MODULES = (detection,)
+_MODULES = (detection, intel)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
