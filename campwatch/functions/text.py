@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from campwatch.functions import taxonomy as T
 
@@ -16,7 +17,7 @@ PHONE = r"\+?\d(?:[\d\-\s().]{6,})\d"
 WALLET = r"\b(?:bc1[a-z0-9]{20,}|0x[a-fA-F0-9]{40}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _nfkc(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, form="NFKC")
 
