@@ -41,9 +41,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(x: Rows, y: np.ndarray, l2: float = 1e-3, steps: int = 150, rate: float = 0.08):
-    """Weights of binary features, of dense features, and the intercept (Adam, full batch)."""
+def fit(x: Rows, y: np.ndarray, ridge: float = 1.0, steps: int = 150, rate: float = 0.08):
+    """Weights of binary features, of dense features, and the intercept (Adam, full batch).
+
+    The penalty is ``ridge`` against the summed loss, so few rows are shrunk more.
+    """
     n = max(len(y), 1)
+    l2 = ridge / n
     share = min(max(y.mean() if len(y) else 0.0, 1e-3), 1 - 1e-3)
     theta = np.zeros(x.width + x.dense.shape[1] + 1)
     theta[-1] = np.log(share / (1 - share))
@@ -53,7 +57,7 @@ def fit(x: Rows, y: np.ndarray, l2: float = 1e-3, steps: int = 150, rate: float
     for t in range(1, steps + 1):
         w, v, b = theta[: x.width], theta[x.width : -1], theta[-1]
         gw, gv, gb = x.back((sigmoid(x.score(w, v, b)) - y) / n)
-        g = np.concatenate([gw + l2 * w / 10, gv + l2 * v, [gb]])
+        g = np.concatenate([gw + l2 * w, gv + l2 * v, [gb]])
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return theta[: x.width], theta[x.width : -1], float(theta[-1])
