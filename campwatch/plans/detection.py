@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campwatch.functions import taxonomy as T
+from campwatch.functions import evidence, model_output
 from campwatch.functions import text as X
 from campwatch.operators import cascade, conversation, evaluation, grounding, voice
 
@@ -218,6 +219,34 @@ def equity_regressions(spark, sf_dir):
     return evaluation.regressions(base, worse, "role").select("role", F.round("regression", 6).alias("regression"))
 
 
+def flag_explanations(spark, sf_dir):
+    kept = server_flags(spark, sf_dir).where("verdict = 'surfaced'")
+    return kept.select(*KEYS, "tactic", evidence.explain_flag(F.col("tactic"), F.col("evidence")).alias("why"), evidence.tip(F.col("tactic")).alias("tip"))
+
+
+def citations_rendered(spark, sf_dir):
+    rows = cascade.scan(turns(spark, sf_dir)).select(*KEYS, F.flatten(F.transform("hits", lambda h: h["spans"])).alias("spans"))
+    cited = F.transform("spans", lambda s: evidence.cite_span(s, F.col("turn")))
+    return rows.select(*KEYS, evidence.render(cited).alias("lines"))
+
+
+def prompt_fit(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.length(X.fit_prompt(F.col("text"))).cast("long").alias("chars"))
+
+
+def model_replies(spark, sf_dir):
+    """Assessments read from replies in three shapes, with noise around them."""
+    one = F.concat(F.lit('{"tactic_id": "urgency_injection", "confidence": '), (F.col("turn") / 2).cast("string"), F.lit(', "rationale": " rush "}'))
+    reply = (
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Sure! ["), one, F.lit(', {"tactic_id": "unknown", "confidence": 1}] done')))
+        .when(F.col("turn") % 3 == 1, F.concat(F.lit('{"results": ['), one, F.lit("]}")))
+        .otherwise(F.concat(F.lit("so: "), one))
+    )
+    rows = turns(spark, sf_dir).select(*KEYS, model_output.extract_json(reply).alias("j"))
+    return rows.select(*KEYS, model_output.assessments(F.col("j")).alias("a")).select(*KEYS, F.inline("a"))
+
+
 #: Phrases that are meant as scams.
 SCAMS = (1, 2, 4, 7, 8, 9, 12, 13, 15, 20, 21, 23)
 
@@ -342,6 +371,10 @@ def _oracles() -> dict[str, str]:
         "equity_regressions": f"""{server}, e AS (SELECT role, count(*) FILTER ({_TRUTH} AND surfaced) / count(*) FILTER ({_TRUTH}) AS b,
             count(*) FILTER ({_TRUTH} AND strict) / count(*) FILTER ({_TRUTH}) AS c FROM surf s GROUP BY role)
             SELECT role, round((b - c) / b, 6) AS regression FROM e WHERE b > 0 AND (b - c) / b > 0.05""",
+        "citations_rendered": f"""{base} SELECT l.conv_id, l.turn, coalesce(string_agg('- Message said: "' || cue || '"', chr(10) ORDER BY ord), 'No specific evidence cited.') AS lines
+            FROM low l LEFT JOIN hits h USING (conv_id, turn) GROUP BY 1, 2""",
+        "prompt_fit": "SELECT doc_id, CASE WHEN length(text) > 6000 THEN 6007 ELSE length(text) END AS chars FROM documents",
+        "model_replies": """SELECT conv_id, turn, 'urgency_injection' AS tactic, least(1.0::DOUBLE, turn / 2) AS confidence, 'rush' AS rationale FROM conversations""",
         "edge_server_disagreement": f"""WITH s AS (WITH {_server_sql()} SELECT conv_id, turn, surfaced FROM surf),
             e AS (WITH {_edge_sql()} SELECT conv_id, turn, surfaced FROM esurf)
             SELECT s.surfaced AS server, e.surfaced AS edge, count(*) AS n FROM s JOIN e USING (conv_id, turn) GROUP BY 1, 2""",
@@ -355,6 +388,7 @@ QUERIES = {
         any_surfaced_by_conv, benign_path, cascade_edge_variant, edge_server_disagreement,
         session_compounding, sliding_window_12, turn_index, conversation_summary, voice_compound,
         model_blend, sms_junk, sms_reply, eval_confusion, eval_by_slice, equity_regressions,
+        flag_explanations, citations_rendered, prompt_fit, model_replies,
     )
 }
 ORACLES = _oracles()
