@@ -25,7 +25,7 @@ class Rows:
 
     def with_dense(self, more: np.ndarray) -> Rows:
         out = self.take(np.ones(len(self.counts), bool))
-        out.dense = np.concatenate([self.dense, more.reshape(len(more), -1)], 1)
+        out.dense = np.concatenate([self.dense, more[:, None]], 1)
         return out
 
     def score(self, w: np.ndarray, v: np.ndarray, b: float) -> np.ndarray:
