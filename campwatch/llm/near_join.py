@@ -50,8 +50,11 @@ BLOCK_ROWS = 256
 LEAF = 8
 #: Buckets up to this many members are paired directly; larger ones through trees.
 SMALL_BUCKET = 12
-#: Each salt puts bucket members in another order, whose first is a leader.
-LEADER_SALTS = (0, 0x5DEECE66D1F3A7C1, 0x2545F4914F6CDD1D)
+#: Each salt puts bucket members in another order, whose first is a leader. 0 and -1
+#: give the least and the greatest, so that a bucket has two different leaders at least.
+LEADER_SALTS = (0, -1, 0x5DEECE66D1F3A7C1)
+#: Buckets up to this many members meet in full once two of them have met all others.
+MET = 3
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -377,9 +380,8 @@ def jaccard_components(
     rooted = members.join(found.withColumnRenamed("node", "nid"), "nid", "left").select(
         "sig", "members", "nid", "n", F.coalesce("root", "nid").alias("root")
     )
-    # Buckets of up to as many members as leaders have met in full.
     split = saved(
-        rooted.where(F.col("members") > len(LEADER_SALTS)).groupBy("sig")
+        rooted.where(F.col("members") > MET).groupBy("sig")
         .agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("sig"),
         "split",
     )

@@ -103,6 +103,27 @@ def test_near_join(docs, rows, k, num):
     assert sorted(tuple(-1 if v is None else v for v in r) for r in got) == want
 
 
+def test_near_join_of_buckets_of_three(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(200):
+        w = _words(rng, 23).split()
+        # Any two share 17 or more of their 20 shingles; only the last two link.
+        texts += [" ".join([*w[:20], "x", "y", "z"]), " ".join(w), " ".join([*w[:22], "q"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    # Nodes are numbered by partition: of eight, the upper four differ from the lower in bit 35.
+    own = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in own}
+    try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
+        got = {r["row_id"]: r["component_id"] for r in near_join.jaccard_components(df, k=4, num=85).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == {i: i - (i % 3 == 2) for i in range(len(texts))}
+
+
 def test_tree_bounds_lose_no_pair():
     rng = np.random.default_rng(1)
     counts = rng.poisson(1.5, (150, 16)).astype(np.int32)
