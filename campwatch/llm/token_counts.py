@@ -1,12 +1,14 @@
-"""Exact token counts at every prefix, for sentencepiece models.
+"""Exact token counts at prefixes, for sentencepiece models.
 
 No piece of the model reaches from a non-space character to a following space,
 so the tokens of a text are those of its words (each with the spaces before
 it) one after the other. The count at a word's end is the count at its start
 plus the word's own: a dynamic programme over prefixes whose table answers
 "how many tokens are the first x characters" and "where does a budget end"
-without encoding the text again. The models' own library counts each word,
-once per worker for words seen again.
+without encoding the text again. Inside a word the table has every end of a
+token: no merge crosses one, so a prefix that stops there has just the tokens
+up to it. Only a prefix that stops inside a token has its last word encoded.
+The models' own library cuts each word, once per worker for words seen again.
 
 Defined cases: null text is empty; an empty text has no tokens; repeated rows
 are counted each; an empty table gives an empty result; other columns are
@@ -19,6 +21,7 @@ import bisect
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +57,31 @@ def counter(model: str) -> Memo:
     library = sentencepiece.SentencePieceProcessor(model_file=model)
     if any("▁" in p.lstrip("▁") for p in map(library.id_to_piece, range(len(library)))):
         raise ValueError("a piece of this model spans words")
-    return Memo(lambda word: len(library.encode(word)))
+    return Memo(lambda word: _token_ends(library, word))
+
+
+def _token_ends(library, word: str) -> tuple[int, ...]:
+    """Characters of a word up to the end of each of its tokens.
+
+    The space before the word is not counted. The bytes of one character all
+    end where it ends.
+    """
+    ids = library.encode(word)
+    ends, at, need = [], -1, 0
+    for i in ids:
+        piece = library.id_to_piece(i)
+        if not library.is_byte(i):
+            at += len(piece)
+            ends.append(at)
+            continue
+        if not need:
+            lead = int(piece[3:5], 16)
+            need, at = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), at + 1
+        need -= 1
+        ends.append(at)
+    if ids and at != len(word):
+        raise ValueError("the tokens do not add up to the text")
+    return tuple(ends)
 
 
 def split_words(text: str) -> list[str]:
@@ -68,19 +95,23 @@ def split_words(text: str) -> list[str]:
     return text.split(" ")
 
 
-def _count(memo: Memo, word: str) -> int:
+def _ends(memo: Memo, word: str) -> tuple[int, ...]:
     # The library drops nothing, but gives an empty text no token; a lone space is one.
-    return memo[word] if word else 1
+    return memo[word] if word else (0,)
 
 
-def word_prefixes(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Character offsets of word ends and the token count of the text up to each."""
+def token_prefixes_of(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """Character offsets of token ends and the token count of the text up to each."""
     words = split_words(text)
-    counts = np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
-    lengths = np.fromiter(map(len, words), np.int32, len(words))
-    if len(words):
-        counts[lengths == 0] = 1
-    return np.cumsum(lengths + 1, dtype=np.int64) - 1, np.cumsum(counts, dtype=np.int64)
+    parts = [_ends(memo, w) for w in words]
+    counts = np.fromiter(map(len, parts), np.int64, len(words))
+    starts = np.zeros(len(words), np.int64)
+    np.cumsum(np.fromiter(map(len, words[:-1]), np.int64, max(len(words) - 1, 0)) + 1, out=starts[1:])
+    inside = np.fromiter(chain.from_iterable(parts), np.int64, int(counts.sum()))
+    ends = np.repeat(starts, counts) + inside
+    # Of the bytes of one character the last one counts; the space before a text is no prefix.
+    stays = (np.diff(ends, append=len(text) + 1) > 0) & (ends > 0)
+    return ends[stays], np.flatnonzero(stays) + 1
 
 
 class PrefixTable:
@@ -88,8 +119,9 @@ class PrefixTable:
 
     def __init__(self, text: str, model: str):
         self.text, self.memo = text, counter(model)
-        self.ends, self.counts = (x.tolist() for x in word_prefixes(text, self.memo))
+        self.ends, self.counts = (x.tolist() for x in token_prefixes_of(text, self.memo))
         self.words = split_words(text)
+        self.word_ends = list(accumulate(len(w) + 1 for w in self.words))
 
     def count(self, chars: int) -> int:
         """Tokens of the first ``chars`` characters."""
@@ -98,12 +130,14 @@ class PrefixTable:
         i = bisect.bisect_left(self.ends, chars)
         if i < len(self.ends) and self.ends[i] == chars:
             return self.counts[i]
-        start = self.ends[i - 1] if i else -1
-        base = self.counts[i - 1] if i else 0
-        return base + _count(self.memo, self.words[i][: chars - start - 1])
+        # Inside a token: the last word is cut, and its tokens are others.
+        w = bisect.bisect_right(self.word_ends, chars)
+        start = self.word_ends[w - 1] if w else 0
+        base = self.counts[bisect.bisect_left(self.ends, start - 1)] if w else 0
+        return base + len(_ends(self.memo, self.words[w][: chars - start]))
 
     def fit(self, budget: int) -> int:
-        """Characters of the longest prefix of whole words within ``budget`` tokens."""
+        """Characters of the longest prefix of whole tokens within ``budget`` tokens."""
         i = bisect.bisect_right(self.counts, budget)
         return self.ends[i - 1] if i else 0
 
@@ -122,7 +156,7 @@ def _prefixes(model: str):
             n_bytes, ends, tokens = [], [], []
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or ""
-                e, t = word_prefixes(text, memo)
+                e, t = token_prefixes_of(text, memo)
                 n_bytes.append(len(text.encode()))
                 ends.append(e.astype(np.int32))
                 tokens.append(t.astype(np.int32))
@@ -146,7 +180,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def token_prefixes(
     df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``row_id, n_bytes, ends, tokens``: the prefix table of every row, at word ends."""
+    """``row_id, n_bytes, ends, tokens``: the prefix table of every row, at token ends."""
     return df.select(F.col(id_col).cast("long").alias("row_id"), text_col).mapInArrow(
         _prefixes(model), "row_id long, n_bytes long, ends array<int>, tokens array<int>"
     )

@@ -172,6 +172,23 @@ def test_token_prefixes(docs, rows):
         assert [table.count(i) for i in range(len(text) + 1)] == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
 
 
+@pytest.mark.parametrize("text", ["東京都に住む人々は、日本語を話します。" * 12, "\n".join(f"line{i}\tof😀words" for i in range(40)), " a  b\n" * 9 + "x" * 90 + " 日本 "])
+def test_token_ends_inside_words(spark, text):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    row = token_counts.token_prefixes(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).first()
+    assert row["tokens"] == [len(library.encode(text[:e])) for e in row["ends"]]
+    assert row["ends"][-1] == len(text)
+    table = token_counts.PrefixTable(text, path)
+    assert [table.count(i) for i in range(len(text) + 1)] == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
+    for budget in (20, 60):
+        fits = table.fit(budget)
+        # A character has up to four tokens.
+        assert fits > 0 and budget - 4 < table.count(fits) <= budget
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
