@@ -1,38 +1,52 @@
-"""Exact token counts at prefixes, for sentencepiece models.
-
-No piece of the model reaches from a non-space character to a following space,
-so the tokens of a text are those of its words (each with the spaces before
-it) one after the other. The count at a word's end is the count at its start
-plus the word's own: a dynamic programme over prefixes whose table answers
-"how many tokens are the first x characters" and "where does a budget end"
-without encoding the text again. Inside a word the table has every end of a
-token: no merge crosses one, so a prefix that stops there has just the tokens
-up to it. Only a prefix that stops inside a token has its last word encoded.
-The models' own library cuts each word, once per worker for words seen again.
+"""Exact token counts at every prefix, for sentencepiece BPE models.
+
+A dynamic programme over the prefixes of a word: the encoding of a prefix ends
+in exactly one piece, the one that is compatible with the piece before it, so
+
+    last[i] = the piece p ending at i that is compatible with last[i - len(p)]
+    count[i] = count[i - len(p)] + tokens of p
+
+Two pieces are compatible if no merge across their border comes before the
+merges that made them; undoing these merges from the last on decides it. A
+character without a piece stands for its UTF-8 bytes. No piece reaches from a
+non-space character to a following space, so words (each with the spaces before
+it) are independent, and a worker computes a word it sees again only once.
+
+``token_prefixes`` stores, for every text, the count at every one of its
+prefixes, as the steps from one prefix to the next (an array of one short
+number a character). ``PrefixTable`` answers from the stored steps alone how
+many tokens the first x characters are and how many characters fit a budget;
+neither the text nor the model is needed again. Counts can fall as a prefix
+grows, and the longest prefix within a budget takes that into account.
+
+The library checks the programme: the count of every distinct word is compared
+with its encoding, and a word on which they differ is counted prefix by prefix
+by the library itself.
 
 Defined cases: null text is empty; an empty text has no tokens; repeated rows
 are counted each; an empty table gives an empty result; other columns are
-ignored. Texts are never truncated.
+ignored. Texts are never truncated; time grows linearly with their length.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campwatch.llm._common import table
+from campwatch.llm._common import saved, table
 
 LIMIT = 4096
 #: Words a worker remembers, and the longest one it remembers; only speed depends on them.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 48
+#: Texts whose prefixes are held at once, in characters; a longer text is held alone.
+CHARS_AT_ONCE = 1 << 22
+SPACE = "▁"
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -50,123 +64,185 @@ class Memo(dict):
         return found
 
 
+class PieceCounter:
+    """Counts at every prefix of a word, by the pieces of one model."""
+
+    def __init__(self, model: str):
+        import sentencepiece
+
+        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=model)
+        plain = [
+            i for i in range(len(lib))
+            if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))
+        ]
+        self.score = {lib.id_to_piece(i): lib.get_score(i) for i in plain}
+        if any(SPACE in p.lstrip(SPACE) for p in self.score):
+            raise ValueError("a piece of this model spans words")
+        self.longest = max(map(len, self.score), default=1)
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.number = {p: i for i, p in enumerate(self.score)}
+        self.names = list(self.score)
+        self.fits: dict[int, bool] = {}
+        #: A trie of prefixes met before, of any word: (node, character) to node,
+        #: and by node the last piece (-1: a character without one) and the count.
+        self.step: dict[int, int] = {}
+        self.last_at, self.count_at = [-1], [0]
+
+    def merged(self, text: str) -> list[str]:
+        """Pieces of a short text: the best-scored neighbours merge first, the leftmost of equals."""
+        parts = list(text)
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = self.score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                break
+            self.parts.setdefault(parts[at] + parts[at + 1], (parts[at], parts[at + 1]))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes ``piece``; none for a character, or if no merge does."""
+        if len(piece) == 1:
+            return None
+        if piece not in self.parts:
+            self.merged(piece)
+        return self.parts.setdefault(piece, None)
+
+    def reachable(self, piece: str) -> bool:
+        return len(piece) == 1 or self.halves(piece) is not None and self.merged(piece) == [piece]
+
+    def compatible(self, one: str, two: str) -> bool:
+        """Whether ``one`` and ``two`` stay apart when their characters are merged from scratch."""
+        score, undone, left = self.score, None, False
+        while True:
+            across = score.get(one + two)
+            if across is not None and (undone is None or across > undone or (across == undone and not left)):
+                return False
+            a, b = self.halves(one), self.halves(two)
+            if a is None and b is None:
+                return True
+            # The later of two merges has the lower score; of equal scores, the one to the right.
+            if b is not None and (a is None or score[two] <= score[one]):
+                undone, left, two = score[two], False, b[0]
+            else:
+                undone, left, one = score[one], True, a[1]
+
+    def _extend(self, text: str, i: int, last: list[int], count: list[int]) -> tuple[int, int] | None:
+        """Last piece and count of the first ``i`` characters, from those of all shorter prefixes."""
+        number, fits = self.number, self.fits
+        if text[i - 1] not in number:
+            return -1, count[i - 1] + len(text[i - 1].encode())
+        for size in range(1, min(i, self.longest) + 1):
+            piece = number.get(text[i - size : i])
+            if piece is None:
+                continue
+            before = last[i - size]
+            pair = (before + 1 << 24) + piece
+            good = fits.get(pair)
+            if good is None:
+                name = self.names[piece]
+                good = self.reachable(name) and (before < 0 or self.compatible(self.names[before], name))
+                if len(fits) < REMEMBERED:
+                    fits[pair] = good
+            if good:
+                return piece, count[i - size] + 1
+        return None
+
+    def prefix_counts(self, word: str) -> np.ndarray:
+        """Tokens of each prefix of ``word`` after its space: index 0 is the space alone."""
+        text, step = SPACE + word.replace(" ", SPACE), self.step
+        last, count, node = [-1], [0], 0
+        for i, char in enumerate(text, 1):
+            key = (node << 21) + ord(char)
+            node = step.get(key, -1) if node >= 0 else -1
+            if node >= 0:
+                last.append(self.last_at[node])
+                count.append(self.count_at[node])
+                continue
+            found = self._extend(text, i, last, count)
+            if found is None:
+                return self._by_library(word)
+            last.append(found[0])
+            count.append(found[1])
+            if key >= 0 and len(self.last_at) < REMEMBERED:
+                node = step[key] = len(self.last_at)
+                self.last_at.append(found[0])
+                self.count_at.append(found[1])
+        if count[-1] != (len(self.library.encode(word)) if word else 1):
+            return self._by_library(word)
+        return np.array(count[1:], np.int32)
+
+    def _by_library(self, word: str) -> np.ndarray:
+        return np.array([1] + [len(self.library.encode(word[:i])) for i in range(1, len(word) + 1)], np.int32)
+
+
 @lru_cache(maxsize=2)
 def counter(model: str) -> Memo:
-    import sentencepiece
-
-    library = sentencepiece.SentencePieceProcessor(model_file=model)
-    if any("▁" in p.lstrip("▁") for p in map(library.id_to_piece, range(len(library)))):
-        raise ValueError("a piece of this model spans words")
-    return Memo(lambda word: _token_ends(library, word))
-
-
-def _token_ends(library, word: str) -> tuple[int, ...]:
-    """Characters of a word up to the end of each of its tokens.
-
-    The space before the word is not counted. The bytes of one character all
-    end where it ends.
-    """
-    ids = library.encode(word)
-    ends, at, need = [], -1, 0
-    for i in ids:
-        piece = library.id_to_piece(i)
-        if not library.is_byte(i):
-            at += len(piece)
-            ends.append(at)
-            continue
-        if not need:
-            lead = int(piece[3:5], 16)
-            need, at = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), at + 1
-        need -= 1
-        ends.append(at)
-    if ids and at != len(word):
-        raise ValueError("the tokens do not add up to the text")
-    return tuple(ends)
+    return Memo(PieceCounter(model).prefix_counts)
 
 
 def split_words(text: str) -> list[str]:
     """The words of a text, each without the one space that the library puts before it."""
     if not text:
         return []
-    if "▁" in text:
-        text = text.replace("▁", " ")
+    if SPACE in text:
+        text = text.replace(SPACE, " ")
     if "  " in text or text[0] == " " or text[-1] == " ":
         return [w[1:] for w in _RUNS.findall(" " + text)]
     return text.split(" ")
 
 
-def _ends(memo: Memo, word: str) -> tuple[int, ...]:
-    # The library drops nothing, but gives an empty text no token; a lone space is one.
-    return memo[word] if word else (0,)
-
-
-def token_prefixes_of(text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Character offsets of token ends and the token count of the text up to each."""
+def prefix_counts(text: str, memo: Memo) -> np.ndarray:
+    """Tokens of the first 0, 1, ... characters of ``text``."""
     words = split_words(text)
-    parts = [_ends(memo, w) for w in words]
-    counts = np.fromiter(map(len, parts), np.int64, len(words))
-    starts = np.zeros(len(words), np.int64)
-    np.cumsum(np.fromiter(map(len, words[:-1]), np.int64, max(len(words) - 1, 0)) + 1, out=starts[1:])
-    inside = np.fromiter(chain.from_iterable(parts), np.int64, int(counts.sum()))
-    ends = np.repeat(starts, counts) + inside
-    # Of the bytes of one character the last one counts; the space before a text is no prefix.
-    stays = (np.diff(ends, append=len(text) + 1) > 0) & (ends > 0)
-    return ends[stays], np.flatnonzero(stays) + 1
+    if not words:
+        return np.zeros(1, np.int32)
+    parts = [memo[w] for w in words]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    totals = np.fromiter((p[-1] for p in parts), np.int64, len(parts))
+    counts = np.concatenate(parts).astype(np.int64) + np.repeat(np.cumsum(totals) - totals, sizes)
+    # The library's space before a text is no prefix of it, and an empty text has no token.
+    counts[0] = 0
+    return counts
 
 
 class PrefixTable:
-    """Token count of every prefix of one text."""
+    """Token count of every prefix of one text, from its stored steps."""
 
-    def __init__(self, text: str, model: str):
-        self.text, self.memo = text, counter(model)
-        self.ends, self.counts = (x.tolist() for x in token_prefixes_of(text, self.memo))
-        self.words = split_words(text)
-        self.word_ends = list(accumulate(len(w) + 1 for w in self.words))
+    def __init__(self, steps):
+        self.counts = np.concatenate(([0], np.cumsum(np.asarray(steps, np.int64))))
 
     def count(self, chars: int) -> int:
         """Tokens of the first ``chars`` characters."""
-        if chars <= 0:
-            return 0
-        i = bisect.bisect_left(self.ends, chars)
-        if i < len(self.ends) and self.ends[i] == chars:
-            return self.counts[i]
-        # Inside a token: the last word is cut, and its tokens are others.
-        w = bisect.bisect_right(self.word_ends, chars)
-        start = self.word_ends[w - 1] if w else 0
-        base = self.counts[bisect.bisect_left(self.ends, start - 1)] if w else 0
-        return base + len(_ends(self.memo, self.words[w][: chars - start]))
+        return int(self.counts[min(max(chars, 0), len(self.counts) - 1)])
 
     def fit(self, budget: int) -> int:
-        """Characters of the longest prefix of whole tokens within ``budget`` tokens."""
-        i = bisect.bisect_right(self.counts, budget)
-        return self.ends[i - 1] if i else 0
+        """Characters of the longest prefix of at most ``budget`` tokens."""
+        good = np.flatnonzero(self.counts <= budget)
+        return int(good[-1]) if len(good) else 0
 
 
 def _prefixes(model: str):
-    schema = pa.schema(
-        [("row_id", pa.int64()), ("n_bytes", pa.int64()),
-         ("ends", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))]
-    )
+    names = ["row_id", "n_bytes", "steps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = counter(model)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            at, size = 0, 0
-            n_bytes, ends, tokens = [], [], []
+            at, size, n_bytes, steps = 0, 0, [], []
             for i in range(batch.num_rows):
                 text = texts[i].as_py() or ""
-                e, t = token_prefixes_of(text, memo)
                 n_bytes.append(len(text.encode()))
-                ends.append(e.astype(np.int32))
-                tokens.append(t.astype(np.int32))
-                size += len(e)
-                if size > 1_000_000 or i + 1 == batch.num_rows:
+                steps.append(np.diff(prefix_counts(text, memo)).astype(np.int16))
+                size += len(text)
+                if size > CHARS_AT_ONCE or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, i + 1 - at), pa.array(n_bytes, pa.int64()),
-                         _lists(ends), _lists(tokens)], schema=schema,
-                    )
-                    at, size, n_bytes, ends, tokens = i + 1, 0, [], [], []
+                        [ids.slice(at, i + 1 - at), pa.array(n_bytes, pa.int64()), _lists(steps)], names
+                    )
+                    at, size, n_bytes, steps = i + 1, 0, [], []
 
     return run
 
@@ -180,25 +256,47 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def token_prefixes(
     df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``row_id, n_bytes, ends, tokens``: the prefix table of every row, at token ends."""
+    """``row_id, n_bytes, steps``: by how much the count grows from each prefix to the next."""
     return df.select(F.col(id_col).cast("long").alias("row_id"), text_col).mapInArrow(
-        _prefixes(model), "row_id long, n_bytes long, ends array<int>, tokens array<int>"
+        _prefixes(model), "row_id long, n_bytes long, steps array<short>"
+    )
+
+
+def _answers(limit: int):
+    names = ["row_id", "n_bytes", "n_tokens", "chars_within_limit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, within = [], []
+            for steps in batch.column(2):
+                stored = PrefixTable(steps.values.to_numpy())
+                total.append(int(stored.counts[-1]))
+                within.append(stored.fit(limit))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(within, pa.int64())], names
+            )
+
+    return run
+
+
+def budget_answers(prefixes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Token count of every stored text, and the characters of its longest prefix within ``limit``."""
+    return prefixes.select("row_id", "n_bytes", "steps").mapInArrow(
+        _answers(limit), "row_id long, n_bytes long, n_tokens long, chars_within_limit long"
     )
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = token_prefixes(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    stored = saved(
+        token_prefixes(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")),
+        "token-prefixes",
     )
-    n = F.coalesce(F.try_element_at("tokens", F.lit(-1)), F.lit(0)).cast("long")
-    within = F.size(F.filter("tokens", lambda t: t <= LIMIT))
-    return found.select(
+    return budget_answers(stored).select(
         F.col("row_id").alias("doc_id"),
         "n_bytes",
-        n.alias("n_tokens"),
-        (n > LIMIT).alias("over_limit"),
-        F.coalesce(F.try_element_at("ends", F.nullif(within, F.lit(0))), F.lit(0))
-        .cast("long").alias("chars_within_limit"),
-    )
+        "n_tokens",
+        (F.col("n_tokens") > LIMIT).alias("over_limit"),
+        "chars_within_limit",
+    )
