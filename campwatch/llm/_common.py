@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees; a temporary one only where none is named (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster must name a folder that all executors share in spark.checkpoint.dir")
         base = "file://" + tempfile.mkdtemp(prefix="campwatch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -53,5 +55,32 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Where a row lies: two hashes of its file's path (96 bits together) and its number in the file.
+PLACE = ["__file", "__check", "__row"]
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` with each row's place in its files, a key that no re-read changes.
+
+    A table read straight from Parquet has places already. Anything else is
+    written once first, since its row order is not frozen otherwise.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or "_metadata" in df.columns:
+        df = saved(df, "placed")
+    meta = F.col("_metadata")
+    return df.select(
+        "*",
+        F.xxhash64(meta["file_path"]).alias(PLACE[0]),
+        F.hash(F.lit(5), meta["file_path"]).alias(PLACE[1]),
+        meta["row_index"].alias(PLACE[2]),
+    )
+
+
+def place_columns(df: DataFrame) -> list[str]:
+    """The place columns that ``df`` has."""
+    return [c for c in PLACE if c in df.columns]
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

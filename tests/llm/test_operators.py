@@ -62,7 +62,7 @@ def test_exact_dedup(docs, rows):
     for r in rows:
         text = r[1] or ""
         groups.setdefault("".join(c for c in text if c not in SPACE), []).append((-len(text), r[0] is None, r[0] or 0, r[0]))
-    found = exact_dedup.exact_dedup(docs, fan_in=2).collect()
+    found = exact_dedup.exact_dedup(docs, bits=1).collect()
     assert len(found) == len(rows)
     for key, members in groups.items():
         sha = hashlib.sha256(key.encode()).hexdigest()
@@ -70,7 +70,53 @@ def test_exact_dedup(docs, rows):
         assert {r["group_size"] for r in mine} == {len(members)}
         assert {r["keep_id"] for r in mine} == {min(members)[3]}
         assert sum(r["kept"] for r in mine) == 1
-    assert exact_dedup.keep_one(docs).count() == len(groups)
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    best = {min(g) for g in groups.values()}
+    assert sorted((-len(r["text"] or ""), r["doc_id"] is None, r["doc_id"] or 0, r["doc_id"]) for r in kept.collect()) == sorted(best, key=lambda b: b[:3])
+
+
+def test_keep_one_tells_rows_apart_that_agree_in_all_columns(spark):
+    df = spark.createDataFrame([(1, "a")] * 5 + [(1, "b"), (None, "b"), (None, None), (None, "")], "doc_id long, text string")
+    kept = exact_dedup.keep_one(df).collect()
+    assert sorted((r["text"] or "") for r in kept) == ["", "a", "b"]
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_runs_meet_in_rounds(spark, bits):
+    from campwatch.llm._common import saved
+
+    # 12 partitions; text i occurs i times in every partition's turn.
+    texts = [f"t{i % 23}" for i in range(12 * 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    rows = saved(exact_dedup.digest_rows(df), "digests").repartition(12)
+    runs = saved(exact_dedup.sorted_runs(rows, bits), "runs")
+    numbers = {r[0] for r in runs.select("run").distinct().collect()}
+    lane_bits, level = bits, runs
+    while True:
+        for r in level.collect():
+            records = list(exact_dedup._records(bytes(r["block"])))
+            keys = [x[: exact_dedup.KEY_BYTES] for x in records]
+            # Every block is a sorted run of one lane with one record per key.
+            assert keys == sorted(set(keys)) and {int.from_bytes(k[:8], "big") >> (64 - lane_bits) for k in keys} == {r["lane"]}
+        if numbers == {0} and level is not runs:
+            break
+        numbers = {n >> bits for n in numbers}
+        lane_bits += bits
+        level = saved(exact_dedup.merge_round(level, bits, lane_bits), "runs")
+        assert {r[0] for r in level.select("run").distinct().collect()} == numbers
+    n = {t: texts.count(t) for t in texts}
+    first = {t: texts.index(t) for t in texts}
+    got = {bytes(r["digest"]).hex(): (r["best_id"], r["n"]) for r in exact_dedup.merge_runs(rows, bits).collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest(): (first[t], n[t]) for t in n}
+
+
+def test_merge_is_multiway_and_keeps_the_best():
+    def record(key, rank, n):
+        return key.ljust(exact_dedup.KEY_BYTES, b".") + rank.ljust(exact_dedup.RANK_BYTES, b".") + n.to_bytes(8, "big")
+
+    runs = [[record(b"a", b"2", 3), record(b"c", b"1", 1)], [record(b"a", b"1", 1), record(b"b", b"9", 2)], [record(b"a", b"3", 5)], []]
+    assert list(exact_dedup.merge(runs)) == [record(b"a", b"1", 9), record(b"b", b"9", 2), record(b"c", b"1", 1)]
 
 
 def _sets(rows, k):
@@ -159,34 +205,61 @@ def test_mix(docs, rows):
     assert mixing.apply_mix(docs).count() == sum(r["copies"] for r in found)
 
 
-def test_token_prefixes(docs, rows):
+def _piece_library():
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    library = sentencepiece.SentencePieceProcessor(model_file=path)
-    got = token_counts.token_prefixes(docs, path).collect()
-    want = sorted((len((r[1] or "").encode()), len(library.encode(r[1] or ""))) for r in rows)
-    assert sorted((r["n_bytes"], r["tokens"][-1] if r["tokens"] else 0) for r in got) == want
-    for text in ("a  b ▁c", " x\n y ", "é日 the </s> q"):
-        table = token_counts.PrefixTable(text, path)
-        assert [table.count(i) for i in range(len(text) + 1)] == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
-
+    return path, sentencepiece.SentencePieceProcessor(model_file=path)
 
-@pytest.mark.parametrize("text", ["東京都に住む人々は、日本語を話します。" * 12, "\n".join(f"line{i}\tof😀words" for i in range(40)), " a  b\n" * 9 + "x" * 90 + " 日本 "])
-def test_token_ends_inside_words(spark, text):
-    import sentencepiece
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    library = sentencepiece.SentencePieceProcessor(model_file=path)
-    row = token_counts.token_prefixes(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).first()
-    assert row["tokens"] == [len(library.encode(text[:e])) for e in row["ends"]]
-    assert row["ends"][-1] == len(text)
-    table = token_counts.PrefixTable(text, path)
-    assert [table.count(i) for i in range(len(text) + 1)] == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
-    for budget in (20, 60):
-        fits = table.fit(budget)
-        # A character has up to four tokens.
-        assert fits > 0 and budget - 4 < table.count(fits) <= budget
+def test_token_prefixes(docs, rows):
+    path, library = _piece_library()
+    got = token_counts.budget_answers(token_counts.token_prefixes(docs, path), 50).collect()
+    texts = [r[1] or "" for r in rows]
+    fits = [max(i for i in range(len(t) + 1) if len(library.encode(t[:i])) <= 50) for t in texts]
+    want = sorted((len(t.encode()), len(library.encode(t)), f) for t, f in zip(texts, fits, strict=True))
+    assert sorted((r["n_bytes"], r["n_tokens"], r["chars_within_limit"]) for r in got) == want
+
+
+HARD = (
+    "東京都に住む人々は、日本語を話します。" * 12, "\n".join(f"line{i}\tof😀words" for i in range(40)),
+    " a  b\n" * 9 + "x" * 90 + " 日本 ", "a  b ▁c", " x\n y ", "é日 the </s> q", " " * 70 + "the", "▁▁ ▁the  ▁", "",
+)
+
+
+def test_counts_of_all_prefixes_come_from_stored_steps(spark, monkeypatch):
+    path, library = _piece_library()
+    df = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    stored = token_counts.token_prefixes(df, path).collect()
+    # Neither the model nor the text is needed to answer from what is stored.
+    monkeypatch.setattr(token_counts, "counter", None)
+    for row in stored:
+        text = HARD[row["row_id"]]
+        table = token_counts.PrefixTable(row["steps"])
+        counts = [len(library.encode(text[:i])) for i in range(len(text) + 1)]
+        assert [table.count(i) for i in range(len(text) + 1)] == counts
+        for budget in (0, 1, 20, 60):
+            assert table.fit(budget) == max(i for i, c in enumerate(counts) if c <= budget)
+
+
+def test_prefix_programme_agrees_with_the_library_on_hostile_texts():
+    path, library = _piece_library()
+    own = token_counts.PieceCounter(path)
+    own._by_library = None
+    memo = token_counts.Memo(own.prefix_counts)
+    rng = random.Random(7)
+    letters = list("aabcdeenintthehes   \n\t▁日本語東京é😀Ω0123..,'<s></s>")
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(25)))
+        want = [len(library.encode(text[:i])) for i in range(len(text) + 1)]
+        assert token_counts.prefix_counts(text, memo).tolist() == want
+
+
+def test_token_counts_of_a_very_long_text():
+    path, library = _piece_library()
+    text = ("one two\nthree " * 9 + "東京都に住む" * 40) * 12_000
+    assert len(text.encode()) > 4 << 20
+    assert token_counts.prefix_counts(text, token_counts.counter(path))[-1] == len(library.encode(text))
 
 
 def test_packing(spark, docs, rows):
