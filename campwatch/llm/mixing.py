@@ -12,8 +12,10 @@ buckets, then rows inside a bucket), so no source is ever in one task.
 
 Defined cases: null text has size 0; a null source is a source of its own and
 ranks last; documents of size 0 are never taken; repeated rows are separate
-documents; an empty table gives an empty result; other columns are ignored.
-Whole documents are taken, so a source is off its target by part of a document.
+documents, whose order among themselves is that of the table as read; a text of
+any length is one number; an empty table gives an empty result; other columns
+are ignored, whatever their names. Whole documents are taken, so a source is
+off its target by part of a document.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from campwatch.llm._common import forget, saved, table, word_count
+from campwatch.llm._common import forget, place_columns, placed, saved, table, word_count
 
 ROWS_PER_BUCKET = 20_000
+#: Copies in one range of finish times, about; ranges follow the number of rows.
+ROWS_PER_RANGE = 100_000
 SEED = 20_011
 
 
@@ -65,9 +69,9 @@ def source_targets(
     )
 
 
-def _cut(copies: DataFrame, budget: float) -> tuple[float, int] | None:
+def _cut(copies: DataFrame, budget: float, rows: int) -> tuple[float, int] | None:
     """Range-sort copies by (finish, rank) and find the last one within the budget."""
-    n = int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE))
     ranged = saved(
         copies.repartitionByRange(n, "finish", "rank").withColumn("pid", F.spark_partition_id()),
         "finish-times",
@@ -103,14 +107,18 @@ def mix(
 ) -> DataFrame:
     """Words each document contributes to the mix, one row per input row.
 
-    Returns ``row_id, row_key, source, size, source_size, target, copies, taken``.
+    Returns ``row_id, source, size, source_size, target, copies, taken``, and
+    where the row lies if ``df`` is ``placed``.
     """
+    place = place_columns(df)
     rows = saved(
         df.select(
             F.col(id_col).alias("row_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(F.col(text_col)).alias("size"),
             row_key(id_col, text_col).alias("row_key"),
+            F.monotonically_increasing_id().alias("pos"),
+            *place,
         ),
         "sizes",
     )
@@ -131,7 +139,7 @@ def mix(
     )
     inside = (
         Window.partitionBy("source", "bucket")
-        .orderBy(F.xxhash64(F.lit(SEED + 1), "row_key"), "row_key", "row_id", "size")
+        .orderBy(F.xxhash64(F.lit(SEED + 1), "row_key"), "row_key", "row_id", "size", "pos")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     queued = dealt.withColumn("within", F.sum("size").over(inside))
@@ -141,7 +149,7 @@ def mix(
     facts = sources.withColumnRenamed("source", "s")
     queued = saved(
         queued.join(facts, F.col("source").eqNullSafe(F.col("s"))).select(
-            "row_id", "row_key", "source", "size", "source_size", "target", "rank", "weight",
+            "row_id", "source", "size", "source_size", "target", "rank", "weight", *place,
             (F.col("start") + F.col("within")).alias("sent"),
         ),
         "queues",
@@ -153,7 +161,7 @@ def mix(
     copies = queued.where("size > 0").select(
         F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))).alias("turn"), "*"
     )
-    cut = _cut(copies.select(finish(F.col("turn")).alias("finish"), "rank", "size"), budget)
+    cut = _cut(copies.select(finish(F.col("turn")).alias("finish"), "rank", "size"), budget, n_rows * max_repeat)
     if cut is None:
         count = F.lit(0)
     else:
@@ -164,7 +172,7 @@ def mix(
         count = sum((F.when(g, 1).otherwise(0) for g in goes), F.lit(0))
     count = F.when(F.col("size") > 0, count).otherwise(0)
     return queued.select(
-        "row_id", "row_key", "source", "size", "source_size", "target",
+        "row_id", "source", "size", "source_size", "target", *place,
         count.alias("copies"), (count * F.col("size")).cast("long").alias("taken"),
     )
 
@@ -174,22 +182,17 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def apply_mix(df: DataFrame, **options) -> DataFrame:
-    """``df`` with each row repeated as often as the mix takes it (0 drops it)."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = (
-        mix(df, **options)
-        .groupBy(F.col("row_key").alias("__key"))
-        .agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    )
-    keyed = df.withColumn("__row", row_key(id_col, text_col))
-    # Rows repeated with the same id and text share a key; each takes its own count.
-    nth = Window.partitionBy("__row").orderBy("__row")
-    keyed = keyed.withColumn("__n", F.row_number().over(nth))
-    taken = keyed.join(plan, F.col("__row") == F.col("__key"))
-    taken = taken.withColumn("__take", F.element_at("__copies", F.col("__n"))).where("__take > 0")
-    return taken.withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__take")))
-    ).select(*df.columns)
+    """``df`` with each row repeated as often as the mix takes it (0 drops it).
+
+    Counts go to rows by their place in the table, so rows that agree in id and
+    text, or in every column, each get their own.
+    """
+    rows = placed(df)
+    place = place_columns(rows)
+    plan = mix(rows, **options).where("copies > 0").select(*place, F.col("copies").alias("__copies"))
+    taken = rows.join(saved(plan, "taken"), place)
+    copies = F.explode(F.sequence(F.lit(1), F.col("__copies")))
+    return taken.withColumn("__copy", copies).select(*df.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
