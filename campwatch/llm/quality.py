@@ -12,9 +12,11 @@ the id). Noise comes from a hash of the id and the text, so reruns agree. The cu
 ``k`` is found by range-sorting the keys and counting range partitions.
 
 Defined cases: null text is empty, weighs 1 (log weight 0) and takes part in
-the draw; rows repeated with the same id and text draw alike; null labels do
+the draw; rows repeated with the same id and text have one key, and where the
+cut falls among them those read first are drawn, so that exactly ``k`` rows
+are; a text longer than a slice is counted in overlapping parts; null labels do
 not count as good; without good labels all weights are 1; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from campwatch.llm import _kernels as K
-from campwatch.llm._common import saved, table
+from campwatch.llm._common import forget, saved, table
 
 BUCKETS, GRAM = 1 << 14, 4
 SMOOTH = 1.0
 #: Good documents counted for the target model, at most; share of documents drawn.
 TARGET_ROWS, KEEP = 20_000, 0.85
 SEED = 905
+#: Keys in one range, about; ranges follow the number of rows.
+ROWS_PER_RANGE = 100_000
 
 
 def _grams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,29 +111,32 @@ def _weigh(shared):
     return run
 
 
-def top_cut(keys: DataFrame, k: int) -> float | None:
-    """The ``k``-th largest ``sample_key``; one number per range partition reaches the driver."""
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def top_cut(keys: DataFrame, k: int, rows: int) -> tuple[float, int] | None:
+    """``sample_key`` and ``pos`` of the ``k``-th row, larger keys and then lower positions first.
+
+    One number per range partition reaches the driver.
+    """
+    n = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_RANGE))
+    order = [F.desc("sample_key"), F.asc("pos")]
     ranged = saved(
-        keys.select("sample_key").repartitionByRange(n, F.desc("sample_key"))
-        .withColumn("pid", F.spark_partition_id()),
+        keys.select("sample_key", "pos").repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()),
         "keys",
-    )
-    left = k
-    for pid, rows in sorted(ranged.groupBy("pid").count().collect()):
-        if rows >= left:
-            at = ranged.where(F.col("pid") == pid).select(
-                "sample_key", F.row_number().over(Window.orderBy(F.desc("sample_key"))).alias("r")
-            )
-            return at.where(F.col("r") == left).first()["sample_key"]
-        left -= rows
-    return None
+    )
+    left, cut = k, None
+    for pid, held in sorted(ranged.groupBy("pid").count().collect()):
+        if held >= left:
+            at = ranged.where(F.col("pid") == pid).withColumn("r", F.row_number().over(Window.orderBy(*order)))
+            cut = tuple(at.where(F.col("r") == left).select("sample_key", "pos").first())
+            break
+        left -= held
+    forget(ranged)
+    return cut
 
 
 def resample(
     docs: DataFrame, good_ids: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``row_id, log_weight, sample_key, selected``: the draw of ``keep`` of all rows.
+    """``row_id, log_weight, sample_key, selected``: the draw of exactly ``keep`` of all rows.
 
     ``good_ids`` has one column of ids of target documents.
     """
@@ -142,13 +149,18 @@ def resample(
     noise = F.xxhash64(F.lit(SEED + 1), id_col, text_col)
     keys = saved(
         docs.select(F.col(id_col).cast("long").alias("row_id"), noise.alias("noise"), text_col)
-        .mapInArrow(_weigh(spark.sparkContext.broadcast(ratio)), "row_id long, log_weight double, sample_key double"),
+        .mapInArrow(_weigh(spark.sparkContext.broadcast(ratio)), "row_id long, log_weight double, sample_key double")
+        .withColumn("pos", F.monotonically_increasing_id()),
         "weights",
     )
-    k = round(keys.count() * keep)
-    cut = top_cut(keys, k) if k else None
-    chosen = F.lit(False) if cut is None else F.col("sample_key") >= cut
-    return keys.withColumn("selected", chosen)
+    rows = keys.count()
+    k = round(rows * keep)
+    cut = top_cut(keys, k, rows) if k else None
+    chosen = F.lit(False)
+    if cut is not None:
+        tied = (F.col("sample_key") == cut[0]) & (F.col("pos") <= cut[1])
+        chosen = (F.col("sample_key") > cut[0]) | tied
+    return keys.withColumn("selected", chosen).drop("pos")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
