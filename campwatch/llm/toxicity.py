@@ -13,9 +13,11 @@ over its whole text.
 
 Defined cases: null text is empty and gets the probabilities of a text without
 features; labelled rows with a null label or no document are not used for
-training; without labelled rows, or with one class only, a category gets its
-base rate; repeated rows are scored each; an empty table gives an empty result;
-other columns are ignored.
+training; an id labelled more than once has a mark if any of its labels gives
+it, and of several texts with one id the smallest trains; without labelled rows,
+or with one class only, a category gets its base rate; repeated rows are scored
+each; a text of any length is worked through as one; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,11 +79,14 @@ class Chain:
 
 
 def fit_chain(labelled: DataFrame, names: Sequence[str]) -> Chain:
-    """Fit on ``labelled``: ``row_id, text`` and one 0/1 column per category (at most SAMPLE rows)."""
+    """Fit on ``labelled``: ``row_id, text`` and one 0/1 column per category.
+
+    It has one row an id and at most SAMPLE rows, whose kept features reach the driver.
+    """
     marks = labelled.select("row_id", *names)
     rows = saved(
         labelled.select("row_id", "text").mapInArrow(_extract, "row_id long, features array<long>")
-        .join(marks.dropDuplicates(["row_id"]), "row_id"),
+        .join(marks, "row_id"),
         "labelled",
     )
     totals = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names]).first()
@@ -173,14 +178,20 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, marks: dict[str, Column]) -> DataFrame:
-    """At most SAMPLE labelled documents with their category columns."""
+    """At most SAMPLE labelled documents, one row an id, with their category columns.
+
+    An id with several labels has a mark if any of them gives it; of several
+    texts with one id the smallest is taken.
+    """
     full = labels.select("doc_id", *[m.cast("int").alias(c) for c, m in marks.items()]).dropna()
+    full = full.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in marks])
     few = full.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(SAMPLE)
     # At most SAMPLE rows of a few numbers: a proven bound.
     found = docs.select(F.col("doc_id").alias("row_id"), "text").join(
         F.broadcast(few.withColumnRenamed("doc_id", "row_id")), "row_id"
     )
-    return found.select("row_id", "text", *marks)
+    text = F.min(F.coalesce("text", F.lit(""))).alias("text")
+    return found.groupBy("row_id").agg(text, *[F.max(c).alias(c) for c in marks])
 
 
 def label_marks() -> dict[str, Column]:
