@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -185,26 +186,66 @@ def test_tree_bounds_lose_no_pair():
             assert ((a, b) in got) == (bound * 180 >= 80 * (sizes[a] + sizes[b]) and ratio)
 
 
+def _water_fill(sizes, weights, share, cap):
+    """Targets by resharing what full sources cannot take, until none is above its cap."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, full = share * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in names if s not in full]
+        level = left / sum(weight[s] for s in rest) if rest else 0
+        over = [s for s in rest if weight[s] * level > cap * sizes[s]]
+        if not over:
+            return {**full, **{s: weight[s] * level for s in rest}}
+        for s in over:
+            full[s] = cap * sizes[s]
+            left -= full[s]
+
+
+def _size(text):
+    return len([w for w in "".join(" " if c in SPACE else c for c in text or "").split(" ") if w])
+
+
 def test_mix(docs, rows):
     found = mixing.mix(docs).collect()
     assert len(found) == len(rows)
-    by = {}
+    sizes = {}
+    for r in rows:
+        sizes[r[2]] = sizes.get(r[2], 0) + _size(r[1])
+    targets = _water_fill(sizes, (3, 1, 2), 1.5, 2)
+    taken = dict.fromkeys(sizes, 0)
     for r in found:
-        assert 0 <= r["taken"] <= 2 * r["size"]
-        by.setdefault(r["source"], []).append(r)
-    total = sum(r["size"] for r in found)
+        assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(targets[r["source"]])
+        taken[r["source"]] += r["taken"]
+    assert sorted(r["size"] for r in found) == sorted(_size(r[1]) for r in rows)
     largest = max(r["size"] for r in found)
-    assert abs(sum(r["taken"] for r in found) - 1.5 * total) <= 2 * largest
-    for mine in by.values():
-        size = sum(r["size"] for r in mine)
-        assert {r["source_size"] for r in mine} == {size}
-        assert mine[0]["target"] <= 2 * size + 1e-6
-        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2 * largest
+    assert abs(sum(taken.values()) - 1.5 * sum(sizes.values())) <= 2 * largest
+    assert all(abs(taken[s] - targets[s]) <= 2 * largest for s in sizes)
     again = mixing.mix(docs).collect()
     assert sorted(map(str, again)) == sorted(map(str, found))
     assert mixing.apply_mix(docs).count() == sum(r["copies"] for r in found)
 
 
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 1, "c": 50}, {"a": 1, "b": 1000, "c": 3, "d": 7, None: 90}, {"x": 5}, {"a": 0, "b": 4}])
+def test_targets_are_those_of_resharing_by_hand(spark, sizes):
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(table).collect()}
+    assert got == pytest.approx(_water_fill(sizes, (3, 1, 2), 1.5, 2))
+
+
+def test_apply_mix_gives_each_row_its_own_count(spark):
+    rows = [(1, "one two three", s) for s in ("A", "A", "B", "B", "B")] + [(None, None, "A"), (2, "four", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(df).collect()
+    want = {}
+    for r in plan:
+        want[r["source"]] = want.get(r["source"], 0) + r["copies"]
+    got = mixing.apply_mix(df).collect()
+    assert {s: sum(r["source"] == s for r in got) for s in want} == want
+
+
 def _piece_library():
     import sentencepiece
 
@@ -286,10 +327,31 @@ def test_packing(spark, docs, rows):
         ids = library.encode(text or "", add_special_tokens=False).ids + [1]
         want[tuple(ids)] = want.get(tuple(ids), 0) + 1
     assert total == sum(len(k) * n for k, n in want.items())
-    ids = library.encode(odd, add_special_tokens=False).ids + [1]
-    for p in (p for p in got if p["doc_id"] == 77):
-        part = np.array(ids[p["start"] : p["start"] + p["length"]], "<u4")
-        assert p["ids_crc32"] == zlib.crc32(part.tobytes())
+    # Every document's pieces, put together, are the ids of a text with its id.
+    by_id = {}
+    for r in [*rows, (77, odd)]:
+        by_id.setdefault(r[0], []).append(library.encode(r[1] or "", add_special_tokens=False).ids + [1])
+    left = {i: sorted(map(len, t)) for i, t in by_id.items()}
+    for p in got:
+        fits = [t for t in by_id[p["doc_id"]] if len(t) == p["doc_tokens"]]
+        crcs = {zlib.crc32(np.array(t[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) for t in fits}
+        assert p["ids_crc32"] in crcs
+        if p["start"] == 0:
+            left[p["doc_id"]].remove(p["doc_tokens"])
+    assert not any(left.values())
+
+
+def test_word_by_word_ids_are_those_of_the_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = packing.encoder(path)
+    rng = random.Random(9)
+    letters = [*"aabcdeeIT's 1239.,!-\n\t", *"\u3000\u00a0\u200b\x00\u0130é日東😀ß", "  ", " \n", "<|endoftext|>", "don't", "\u1680", "ﬁ", "\U0001e030"]
+    for _ in range(6000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
+        assert own.ids(text).tolist() == own.library.encode(text, add_special_tokens=False).ids
+    long = "word 12 é日\n" * 350_000
+    assert len(long.encode()) > 4 << 20
+    assert own.ids(long).tolist() == own.library.encode(long, add_special_tokens=False).ids
 
 
 def test_media(docs, rows):
@@ -313,22 +375,42 @@ def test_resampling_keeps_a_low_tone():
 
 
 def test_chat_round_trip(spark):
-    texts = [("assistant", "<\\|<|<<\\\\|"), ("a\n<\\nb", None), ("assistant", "<"), (None, "x\n\ny")]
-    df = spark.createDataFrame([(c, i, *t) for c in (1, None) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    texts = [("assistant", "<\\|<|<<\\\\|"), ("a\n<\\nb", None), ("assistant", "<"), (None, "x\n\ny"), ("assistant", "<"), ("assistant", "<")]
+    clash = "conv_id long, turn long, role string, text string, pos long, t string, formatted string, c long"
+    df = spark.createDataFrame([(c, i if i < 4 else 4, *t, 1, "t", "f", 2) for c in (1, None) for i, t in enumerate(texts)], clash)
     rendered = chat_format.render(df)
     back = chat_format.read_back(rendered, chat_format.expand(rendered)).collect()
     turns = "".join(f"{r or ''}\n{t or ''}\n" for r, t in texts)
     loss = "".join(t for r, t in texts if r == "assistant")
+
+    def marked(role, text):
+        def escaped(x):
+            return "".join(c + "\\" if c == "<" and x[i + 1 : i + 2] in ("|", "\\") and x[i + 1 : i + 2] else c for i, c in enumerate(x))
+
+        return "<|im_start|>" + escaped(role or "").replace("\n", "<\\n") + "\n" + escaped(text or "") + "<|im_end|>\n"
+
+    pieces = [marked(*t) for t in texts]
+    contexts = ["".join(pieces[:i]) for i, (r, _) in enumerate(texts) if r == "assistant"]
     assert len(back) == 2
     for r in back:
-        assert r["n_turns"] == 4 and r["loss_chars"] == len(loss)
+        assert r["n_turns"] == 6 and r["loss_chars"] == len(loss) and r["n_examples"] == 4
         assert r["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()
         assert r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert r["formatted_chars"] == sum(map(len, pieces)) and r["context_chars"] == sum(map(len, contexts))
+        shas = "".join(hashlib.sha256(c.encode()).hexdigest() for c in contexts)
+        assert r["contexts_sha256"] == hashlib.sha256(shas.encode()).hexdigest()
     text = {r["conv_id"]: r["formatted"] for r in rendered.collect()}
     for r in chat_format.with_context(chat_format.expand(rendered), rendered).collect():
         assert text[r["conv_id"]].startswith(r["context"] + r["reply"])
 
 
+def test_a_real_conversation_minus_one_stays_apart_from_the_probe(spark, tmp_path):
+    rows = [(-1, 0, "user", "a"), (-1, 1, "assistant", "é" * 3_000_000), (4, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = chat_format.op9(spark, str(tmp_path)).collect()
+    assert sorted((r["conv_id"], r["n_turns"], r["loss_chars"]) for r in got) == [(-1, 2, 34), (-1, 2, 3_000_000), (4, 1, 0)]
+
+
 def test_warc_round_trip(spark):
     from campwatch.llm._common import fresh_path
 
@@ -367,6 +449,124 @@ def test_quality_prefers_target_text(spark):
     assert min(top) == min(r["sample_key"] for r in found if r["selected"])
 
 
+def _log_weight(text, target, raw):
+    """Log of the likelihood ratio of a text's byte 4-grams under both counted models."""
+
+    def bucket(g):
+        return (int.from_bytes(g, "big") * 0x9E3779B1 % 2**32) >> (32 - 14)
+
+    def grams(t):
+        b = (t or "").encode()
+        return [bucket(b[i : i + 4]) for i in range(len(b) - 3)]
+
+    counts = []
+    for texts in (target, raw):
+        c = {}
+        for t in texts:
+            for g in grams(t):
+                c[g] = c.get(g, 0) + 1
+        counts.append((c, sum(c.values()) + 2**14))
+    (p, np_), (q, nq) = counts
+    return sum(math.log((p.get(g, 0) + 1) / np_) - math.log((q.get(g, 0) + 1) / nq) for g in grams(text))
+
+
+def test_quality_weights_and_draw_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = [_words(rng, rng.randrange(1, 30)) for _ in range(40)] + [None, "", "abc", "é日" * 9]
+    rows = [(i, t, "k", 1.0) for i, t in enumerate(texts)] + [(3, texts[3], "k", 1.0)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, sample_key string, noise double").repartition(3)
+    good = spark.createDataFrame([(1,), (2,), (3,), (None,), (2,), (999,)], "g long")
+    found = quality.resample(df, good, keep=0.5).collect()
+    raw = [r[1] for r in rows]
+    target = [r[1] for r in rows if r[0] in (1, 2, 3)]
+    noise = {(r[0], r[1]): r[2] for r in df.select("doc_id", "text", F.xxhash64(F.lit(quality.SEED + 1), "doc_id", "text")).collect()}
+    keys = {}
+    for i, t, _, _ in rows:
+        u = ((noise[i, t] % 2**64) >> 11) + 0.5
+        w = _log_weight(t, target, raw)
+        keys[i] = (w, w - math.log(-math.log(u / 2**53)))
+    for r in found:
+        assert (r["log_weight"], r["sample_key"]) == pytest.approx(keys[r["row_id"]], abs=1e-8)
+    picked = [r for r in found if r["selected"]]
+    assert len(picked) == round(len(rows) * 0.5)
+    assert min(r["sample_key"] for r in picked) >= max((r["sample_key"] for r in found if not r["selected"]))
+
+
+@pytest.mark.parametrize("n", [1, 30, 49])
+def test_quality_draws_no_more_than_asked_on_ties(spark, n):
+    df = spark.createDataFrame([(1, "same text")] * 50 + [(2, "%%%%%%%%")] * 5, "doc_id long, text string").repartition(4)
+    found = quality.resample(df, df.where("doc_id = 1").select("doc_id"), keep=n / 55)
+    assert found.where("selected").count() == n
+
+
+def test_grams_of_a_text_longer_than_a_slice():
+    import pyarrow as pa
+
+    text = "abcd" * (1 << 20) + "xyz" * 700_000
+    total = np.zeros(quality.BUCKETS, np.int64)
+    for _, _, grams, _ in quality._texts(pa.array([text, None, "abcde"])):
+        total += np.bincount(grams, minlength=quality.BUCKETS)
+    assert total.sum() == len(text) - 3 + 2
+
+
+def _toxic_table(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(120):
+        w = _words(rng, 12).split()
+        if i % 4 == 0:
+            w.append("vileword")
+        if i % 6 == 0:
+            w.append("junkmark")
+        rows.append((i, " ".join(w), int(i % 4 == 0), 1 - int(i % 6 == 0)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int")
+
+
+def test_chain_scores_against_brute_force(spark):
+    from campwatch.llm import _kernels as K
+
+    rows, df = _toxic_table(spark)
+    marks = toxicity.label_marks()
+    chain = toxicity.fit_chain(toxicity.sample_labelled(df.select("doc_id", "text"), df.select("doc_id", "toxic", "quality"), marks), tuple(marks))
+    texts = [r[1] for r in rows] + [None, "", "x", "VILEWORD vilewor junkmark " * 60_000]
+    weight = {int(f): w for f, w in zip(chain.features, chain.weights, strict=True)}
+
+    def features(text):
+        out = set()
+        for word in set((text or "").encode().split()):
+            words = K.Words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+            out.add(int(words.hashes()[0]))
+            for n in toxicity.PREFIXES:
+                out.add(int(words.prefixes(n)[0] ^ np.uint64(n << 50)))
+        return out
+
+    got = {r["row_id"]: r for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
+    for i, text in enumerate(texts):
+        sums = sum((weight[f] for f in features(text) if f in weight), np.zeros(3))
+        p = []
+        for c, name in enumerate(chain.names):
+            x = sums[c] + sum(v * q for v, q in zip(chain.links[c], p, strict=True)) + chain.base[c]
+            p.append(1 / (1 + math.exp(-x)))
+            assert got[i][name] == pytest.approx(p[-1], abs=1e-9)
+    # Later categories read the earlier ones' probabilities.
+    assert [len(v) for v in chain.links] == [0, 1, 2]
+
+
+def test_training_sample_is_bounded_and_does_not_depend_on_row_order(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 5)
+    docs = spark.createDataFrame([(1, f"text {i}", "k") for i in range(200)] + [(i, "t", "k") for i in range(2, 9)] + [(None, "n", "k")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (1, None, 1), (None, 1, 1), *((i, i % 2, 1) for i in range(2, 9))], "doc_id long, toxic int, quality int")
+    marks = toxicity.label_marks()
+    found = [toxicity.sample_labelled(docs.repartition(n), labels.repartition(n), marks).collect() for n in (1, 7)]
+    assert len(found[0]) <= 5 and len({r["row_id"] for r in found[0]}) == len(found[0])
+    assert sorted(map(str, found[0])) == sorted(map(str, found[1]))
+    monkeypatch.setattr(toxicity, "SAMPLE", 50)
+    one = [r for r in toxicity.sample_labelled(docs, labels, marks).collect() if r["row_id"] == 1]
+    assert [(r["text"], r["toxic"], r["low_quality"]) for r in one] == [("text 0", 1, 1)]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(5)
     data = []
