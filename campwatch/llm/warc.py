@@ -5,27 +5,35 @@ one with the largest id is the response, the others are revisit records that
 refer to it. Every task writes gzipped archives of bounded size into the shared
 folder, each under its final name only once it is complete.
 
-Reading goes through the archives again and makes one locally sorted run of
-index entries per archive. An external merge orders them: entries are range
-partitioned by (URL key, timestamp, id), so a URL with very many captures is
-spread over tasks, and in each range a loser tree merges the runs. The result,
-partition after partition, is the globally ordered capture history.
-
-Defined cases: null html is an empty payload, null url an empty one; a null id
-is never referred to, and captures of one payload that all have null ids are
-all responses; rows repeated with the referred id are all responses; an empty
-table gives an empty result; other columns are ignored.
+Reading goes through the archives again and writes one locally sorted run of
+index entries per archive. An external merge orders them: a bounded sample of
+keys splits the order (URL key, timestamp, id, archive, offset) into ranges of
+about RANGE_ROWS entries, which no two entries tie in, so a URL with very many
+captures is spread over tasks; each run is cut at the splitters, its sorted
+segments go to the task of their range, and a loser tree merges them there. The
+result, partition after partition, is the globally ordered capture history.
+
+Pages without a capture time get one from their id, which lies between EPOCH and
+SPAN seconds after it whatever the id.
+
+Defined cases: null html is an empty payload, null url an empty one, a null id
+or time counts as 0 for the time; a null id is never referred to, and captures
+of one payload that all have null ids are all responses; rows repeated with the
+referred id are all responses; ids of any size and sign are kept as they are; an
+empty table gives an empty result; other columns are ignored, whatever their
+names. One page must fit a record in memory.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import posixpath
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 from urllib.parse import quote, urlsplit
 
@@ -33,13 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campwatch.llm._common import fresh_path, saved, table
+from campwatch.llm._common import PLACE, forget, fresh_path, placed, saved, table
 
 LEAST = 1000
 ROLL = 8 << 20
 LEVEL = 4
-#: Capture time of a page without one: this, plus its id in seconds.
-EPOCH = 1_704_067_200
+#: Capture time of a page without one: this, plus its id in seconds modulo SPAN.
+EPOCH, SPAN = 1_704_067_200, 1_000_000_000
+#: Entries in one range of the merge, about, and sampled keys per range.
+RANGE_ROWS, KEYS_PER_RANGE = 50_000, 20
+#: Most keys that reach the driver; beyond it ranges get longer.
+MOST_KEYS = 200_000
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = (
     "url_key string, captured long, page_id long, archive string, offset long, record_type string, "
@@ -62,31 +74,43 @@ def url_key(url: str) -> str:
     return ",".join(reversed(labels)) + tail + ")" + (parts.path or "/") + query
 
 
-def assign(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Each page with its payload, digest and the id it revisits (null: a response)."""
-    rows = pages.select(
-        F.col("page_id").cast("long"),
+def assign(pages: DataFrame, least: int = LEAST, time_col: str | None = None) -> DataFrame:
+    """Each page with its payload, digest and the id it revisits (null: a response).
+
+    ``time_col`` holds capture times in epoch seconds, if there are any. Owners
+    of payloads are found on digests alone; what comes back to the pages, by
+    their place in the table, is one row per revisit.
+    """
+    rows = placed(pages)
+    when = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SPAN))
+    if time_col is not None:
+        when = F.pmod(F.coalesce(F.col(time_col).cast("long"), F.lit(0)), F.lit(4 * EPOCH))
+    rows = rows.select(
+        F.col("page_id").cast("long").alias("page_id"),
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
+        when.cast("long").alias("captured"),
+        *PLACE,
     ).withColumns(
         {"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")}
     )
-    owners = saved(
-        rows.where(F.col("size") >= least)
-        .groupBy("digest", "size")
+    slim = saved(rows.where(F.col("size") >= least).select("digest", "size", "page_id", *PLACE), "page-digests")
+    owners = (
+        slim.groupBy("digest", "size")
         .agg(F.max("page_id").alias("owner"), F.count("*").alias("copies"))
         .where("copies > 1 AND owner IS NOT NULL")
-        .drop("copies"),
-        "owners",
+        .drop("copies")
     )
     other = ~F.col("page_id").eqNullSafe(F.col("owner"))
-    return rows.join(owners, ["digest", "size"], "left").withColumn(
-        "refers_to", F.when(other & F.col("owner").isNotNull(), F.col("owner"))
+    revisits = saved(
+        slim.join(owners, ["digest", "size"]).where(other).select(F.col("owner").alias("refers_to"), *PLACE),
+        "revisits",
     )
+    forget(slim)
+    return rows.join(revisits, PLACE, "left").drop(*PLACE)
 
 
-def _record(page_id, url: str, html: str, digest: str, size: int, refers_to) -> bytes:
-    when = EPOCH + (page_id or 0)
+def _record(page_id, url: str, html: str, digest: str, size: int, captured: int, refers_to) -> bytes:
     name = "null" if page_id is None else str(page_id)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block += f"Content-Length: {size}\r\n\r\n".encode()
@@ -98,7 +122,7 @@ def _record(page_id, url: str, html: str, digest: str, size: int, refers_to) ->
         extra = f"WARC-Profile: {IDENTICAL}\r\nWARC-Refers-To: <urn:page:{refers_to}>\r\n"
     head = (
         f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{name}>\r\n"
-        f"WARC-Date: {datetime.fromtimestamp(when, UTC):%Y-%m-%dT%H:%M:%SZ}\r\n"
+        f"WARC-Date: {datetime.fromtimestamp(captured, UTC):%Y-%m-%dT%H:%M:%SZ}\r\n"
         f"WARC-Target-URI: {quote(url, safe='/:?#[]@!$&()*+,;=%~')}\r\n"
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}\r\n"
         f"{extra}Content-Type: application/http; msgtype=response\r\n"
@@ -126,7 +150,7 @@ def _writer(folder: str):
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records])], ["archive", "records"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 held.append(packer.compress(_record(*row)) + packer.flush())
                 records, size = records + 1, size + len(held[-1])
@@ -149,7 +173,7 @@ def write_archives(assigned: DataFrame, folder: str) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(conf).mkdirs(target)
-    cols = assigned.select("page_id", "url", "html", "digest", "size", "refers_to")
+    cols = assigned.select("page_id", "url", "html", "digest", "size", "captured", "refers_to")
     return saved(cols.mapInArrow(_writer(folder), "archive string, records long"), "archives")
 
 
@@ -194,7 +218,8 @@ def parse(record: bytes) -> tuple:
 
 
 def _order(entry: tuple) -> tuple:
-    return entry[0], entry[1], entry[2] is None, entry[2] or 0
+    """Sort key of an entry; archive and offset make it unique."""
+    return entry[0], entry[1], entry[2] is None, entry[2] or 0, entry[3], entry[4]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +241,59 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def splitters(runs: DataFrame, entries: int, range_rows: int = RANGE_ROWS) -> list[tuple]:
+    """Keys that cut the order into ranges of about ``range_rows`` entries each."""
+    ranges = min(-(-entries // range_rows), MOST_KEYS // KEYS_PER_RANGE)
+    if ranges < 2:
+        return []
+    share = min(1.0, ranges * KEYS_PER_RANGE / entries)
+    drawn = F.pmod(F.xxhash64(F.lit(8), "archive", "offset"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    found = runs.where(drawn).select(*NAMES[:5]).toArrow().to_pylist()
+    keys = sorted(_order(tuple(r.values())) for r in found)
+    return [keys[i * len(keys) // ranges] for i in range(1, ranges)] if len(keys) >= ranges else keys
+
+
+def _segments(shared):
+    """Cut runs at the splitters: a segment is what one run has in one range, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = shared.value
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            ranges, parts, held = [], [], []
+            for row in rows:
+                at = bisect.bisect_right(cuts, _order(row))
+                # A batch may hold the end of one run and the beginning of the next.
+                if not held or at != ranges[-1] or row[3] != held[-1][3]:
+                    held = []
+                    ranges.append(at)
+                    parts.append(held)
+                held.append(row)
+            packed = [_pack(p) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(packed, pa.binary())], ["range", "segment"])
+
+    return run
+
+
+def _pack(rows: list[tuple]) -> bytes:
+    batch, sink = _batch(rows), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(segment: pa.Scalar) -> Iterator[tuple]:
+    """Entries of a segment, made into rows a few at a time."""
+    with pa.ipc.open_stream(segment.as_buffer()) as stream:
+        for batch in stream:
+            for o in range(0, batch.num_rows, 256):
+                yield from zip(*(c.to_pylist() for c in batch.slice(o, 256).columns), strict=True)
+
+
 class LoserTree:
     """Merge sorted runs; a node keeps the loser of its match, the winner moves up."""
 
-    def __init__(self, runs: list[list[tuple]]):
+    def __init__(self, runs: list[Iterable[tuple]]):
         self.runs = [iter(r) for r in runs]
         self.heads = [self._next(r) for r in self.runs]
         k = max(len(runs), 1)
@@ -264,12 +338,10 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(row[3], []).append(row)
+    """Merge the segments of one range; they stay packed until the tree reaches them."""
+    segments = [x for batch in batches for x in batch.column(1)]
     out = []
-    for row in LoserTree(list(runs.values())):
+    for row in LoserTree([_unpack(x) for x in segments]):
         out.append(row)
         if len(out) == 10_000:
             yield _batch(out)
@@ -277,7 +349,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(out)
 
 
-def capture_history(archives: DataFrame, folder: str) -> DataFrame:
+def capture_history(archives: DataFrame, folder: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Entries of all records in the named archives, globally ordered by URL key and time."""
     spark = archives.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
@@ -286,10 +358,10 @@ def capture_history(archives: DataFrame, folder: str) -> DataFrame:
         named, F.substring_index("path", "/", -1) == F.col("archive"), "left_semi"
     )
     runs = saved(files.mapInArrow(_read, ENTRY), "capture-runs")
-    order = ["url_key", "captured", F.col("page_id").isNull(), "page_id"]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = runs.repartitionByRange(n, *order).sortWithinPartitions("archive", *order)
-    return ranged.mapInArrow(_merge, ENTRY)
+    entries = archives.agg(F.sum("records")).first()[0] or 0
+    cuts = splitters(runs, entries, range_rows)
+    cut = runs.mapInArrow(_segments(spark.sparkContext.broadcast(cuts)), "range int, segment binary")
+    return cut.repartitionById(len(cuts) + 1, "range").mapInArrow(_merge, ENTRY)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -429,10 +429,54 @@ def test_warc_round_trip(spark):
     assert keys == sorted(keys)
 
 
+def test_archives_of_odd_ids_times_and_tables(spark, tmp_path):
+    from campwatch.llm._common import fresh_path
+
+    big = "x" * 1500
+    ids = [10**12, -(10**12), 2**62, -(2**63), 2**63 - 1, 0, None, 5, 5]
+    rows = [(i, "http://a/", big, 2**61, "clash", 3) for i in ids]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, t long, digest string, size int")
+    for time_col in (None, "t"):
+        folder = fresh_path(spark, "warc")
+        got = warc.capture_history(warc.write_archives(warc.assign(df, time_col=time_col), folder), folder).collect()
+        assert sorted((str(r["page_id"]), r["refers_to"]) for r in got) == sorted((str(i), None if i == 2**63 - 1 else 2**63 - 1) for i in ids)
+        assert {r["payload_bytes"] for r in got} == {1500}
+    df.limit(0).write.parquet(str(tmp_path / "pages.parquet"))
+    assert warc.op4(spark, str(tmp_path)).count() == 0
+
+
+def test_history_is_merged_from_many_segments(spark, monkeypatch):
+    from campwatch.llm._common import fresh_path
+
+    monkeypatch.setattr(warc, "ROLL", 2000)
+    # A third of all captures are of one URL at one time.
+    pages = [(i if i % 3 else 3, f"http://h{i % 7 if i % 3 else 0}.org/{i % 5 if i % 3 else ''}", f"p{i}") for i in range(600)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6)
+    folder = fresh_path(spark, "warc")
+    archives = warc.write_archives(warc.assign(df), folder)
+    assert archives.count() > 12
+    history = warc.capture_history(archives, folder, range_rows=40)
+    parts = history.select(F.spark_partition_id().alias("p"), *warc.NAMES).collect()
+    sizes = {}
+    for r in parts:
+        sizes[r["p"]] = sizes.get(r["p"], 0) + 1
+    assert len(sizes) > 8 and max(sizes.values()) < 160
+    keys = [warc._order(tuple(r)[1:6]) for r in sorted(parts, key=lambda r: r["p"])]
+    assert keys == sorted(keys) and len(keys) == 600
+    assert sorted(r["payload_digest"] for r in parts) == sorted(hashlib.sha1(h.encode()).hexdigest() for _, _, h in pages)
+
+
+def test_a_very_long_page_survives_the_archive():
+    html = "é<p>" * 1_400_000
+    digest, size = hashlib.sha1(html.encode()).hexdigest(), len(html.encode())
+    record = warc._record(7, "http://a/ b", html, digest, size, warc.EPOCH, None)
+    assert warc.parse(record) == ("a)/%20b", warc.EPOCH, 7, "response", size, digest, None)
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for _ in range(100):
-        runs = [sorted((f"u{rng.randrange(3)}", rng.randrange(4), rng.randrange(9)) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(8))]
+        runs = [sorted((f"u{rng.randrange(3)}", rng.randrange(4), rng.randrange(9), f"a{j}", i) for i in range(rng.randrange(6))) for j in range(rng.randrange(8))]
         assert list(warc.LoserTree(runs)) == sorted(itertools.chain(*runs))
 
 
