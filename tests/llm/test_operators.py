@@ -354,17 +354,102 @@ def test_word_by_word_ids_are_those_of_the_tokenizer():
     assert own.ids(long).tolist() == own.library.encode(long, add_special_tokens=False).ids
 
 
+def _describe_by_hand(text):
+    """Features of a text by the definition: no blocks, no strides, float64."""
+    raw = (text or "").encode()
+    payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    y = np.zeros(len(x) * 2 // 3)
+    for j in range(len(y)):
+        centre = j * 1.5
+        t = np.arange(17) - 8 - (centre - int(centre))
+        h = np.sinc(t * 2 / 3) * (0.54 + 0.46 * np.cos(np.pi * np.clip(t / 9, -1, 1)))
+        at = np.clip(int(centre) - 8 + np.arange(17), 0, len(x) - 1)
+        # The second phase of a group of three samples starts at its second one.
+        y[j] = x[at] @ (h / h.sum())
+    d = np.diff(y, prepend=y[:1])
+    if len(d) < 256:
+        d = np.pad(d, (0, 256 - len(d)))
+    edges = 700 * (10 ** (np.linspace(0, 2595 * math.log10(1 + 8000 / 700), 26) / 2595) - 1) / 8000 * 128
+    mel = []
+    for o in range(0, len(d) - 255, 128):
+        spectrum = np.abs(np.fft.rfft(d[o : o + 256] * np.hanning(256))) ** 2
+        row = []
+        for m in range(24):
+            a, b, c = edges[m : m + 3]
+            weight = [max(0.0, min((k - a) / max(b - a, 1e-9), (c - k) / max(c - b, 1e-9))) for k in range(129)]
+            row.append(10 * math.log10(float(spectrum @ np.array(weight)) + 1e-6))
+        mel.append(row)
+    mel = np.array(mel)
+    n = len(mel)
+    tensor = [mel[i * n // 8 : max((i + 1) * n // 8, i * n // 8 + 1)].mean(0) for i in range(8)]
+    energy, on, spans = mel.mean(1), False, []
+    for i, e in enumerate(energy):
+        if not on and e > energy.mean() + 0.5 * energy.std():
+            spans.append([i, n])
+            on = True
+        elif on and e < energy.mean() - 0.25 * energy.std():
+            spans[-1][1] = i
+            on = False
+    return payload, np.array(tensor), np.array(spans).reshape(-1, 2) * (128 / 16000), energy
+
+
 def test_media(docs, rows):
+    import struct
+
     got = media.audio_columns(docs).collect()
     assert len(got) == len(rows)
-    for r in got:
-        assert r["payload_bytes"] % 192 == 0 and r["payload_bytes"] >= max(192, r["n_bytes"])
-        assert r["media_bytes"] == r["payload_bytes"] + 44 and len(r["tensor"]) == media.BINS * media.MELS
-    shas = {hashlib.sha256(media.pad((r[1] or "").encode())).hexdigest(): 1 for r in rows}
-    assert {r["payload_sha256"] for r in got} == set(shas)
     by = {}
     for r in got:
-        assert by.setdefault(r["payload_sha256"], r["feature"]) == r["feature"]
+        by.setdefault(r["payload_sha256"], []).append(r)
+    texts = {r[1] or "" for r in rows}
+    seen = set()
+    for text in texts:
+        payload, tensor, spans, energy = _describe_by_hand(text)
+        sha = hashlib.sha256(payload).hexdigest()
+        seen.add(sha)
+        wav = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 24000, 24000, 1, 8)
+        wav += b"data" + struct.pack("<I", len(payload)) + payload
+        for r in by[sha]:
+            assert r["payload_bytes"] == len(payload) and r["tail_crc32"] == zlib.crc32(payload[-16:])
+            assert r["media_bytes"] == len(wav) and r["media_sha256"] == hashlib.sha256(wav).hexdigest()
+            # Energies are in dB; silence is at -60 and far below any rounding of interest.
+            assert np.abs(np.array(r["tensor"]).reshape(8, 24) - tensor).max() < 0.05
+            if len(energy) > 1 and energy.std() > 0.1:
+                assert [*r["span_start"], *r["span_end"]] == pytest.approx([*spans[:, 0], *spans[:, 1]])
+            assert r["feature"] == by[sha][0]["feature"] and r["feature"].startswith(f"{len(energy)} frames; ")
+    assert set(by) == seen
+
+
+def test_features_are_stored_as_fixed_shape_tensors(spark, docs):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from campwatch.llm._common import fresh_path, saved
+
+    rows = docs.select(F.col("doc_id").alias("row_id"), "text").mapInArrow(media._store, "row_id long, n_bytes long, media binary")
+    folder = fresh_path(spark, "tensors")
+    files = media.write_features(saved(rows, "media"), folder)
+    n = 0
+    for r in files.collect():
+        store, path = fs.FileSystem.from_uri(folder)
+        with store.open_input_file(f"{path}/{r['file']}") as source:
+            held = pa.ipc.open_file(source).read_all()
+        assert held.schema.field("tensor").type == pa.fixed_shape_tensor(pa.float32(), (media.BINS, media.MELS))
+        assert held.column("tensor").combine_chunks().to_numpy_ndarray().shape == (held.num_rows, media.BINS, media.MELS)
+        n += held.num_rows
+    assert n == docs.count()
+
+
+def test_blocks_of_a_very_long_recording_join_without_seams(monkeypatch):
+    rng = np.random.default_rng(3)
+    payload = rng.integers(32, 127, 192 * 26_000, dtype=np.uint8).tobytes()
+    assert len(payload) > 4 << 20
+    whole = media.features(payload, media.RATE)
+    monkeypatch.setattr(media, "FRAMES_AT_ONCE", 1000)
+    parts = media.features(payload, media.RATE)
+    assert np.abs(whole[0] - parts[0]).max() < 1e-3 and whole[2] == parts[2]
+    assert np.array_equal(whole[1], parts[1])
 
 
 def test_resampling_keeps_a_low_tone():
