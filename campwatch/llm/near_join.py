@@ -4,31 +4,38 @@ A text's set of distinct ``k``-word shingles is hashed into ``GROUPS`` groups;
 its group counts are a point. For two sets the summed coordinate minima of
 their points bound the overlap from above, so a box of points (a node of the
 tree) whose bound misses the overlap that the threshold needs is cut off with
-everything under it. Pairs that survive are verified on the full sets.
+everything under it. Pairs that survive are verified on the full sets (of 64-bit
+shingle hashes). All candidate pairs come from these trees.
 
 The tree is distributed at its top: under any common order of shingles, two
 sets that reach the threshold share one of the first ``n - ceil(t n) + 1``
-shingles, so each such shingle is a bucket and one tree is built inside it.
-The order puts shingles that many texts share last; it only affects speed.
-
-Inside a bucket only what components need is compared: first every member
-against a few leaders, then members that the first links left in different
-components: directly in buckets of a few members, through trees in larger
-ones. No group is expanded into all its pairs, and no link between different
-components is lost. Large buckets are cut into blocks, and block pairs go to
-separate tasks. Every pair passes the bound before its sets are fetched.
+shingles, so each such shingle is a bucket with a tree inside. The order puts
+shingles that many texts share last; it only affects speed. A task builds the
+trees of thousands of buckets at once, as one forest.
+
+Two searches go through the trees. The first finds for every member its best
+partner by the bound among the members before it, at most one pair a member;
+what it links becomes one component. The second finds all pairs that are still
+in different components. So no group is expanded into all its pairs, and no link
+between different components is lost. Buckets of more than BLOCK_ROWS members
+are cut into blocks: in the first search a block meets itself and a few leaders
+of its bucket, in the second all other blocks whose boxes (a level of the tree
+above the blocks) pass the bound and which are not of the same component. Only
+the boxes are paired; members go to the pairs of blocks that are left.
 
 Equal sets are one node, found by a 128-bit set hash, so exact copies never
 meet in a bucket.
 
 Defined cases: null text and texts without words have an empty set and link
 with nothing; a null id never becomes a component id unless no other exists in
-the component; rows repeated with one id are separate rows; an empty table
-gives an empty result; other columns are ignored.
+the component; rows repeated with one id are separate rows; a text of any length
+is one set; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campwatch.llm import _kernels as K
-from campwatch.llm._common import forget, saved, table
+from campwatch.llm._common import PLACE, forget, place_columns, placed, saved, table
 from campwatch.llm.graph import components
 
 #: A power of two. More groups bound the overlap more sharply.
@@ -48,13 +55,10 @@ COMMON = 1 << 18
 COMMON_FROM = 16
 BLOCK_ROWS = 256
 LEAF = 8
-#: Buckets up to this many members are paired directly; larger ones through trees.
-SMALL_BUCKET = 12
-#: Each salt puts bucket members in another order, whose first is a leader. 0 and -1
-#: give the least and the greatest, so that a bucket has two different leaders at least.
-LEADER_SALTS = (0, -1, 0x5DEECE66D1F3A7C1)
-#: Buckets up to this many members meet in full once two of them have met all others.
-MET = 3
+#: Members whose trees are built together, about.
+FOREST_ROWS = 8192
+#: Each salt puts the members of a large bucket in another order, whose first is a leader.
+LEADER_SALTS = (1, 2, 3, 4)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,10 +85,15 @@ def count_vector(shingles: np.ndarray) -> bytes:
 
 
 def _points(vectors: pa.Array) -> np.ndarray:
-    flat = np.frombuffer(b"".join(vectors.to_pylist()), "u1").reshape(-1, GROUPS)
-    points = flat.astype(np.int32)
-    points[points == 255] = 1 << 22
-    return points
+    return np.frombuffer(b"".join(vectors.to_pylist()), "u1").reshape(-1, GROUPS)
+
+
+def _bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of points, row by row; 255 stands for any number above 254."""
+    least = np.minimum(a, b)
+    total = least.sum(1, dtype=np.int64)
+    full = least == 255
+    return total + (full.sum(1, dtype=np.int64) << 22) if full.any() else total
 
 
 def _count_common(k: int):
@@ -112,10 +121,7 @@ def _count_common(k: int):
 
 
 def _describe(k: int, num: int, den: int, common):
-    schema = pa.schema(
-        [("row_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("cv", pa.binary()),
-         ("sigs", pa.list_(pa.int64()))]
-    )
+    names = ["row_id", *PLACE, "n", "node", "cv", "sigs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = common.value
@@ -134,10 +140,9 @@ def _describe(k: int, num: int, den: int, common):
                         own = own[np.lexsort((own, late))]
                 sigs.append(own[:first].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()),
-                 pa.array(node, pa.binary()), pa.array(cv, pa.binary()),
-                 pa.array(sigs, pa.list_(pa.int64()))],
-                schema=schema,
+                [batch.column(0), *(batch.column(i) for i in range(2, batch.num_columns)), pa.array(size, pa.int64()),
+                 pa.array(node, pa.binary()), pa.array(cv, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
+                [n for n in names if n not in PLACE or batch.num_columns > 2],
             )
 
     return run
@@ -178,136 +183,231 @@ def _overlap(num: int, den: int):
     return run
 
 
-class CountTree:
-    """Packed R-tree over count vectors: boxes are coordinate maxima and least sizes.
+class Forest:
+    """Packed R-trees over count vectors, one per group of points, searched together.
 
-    A box bounds overlaps from above, so only the upper corner matters; the
-    smallest set in a box gives the least overlap that any pair would need.
+    A box bounds overlaps from above, so only its upper corner matters; the
+    smallest set in a box gives the least overlap that any pair would need. A
+    level holds the boxes of all trees, tree by tree.
     """
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
-        halves = counts[:, : counts.shape[1] // 2].sum(1, dtype=np.int64)
-        self.order = np.lexsort((halves, sizes))
-        self.leaf = leaf
-        top, least, most = counts[self.order], sizes[self.order], sizes[self.order]
-        self.levels = [(top, least, most)]
-        while len(top) > leaf:
-            cut = np.arange(0, len(top), leaf)
-            top = np.maximum.reduceat(top, cut)
+    def __init__(self, group: np.ndarray, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
+        halves = points[:, : points.shape[1] // 2].sum(1, dtype=np.int64)
+        self.order = np.lexsort((halves, sizes, group))
+        group, top = group[self.order], points[self.order]
+        least = most = sizes[self.order]
+        #: Per level: corners, least and most sizes, and where each box's children begin and end.
+        self.levels = [(top, least, most, None)]
+        while len(group):
+            first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+            if len(first) == len(group) and len(self.levels) > 1:
+                break
+            place = np.arange(len(group)) - np.repeat(first, np.diff(first, append=len(group)))
+            cut = np.flatnonzero(place % leaf == 0)
+            span = np.stack([cut, np.append(cut[1:], len(group))])
+            top, group = np.maximum.reduceat(top, cut), group[cut]
             least, most = np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
-            self.levels.append((top, least, most))
-
-    def pairs(self, other: CountTree, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points of both trees whose bound reaches the threshold."""
-        height = max(len(self.levels), len(other.levels)) - 1
-        mine, yours = (t.levels[min(height, len(t.levels) - 1)][0] for t in (self, other))
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(len(mine)), np.arange(len(yours)), indexing="ij"))
-        for h in range(height, -1, -1):
-            if h < height:
-                i, j = self._open(i, j, h, other)
-            (ta, la, ma), (tb, lb, mb) = (t.levels[min(h, len(t.levels) - 1)] for t in (self, other))
-            good = np.zeros(len(i), bool)
+            self.levels.append((top, least, most, span))
+
+    def pairs(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of points of one group whose bound reaches the threshold, and their bounds.
+
+        Points are numbered as given; the second of a pair comes later in the tree.
+        """
+        i = j = np.arange(len(self.levels[-1][0]))
+        bound = np.zeros(len(i), np.int64)
+        for h in range(len(self.levels) - 1, -1, -1):
+            top, least, most, _ = self.levels[h]
+            if h + 1 < len(self.levels):
+                i, j = self._open(i, j, self.levels[h + 1][3])
+            if not h:
+                i, j = i[i < j], j[i < j]
+            bound, good = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
             for o in range(0, len(i), 1 << 14):
                 p, q = i[o : o + (1 << 14)], j[o : o + (1 << 14)]
-                bound = np.minimum(ta[p], tb[q]).sum(1, dtype=np.int64)
-                need = bound * (num + den) >= num * (la[p] + lb[q])
-                near = (den * ma[p] >= num * lb[q]) & (den * mb[q] >= num * la[p])
-                good[o : o + (1 << 14)] = need & near
-            i, j = i[good], j[good]
-        return self.order[i], other.order[j]
-
-    def _open(self, i, j, h, other):
-        for tree in (self, other):
-            if h + 1 < len(tree.levels):
-                n, own = len(tree.levels[h][0]), i if tree is self else j
-                child = own[:, None] * tree.leaf + np.arange(tree.leaf)
-                row, col = np.nonzero(child < n)
-                if other is self:
-                    # One tree against itself: open both sides in one step.
-                    a = child[row, col]
-                    again = j[row][:, None] * tree.leaf + np.arange(tree.leaf)
-                    r2, c2 = np.nonzero(again < n)
-                    return a[r2], again[r2, c2]
-                i, j = (child[row, col], j[row]) if tree is self else (i[row], child[row, col])
-        return i, j
-
-
-def _tree_pairs(num: int, den: int):
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(cell: pa.Table) -> pa.Table:
-        cell = cell.combine_chunks()
-        counts = _points(cell.column("cv"))
-        size, root, nid, block, low, high, sig = (
-            cell.column(c).to_numpy() for c in ("n", "root", "nid", "block", "low", "high", "sig")
-        )
-        shared = cell.column("open_sigs").to_pylist()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        if not len(left) or not len(right):
-            return out.empty_table()
-        one = CountTree(counts[left], size[left])
-        two = one if low[0] == high[0] else CountTree(counts[right], size[right])
-        i, j = one.pairs(two, num, den)
-        i, j = left[i], right[j]
-        apart = (root[i] != root[j]) & (nid[i] < nid[j] if one is two else True)
-        i, j = i[apart], j[apart]
-        # A pair that meets in several buckets is given by the first of them.
-        own, held = sig[0], [frozenset(x) for x in shared]
-        first = [min(held[x] & held[y]) == own for x, y in zip(i, j, strict=True)]
-        i, j = i[first], j[first]
-        a, b = nid[i], nid[j]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=out)
+                own = _bounds(top[p], top[q])
+                need = own * (num + den) >= num * (least[p] + least[q])
+                near = (den * most[p] >= num * least[q]) & (den * most[q] >= num * least[p])
+                bound[o : o + (1 << 14)], good[o : o + (1 << 14)] = own, need & near
+            i, j, bound = i[good], j[good], bound[good]
+        return self.order[i], self.order[j], bound
+
+    @staticmethod
+    def _open(i: np.ndarray, j: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Children of both boxes of every pair, each unordered pair once."""
+        many_i, many_j = span[1][i] - span[0][i], span[1][j] - span[0][j]
+        total = many_i * many_j
+        row = np.repeat(np.arange(len(i)), total)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
+        p = span[0][i][row] + step // many_j[row]
+        q = span[0][j][row] + step % many_j[row]
+        once = p <= q
+        return p[once], q[once]
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, joined and cut between two of its values."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < FOREST_ROWS:
+            continue
+        whole = pa.Table.from_batches(held)
+        cell = whole.column(0).to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1]))
+        if cut:
+            yield whole.slice(0, cut)
+            held = whole.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _search(num: int, den: int, nearest: bool):
+    """Pairs of each cell by its tree: ``cell, side, nid, root, n, cv``.
+
+    Of a cell of two blocks (sides 0 and 1) only pairs across are wanted. With
+    ``nearest`` every member has one pair at most, else all pairs of different roots.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_cells(batches):
+            whole = whole.combine_chunks()
+            cell, side, nid, root, n = (whole.column(c).to_numpy() for c in ("cell", "side", "nid", "root", "n"))
+            forest = Forest(cell, _points(whole.column("cv")), n)
+            i, j, bound = forest.pairs(num, den)
+            apart = ((side[i] != side[j]) | (side[i] == 2)) & (root[i] != root[j]) & (nid[i] != nid[j])
+            i, j, bound = i[apart], j[apart], bound[apart]
+            if nearest:
+                best = np.lexsort((nid[i], -bound, j))
+                best = best[np.flatnonzero(np.diff(j[best], prepend=-1))]
+                i, j = i[best], j[best]
+            a, b = np.minimum(nid[i], nid[j]), np.maximum(nid[i], nid[j])
+            found = np.unique(np.stack([a, b], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return run
 
 
-def _bound(num: int, den: int):
-    """Drop pairs whose summed coordinate minima miss the overlap they need."""
+def _searched(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    dealt = cells.select("cell", "side", "nid", "root", "n", "cv").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_search(num, den, nearest), "a long, b long").distinct()
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Upper corner, least and most size of each block, from rows sorted by block."""
+    for whole in _whole_cells(batches):
+        whole = whole.combine_chunks()
+        key, n = whole.column(0).to_numpy(), whole.column("n").to_numpy()
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ 1))
+        top = np.maximum.reduceat(_points(whole.column("cv")), first)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[first]), pa.array([t.tobytes() for t in top], pa.binary()),
+             pa.array(np.minimum.reduceat(n, first)), pa.array(np.maximum.reduceat(n, first))],
+            ["block", "top", "least", "most"],
+        )
+
+
+def _box_pairs(num: int, den: int):
+    """Pairs of blocks whose boxes reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bound = np.minimum(_points(batch.column(2)), _points(batch.column(3))).sum(1, dtype=np.int64)
-            good = pa.array(bound * (num + den) >= num * batch.column(4).to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"]
-            )
+            la, ma, lb, mb = (batch.column(i).to_numpy() for i in range(4, 8))
+            near = (den * ma >= num * lb) & (den * mb >= num * la)
+            good = near & (_bounds(_points(batch.column(2)), _points(batch.column(3))) * (num + den) >= num * (la + lb))
+            yield batch.select([0, 1]).filter(pa.array(good))
 
     return run
 
 
 def _verify(df, pairs, nodes, id_col, text_col, k, num, den, name):
-    """The pairs that reach the threshold: by the bound, then on full sets of shingles."""
-    bounded = saved(
-        pairs.join(nodes.select(F.col("nid").alias("a"), F.col("cv").alias("ca"), F.col("n").alias("na")), "a")
-        .join(nodes.select(F.col("nid").alias("b"), F.col("cv").alias("cb"), F.col("n").alias("nb")), "b")
-        .select("a", "b", "ca", "cb", F.col("na") + F.col("nb"))
-        .mapInArrow(_bound(num, den), "a long, b long"),
-        f"{name}-bounded",
-    )
-    ends = bounded.select(F.col("a").alias("nid")).union(bounded.select("b")).distinct()
+    """The pairs of a written table that reach the threshold, on full sets of shingles."""
+    ends = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
     wanted = saved(nodes.select("nid", "node", "row_id").join(ends, "nid"), f"{name}-nodes")
     ids = wanted.select(F.col("row_id").alias("__id")).distinct()
-    texts = df.select(id_col, text_col).join(
-        ids, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi"
-    )
+    texts = df.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"))
+    texts = texts.join(ids, F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
     full = texts.mapInArrow(_shingles(k), "node binary, full binary")
     full = saved(
         full.join(wanted.select("node", "nid"), "node").dropDuplicates(["nid"]).select("nid", "full"),
         f"{name}-sets",
     )
-    both = bounded.join(full.select(F.col("nid").alias("a"), F.col("full").alias("fa")), "a").join(
+    both = pairs.join(full.select(F.col("nid").alias("a"), F.col("full").alias("fa")), "a").join(
         full.select(F.col("nid").alias("b"), F.col("full").alias("fb")), "b"
     )
     links = saved(
         both.select("a", "b", "fa", "fb").mapInArrow(_overlap(num, den), "a long, b long"),
         f"{name}-links",
     )
-    for done in (bounded, wanted, full):
+    for done in (wanted, full):
         forget(done)
     return links
 
 
+def _first_cells(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cells of the first search: blocks of each bucket, with its leaders in every block."""
+    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    spread = members.withColumn("blocks", blocks)
+    own = F.pmod(F.xxhash64("nid", "sig"), F.col("blocks")).cast("int")
+    firsts = [F.min(F.struct(F.xxhash64(F.lit(s), "nid"), "nid"))["nid"] for s in LEADER_SALTS]
+    leaders = (
+        spread.where("blocks > 1").groupBy("sig", "blocks").agg(F.array_distinct(F.array(*firsts)).alias("lead"))
+        .select("sig", "blocks", F.explode("lead").alias("nid"))
+        .select("sig", "nid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    )
+    rows = spread.select("sig", "nid", own.alias("block"))
+    rows = rows.union(leaders.join(rows, ["sig", "nid", "block"], "left_anti"))
+    return rows.join(nodes.select("nid", "n", "cv"), "nid").select(
+        F.xxhash64("sig", "block").alias("cell"), F.lit(2).alias("side"), "nid", F.col("nid").alias("root"), "n", "cv"
+    )
+
+
+def _second_cells(open_rows: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Cells of the second search: small buckets, and pairs of blocks of large ones.
+
+    ``open_rows`` (``sig, members, nid, n, root``) is a written table.
+    """
+    points = nodes.select("nid", "cv")
+    small = open_rows.where(F.col("members") <= BLOCK_ROWS).join(points, "nid").select(
+        F.col("sig").alias("cell"), F.lit(2).alias("side"), "nid", "root", "n", "cv"
+    )
+    large = open_rows.where(F.col("members") > BLOCK_ROWS)
+    # A component with many members in the bucket has blocks of its own, which need not meet.
+    many = large.groupBy("sig", "root").agg(F.count("*").alias("c")).where(F.col("c") >= BLOCK_ROWS // 2)
+    kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.001 * math.log(den / num))).cast("int")
+    homed = large.join(many, ["sig", "root"], "left").select(
+        "sig", "nid", "n", "root", F.when(F.col("c").isNotNull(), F.col("root")).otherwise(-1).alias("home"),
+        kind.alias("kind"),
+    )
+    counts = homed.groupBy("sig", "home", "kind").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    sub = F.pmod(F.xxhash64("nid"), F.col("blocks"))
+    rows = homed.join(counts, ["sig", "home", "kind"]).select(
+        F.xxhash64("sig", "home", "kind", sub).alias("block"), "sig", "home", "nid", "root", "n"
+    )
+    rows = saved(rows.join(points, "nid"), "block-rows")
+    facts = rows.groupBy("block").agg(F.any_value("sig").alias("sig"), F.any_value("home").alias("home"))
+    dealt = rows.select("block", "n", "cv").repartition("block").sortWithinPartitions("block")
+    boxes = dealt.mapInArrow(_boxes, "block long, top binary, least long, most long").join(facts, "block")
+    boxes = saved(boxes, "boxes")
+    one = boxes.select([F.col(c).alias(f"{c}1") for c in boxes.columns])
+    two = boxes.select([F.col(c).alias(f"{c}2") for c in boxes.columns])
+    alike = (F.col("home1") == F.col("home2")) & (F.col("home1") >= 0)
+    # Boxes, one per BLOCK_ROWS members, meet in an equi-join on the bucket, sizes first.
+    met = one.join(two, F.col("sig1") == F.col("sig2")).where(
+        (F.col("block1") <= F.col("block2")) & ~alike & _near("most1", "least2", num, den, half=True)
+        & _near("most2", "least1", num, den, half=True)
+    )
+    met = met.select("block1", "block2", "top1", "top2", "least1", "most1", "least2", "most2")
+    pairs = saved(met.mapInArrow(_box_pairs(num, den), "block1 long, block2 long"), "block-pairs")
+    cell, same = F.xxhash64("block1", "block2").alias("cell"), F.col("block1") == F.col("block2")
+    sides = pairs.select(cell, F.when(same, 2).otherwise(0).alias("side"), F.col("block1").alias("block")).union(
+        pairs.where(~same).select(cell, F.lit(1).alias("side"), F.col("block2").alias("block"))
+    )
+    return small.union(rows.join(sides, "block").select("cell", "side", "nid", "root", "n", "cv"))
+
+
 def jaccard_components(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -318,12 +418,14 @@ def jaccard_components(
 ) -> DataFrame:
     """Shingle count and component of every row; sets link at Jaccard >= num / den.
 
-    Returns ``row_id, n_shingles, component_id``, one row per input row.
+    Returns ``row_id, n_shingles, component_id``, one row per input row, and
+    where the row lies if ``df`` is ``placed``.
     """
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
+    place = place_columns(df)
+    texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"), *place)
     often = (
-        texts.mapInArrow(_count_common(k), "sig long, times long")
+        texts.select("row_id", "text").mapInArrow(_count_common(k), "sig long, times long")
         .groupBy("sig").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON_FROM)
         .orderBy(F.desc("times"), "sig").limit(COMMON).toArrow()
     )
@@ -331,10 +433,11 @@ def jaccard_components(
     rank = np.floor(np.log2(np.maximum(often.column("times").to_numpy(), 1))).astype(np.int64)
     by_sig = np.argsort(sig)
     common = spark.sparkContext.broadcast((sig[by_sig], rank[by_sig]))
+    at = "".join(f"{c} {t}, " for c, t in df.select(*place).dtypes) if place else ""
     rows = saved(
         texts.mapInArrow(
             _describe(k, num, den, common),
-            "row_id long, n long, node binary, cv binary, sigs array<long>",
+            f"row_id long, {at}n long, node binary, cv binary, sigs array<long>",
         ),
         "sets",
     )
@@ -356,99 +459,65 @@ def jaccard_components(
         F.bit_xor(F.xxhash64("nid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "nid")).alias("h2")
     )
     kept = alike.groupBy("members", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
-    members = saved(
-        every.join(saved(kept, "kept-buckets"), "sig", "left_semi").join(nodes.select("nid", "n"), "nid"),
-        "members",
-    )
-    firsts = [F.min(F.col("nid").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in LEADER_SALTS]
-    leaders = members.groupBy("sig").agg(F.array(*firsts).alias("leaders"))
-    leaders = saved(
-        leaders.select("sig", F.explode(F.array_distinct("leaders")).alias("leader")).join(
-            nodes.select(F.col("nid").alias("leader"), F.col("n").alias("ln")), "leader"
-        ),
-        "leaders",
-    )
-    star = saved(
-        members.join(leaders, "sig")
-        .where((F.col("nid") != F.col("leader")) & _near("n", "ln", num, den))
-        .select(F.least("nid", "leader").alias("a"), F.greatest("nid", "leader").alias("b"))
-        .distinct(),
-        "star",
-    )
-    links = _verify(df, star, nodes, id_col, text_col, k, num, den, "star")
+    members = saved(every.join(saved(kept, "kept-buckets"), "sig", "left_semi"), "members")
+    forget(every)
+    first = saved(_searched(_first_cells(members, nodes), num, den, nearest=True), "first")
+    links = _verify(df, first, nodes, id_col, text_col, k, num, den, "first")
     found = saved(components(links), "first-components")
-    rooted = members.join(found.withColumnRenamed("node", "nid"), "nid", "left").select(
-        "sig", "members", "nid", "n", F.coalesce("root", "nid").alias("root")
-    )
+    rooted = members.join(nodes.select("nid", "n"), "nid").join(found.withColumnRenamed("node", "nid"), "nid", "left")
+    rooted = rooted.select("sig", "members", "nid", "n", F.coalesce("root", "nid").alias("root"))
     split = saved(
-        rooted.where(F.col("members") > MET).groupBy("sig")
-        .agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("sig"),
+        rooted.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+        .where("r1 != r2").select("sig"),
         "split",
     )
     open_rows = saved(rooted.join(split, "sig"), "open")
-    few = open_rows.where(F.col("members") <= SMALL_BUCKET)
-    mate = few.select(
-        "sig", F.col("nid").alias("nid2"), F.col("n").alias("n2"), F.col("root").alias("root2")
-    )
-    direct = (
-        few.join(mate, "sig")
-        .where((F.col("nid") < F.col("nid2")) & (F.col("root") != F.col("root2")) & _near("n", "n2", num, den))
-        .select(F.col("nid").alias("a"), F.col("nid2").alias("b"))
-    )
-    many = open_rows.where(F.col("members") > SMALL_BUCKET)
-    of_node = many.groupBy("nid").agg(F.collect_list("sig").alias("open_sigs"))
-    cells = (
-        many.join(of_node.join(nodes.select("nid", "cv"), "nid"), "nid")
-        .withColumn("blocks", F.ceil(F.col("members") / BLOCK_ROWS).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mate"))
-        .select(
-            "sig", "nid", "n", "root", "cv", "open_sigs", "block",
-            F.least("block", "mate").alias("low"), F.greatest("block", "mate").alias("high"),
-        )
-    )
-    trees = cells.groupBy("sig", "low", "high").applyInArrow(
-        _tree_pairs(num, den), "a long, b long"
-    )
-    more = saved(direct.union(trees).distinct().join(star, ["a", "b"], "left_anti"), "more")
-    further = _verify(df, more, nodes, id_col, text_col, k, num, den, "more")
-    final = saved(components(links.union(further)), "components")
+    further = _searched(_second_cells(open_rows, nodes, num, den), num, den, nearest=False)
+    more = saved(further.join(first, ["a", "b"], "left_anti"), "more")
+    links = links.union(_verify(df, more, nodes, id_col, text_col, k, num, den, "more"))
+    final = saved(components(links), "components")
     labels = final.join(nodes.select(F.col("nid").alias("node"), "row_id"), "node")
     smallest = labels.groupBy("root").agg(F.min("row_id").alias("component_id"))
     named = saved(
         nodes.select("node", "nid", "row_id")
         .join(final.select(F.col("node").alias("nid"), "root"), "nid", "left")
         .join(smallest, "root", "left")
-        .select("node", F.when(F.col("root").isNull(), F.col("row_id"))
-                .otherwise(F.col("component_id")).alias("component_id")),
+        .select("node", "nid", F.coalesce("root", "nid").alias("root"),
+                F.when(F.col("root").isNull(), F.col("row_id")).otherwise(F.col("component_id")).alias("component_id")),
         "named",
     )
-    for done in (buckets, every, members, leaders, star, split, open_rows, more, nodes):
+    for done in (buckets, members, first, split, open_rows, more, nodes):
         forget(done)
-    slim = rows.select("row_id", "n", "node")
-    return slim.where("n > 0").join(named, "node").select(
-        "row_id", F.col("n").alias("n_shingles"), "component_id"
-    ).union(slim.where("n = 0").select("row_id", "n", "row_id"))
+    # Rows of empty sets are components of their own, without a root.
+    slim = rows.select("row_id", "n", "node", *place)
+    cols = ["row_id", F.col("n").alias("n_shingles"), "component_id", "root", *place]
+    alone = slim.where("n = 0").select(
+        "row_id", "n", F.col("row_id").alias("component_id"), F.lit(None).cast("long").alias("root"), *place
+    )
+    out = slim.where("n > 0").join(named, "node").select(cols).union(alone)
+    return out if place else out.drop("root")
 
 
-def _near(one: str, two: str, num: int, den: int):
-    """Whether two set sizes can reach the threshold at all."""
-    return (F.col(one) * den >= F.col(two) * num) & (F.col(two) * den >= F.col(one) * num)
+def _near(one: str, two: str, num: int, den: int, half: bool = False):
+    """Whether the first size is not too small for the second one, and unless ``half`` the reverse."""
+    near = F.col(one) * den >= F.col(two) * num
+    return near if half else near & (F.col(two) * den >= F.col(one) * num)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with the row of the smallest id of each component, columns unchanged."""
-    from pyspark.sql import Window
-
-    found = jaccard_components(df, id_col, text_col, **options)
-    stays = saved(
-        found.where(F.col("row_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("row_id").alias("__id"), F.col("n_shingles").alias("__n")).distinct(),
-        "stays",
-    )
-    kept = df.join(stays, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    one = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(id_col)
-    return kept.withColumn("__r", F.row_number().over(one)).where("__r = 1").select(*df.columns)
+    """``df`` with one row of each component, that of the smallest id; columns unchanged.
+
+    Rows go by their place in the table: of rows that share the smallest id the
+    first stays, and a component without any id keeps its first row. Rows with
+    empty sets stay, each one.
+    """
+    rows = placed(df)
+    found = saved(jaccard_components(rows, id_col, text_col, **options), "found").where("root IS NOT NULL")
+    rank = F.struct(F.col("row_id").isNull(), "row_id", *place_columns(rows))
+    best = found.groupBy("root").agg(F.min(rank).alias("best"))
+    same = [F.col(c) == F.col(f"best.{c}") for c in place_columns(rows)]
+    gone = found.join(best, "root").where(~(same[0] & same[1] & same[2])).select(*place_columns(rows))
+    return rows.join(saved(gone, "near-copies"), place_columns(rows), "left_anti").select(*df.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,19 +171,99 @@ def test_near_join_of_buckets_of_three(spark):
     assert got == {i: i - (i % 3 == 2) for i in range(len(texts))}
 
 
-def test_tree_bounds_lose_no_pair():
+def _linked(texts, k, num):
+    """Component label (least position) of each text, by comparing all pairs."""
+    sets = list(_sets([(None, t) for t in texts], k))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("blocks", [256, 16])
+def test_near_join_of_large_buckets(spark, monkeypatch, blocks):
+    """Hundreds of texts share their rarest shingles, in clusters that drift apart."""
+    rng = random.Random(21)
+    shared = _words(rng, 12)
+    texts = []
+    for c in range(12):
+        own = _words(rng, rng.choice((30, 44, 60))).split()
+        for _ in range(35 if c else 120):
+            w = list(own)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+            texts.append(shared + " " + " ".join(w))
+    rng.shuffle(texts)
+    # With hardly any order every shingle can be a bucket, the shared ones too.
+    monkeypatch.setattr(near_join, "COMMON", 1)
+    monkeypatch.setattr(near_join, "BLOCK_ROWS", blocks)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["row_id"]: r["component_id"] for r in near_join.jaccard_components(df, k=4, num=85).collect()}
+    assert [got[i] for i in range(len(texts))] == _linked(texts, 4, 85)
+
+
+def test_near_join_of_very_long_texts(spark):
+    base = " ".join(f"w{i % 70_000}" for i in range(700_000))
+    assert len(base) > 4 << 20
+    texts = [base, base.replace("w77 ", "zz ", 5), "short text " * 3, base[: len(base) // 2]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["row_id"]: (r["n_shingles"], r["component_id"]) for r in near_join.jaccard_components(df).collect()}
+    sets = [len(s) for s in _sets([(None, t) for t in texts], 5)]
+    assert got == {i: (sets[i], c) for i, c in enumerate(_linked(texts, 5, 80))}
+
+
+def test_keep_one_goes_by_row_and_not_by_id(spark):
+    a, b, c = "one two three four five six", "a b c d e f g", "k l m n o p q r"
+    rows = [(1, a), (1, a), (1, b), (1, b), (1, c), (None, c), (None, "x y z"), (None, "x y z"), (None, "u v w"), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(*r, "root", 3) for r in rows], "doc_id long, text string, root string, nid long").repartition(3)
+    kept = near_join.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(1, a), (1, b), (1, c), (None, "x y z"), (None, "u v w"), (4, None), (4, None), (5, "")]
+    assert sorted(str((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("leaf", [2, 8])
+def test_forest_loses_no_pair(leaf):
     rng = np.random.default_rng(1)
-    counts = rng.poisson(1.5, (150, 16)).astype(np.int32)
-    counts[75:] = np.maximum(counts[:75] + rng.integers(-1, 2, (75, 16)) * (rng.random((75, 16)) < 0.1), 0)
-    sizes = counts.sum(1)
-    tree = near_join.CountTree(counts, sizes)
-    i, j = tree.pairs(tree, 80, 100)
-    got = set(zip(i.tolist(), j.tolist(), strict=True))
-    for a in range(150):
-        for b in range(150):
-            bound = np.minimum(counts[a], counts[b]).sum()
-            ratio = 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])
-            assert ((a, b) in got) == (bound * 180 >= 80 * (sizes[a] + sizes[b]) and ratio)
+    counts = rng.poisson(1.5, (180, 16)).astype(np.uint8)
+    counts[75:150] = np.maximum(counts[:75].astype(int) + rng.integers(-1, 2, (75, 16)) * (rng.random((75, 16)) < 0.1), 0)
+    counts[150:, 0] = 255
+    sizes = counts.sum(1, dtype=np.int64)
+    sizes[150:] += rng.integers(0, 60, 30)
+    group = rng.integers(0, 9, 180)
+    group[:60] = 4
+    i, j, bound = near_join.Forest(group, counts, sizes, leaf).pairs(80, 100)
+    got = {(min(a, b), max(a, b)): n for a, b, n in zip(i.tolist(), j.tolist(), bound.tolist(), strict=True)}
+    assert len(got) == len(i)
+    for a, b in itertools.combinations(range(180), 2):
+        least = np.minimum(counts[a], counts[b]).astype(int)
+        most = int(least.sum()) + (1 << 22) * int((least == 255).sum())
+        ratio = 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])
+        want = group[a] == group[b] and most * 180 >= 80 * (sizes[a] + sizes[b]) and ratio
+        assert ((a, b) in got) == want and (not want or got[a, b] == most)
+    assert near_join.Forest(group[:0], counts[:0], sizes[:0]).pairs(80, 100)[0].size == 0
+
+
+def test_candidates_come_from_trees_alone(spark, monkeypatch):
+    """With a bound that lets nothing through there is no pair to verify, in a bucket of any size."""
+    texts = [f"a b c d e f g h i j k l m n o p q r s{i}" for i in range(3)] + [f"aa bb cc dd ee ff gg hh ii jj kk ll mm nn {i}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    seen = near_join.jaccard_components(df, k=4, num=60).select("component_id").distinct().count()
+    assert seen == 2
+    pairs = []
+    monkeypatch.setattr(near_join, "_search", lambda num, den, nearest: lambda batches: iter(()))
+    verify = near_join._verify
+    monkeypatch.setattr(near_join, "_verify", lambda df, p, *rest: pairs.append(p.count()) or verify(df, p, *rest))
+    assert near_join.jaccard_components(df, k=4, num=60).select("component_id").distinct().count() == len(texts)
+    assert pairs == [0, 0]
 
 
 def _water_fill(sizes, weights, share, cap):
