@@ -82,5 +82,54 @@ def explain_flag(tactic: Column, evidence: Column, rationale: Column | None = No
     return F.concat(F.try_element_at(_table(T.LABELS), tactic), F.lit(": "), why, F.lit(". Seen: "), evidence, F.lit("."))
 
 
+DEFAULT_TIP = "Stop, and check with the person or company through a channel that is not in this message."
+
+
+def explanation(flags: Column) -> Column:
+    """All surfaced flags of a message in plain words, the most confident first.
+
+    ``flags`` is an array of ``confidence, tactic, evidence, rationale`` (a
+    model's reason, or null); equally confident flags go by tactic.
+    """
+    ordered = F.array_sort(
+        flags,
+        lambda x, y: F.when(x["confidence"] > y["confidence"], -1).when(x["confidence"] < y["confidence"], 1)
+        .when(x["tactic"] < y["tactic"], -1).when(x["tactic"] > y["tactic"], 1).otherwise(0),
+    )
+    lines = F.transform(ordered, lambda f: F.concat(F.lit("- "), explain_flag(f["tactic"], f["evidence"], f["rationale"])))
+    n = F.size(flags)
+    intro = F.when(n == 1, "This message shows a pattern that scams use:").otherwise(
+        F.concat(F.lit("This message shows "), n.cast("string"), F.lit(" patterns that scams use:"))
+    )
+    first = F.coalesce(tip(F.try_element_at(ordered, F.lit(1))["tactic"]), F.lit(DEFAULT_TIP))
+    found = F.concat(intro, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\nWhat to do: "), first)
+    return F.when(F.coalesce(n, F.lit(0)) > 0, found).otherwise(F.lit(NOTHING + " " + DEFAULT_TIP))
+
+
+def check_result(flags: Column, tier: Column) -> Column:
+    """``kind, finding, evidence`` of a message: its surfaced flags in order, or no strong pattern.
+
+    ``flags`` is an array of ``tactic, confidence, spans, rationale``.
+    """
+    names = _table(T.LABELS)
+
+    def cited(f: Column) -> Column:
+        label = F.concat(
+            F.lit("Tier "), tier.cast("string"), F.lit(": "), F.try_element_at(names, f["tactic"]),
+            F.lit(" (confidence "), F.format_number(f["confidence"], 2), F.lit(")"),
+        )
+        return F.struct(
+            F.lit("transcript_span").alias("kind"), F.array_join(f["spans"], ", ").alias("quoted_text"),
+            label.alias("source_label"), f["tactic"].alias("tactic_id"), f["rationale"].alias("model_rationale"),
+        )
+
+    found = F.coalesce(F.size(flags), F.lit(0)) > 0
+    return F.struct(
+        F.when(found, "flag").otherwise("no_strong_pattern").alias("kind"),
+        F.try_element_at(names, F.try_element_at(flags, F.lit(1))["tactic"]).alias("finding"),
+        F.transform(flags, cited).alias("evidence"),
+    )
+
+
 def tip(tactic: Column) -> Column:
     return F.try_element_at(_table(TIPS), tactic)

@@ -32,6 +32,34 @@ def extract_json(reply: pa.Array) -> pa.Array:
     return pa.array([_first_value(x) for x in reply.to_pylist()], pa.string())
 
 
+def refinements(reply_json: Column) -> Column:
+    """The stricter reader: a list or ``{results: [...]}`` only, rationales cut at 200 characters.
+
+    Null if nothing usable is left.
+    """
+    single = F.startswith(reply_json, F.lit("{")) & F.from_json(reply_json, "struct<results:string>")["results"].isNull()
+    rows = F.transform(
+        assessments(F.when(~single, reply_json)),
+        lambda r: r.withField("rationale", F.substring(r["rationale"], 1, 200)),
+    )
+    return F.when(F.size(rows) > 0, rows)
+
+
+def joint_confidence(scam_logits: Column, tactic_logits: Column, order: tuple[str, ...]) -> Column:
+    """Array of ``tactic, confidence``: probability of a scam times that of the tactic.
+
+    Without tactic logits every tactic gets the probability of a scam.
+    """
+    scam = softmax(scam_logits)[1]
+    own = softmax(tactic_logits)
+    rows = [
+        F.struct(F.lit(t).alias("tactic"), F.when(tactic_logits.isNull(), scam).otherwise(scam * F.try_element_at(own, F.lit(i + 1))).alias("confidence"))
+        for i, t in enumerate(order)
+        if t != "none"
+    ]
+    return F.filter(F.array(*rows), lambda r: r["confidence"].isNotNull())
+
+
 def assessments(reply_json: Column) -> Column:
     """Array of ``tactic, confidence, rationale`` from a list, ``{results: [...]}`` or one object.
 

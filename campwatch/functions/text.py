@@ -13,6 +13,7 @@ from campwatch.functions import taxonomy as T
 ZERO_WIDTH = "​‌‍﻿"
 # Cyrillic look-alikes and what they stand for.
 LOOKALIKE_FROM, LOOKALIKE_TO = "аеорсх", "aeopcx"
+# Patterns of phone numbers and wallet addresses.
 PHONE = r"\+?\d(?:[\d\-\s().]{6,})\d"
 WALLET = r"\b(?:bc1[a-z0-9]{20,}|0x[a-fA-F0-9]{40}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"
 
@@ -118,6 +119,36 @@ JUNK_MODERATE = (
 )
 
 
+# Replies over the message channel.
+CAUTION = "CAUTION: This message matches known scam patterns ({}). Do not send money or personal info.{} Reply STOP to opt out."
+NO_PATTERN = "No strong scam pattern detected -- but if you're unsure, don't send money or personal info.{} Reply STOP to opt out."
+TEMPLATE_NOTE = " Note: this message claims to be from a registered sender but doesn't match their approved template."
+
+
+def template_signal(registered: Column, matched: Column) -> Column:
+    """Only a registered sender that leaves its own template tells anything."""
+    return F.coalesce(registered & ~matched, F.lit(False))
+
+
+def sms_reply(tactics: Column, deviates: Column) -> Column:
+    """Reply to a message, from its surfaced tactics and whether its sender left the template."""
+    note = F.when(deviates, TEMPLATE_NOTE).otherwise("")
+    names = F.array_join(F.array_sort(F.array_distinct(tactics)), ", ")
+    one, two = (t.split("{}") for t in (CAUTION, NO_PATTERN))
+    found = F.concat(F.lit(one[0]), names, F.lit(one[1]), note, F.lit(one[2]))
+    return F.when(F.size(tactics) > 0, found).otherwise(F.concat(F.lit(two[0]), note, F.lit(two[1])))
+
+
+def prewarm(reasons: Column) -> Column:
+    """Whether any wake reason is one for loading the model ahead."""
+    return F.arrays_overlap(reasons, F.array(F.lit("payment_app_foreground"), F.lit("flagged_incoming_call")))
+
+
+def within_caps(text: Column, limit: int = 8000) -> Column:
+    """Whether a request's text is short enough to be taken (8000 to analyse, 4000 to explain)."""
+    return F.length(text) <= limit
+
+
 def sms_junk(text: Column) -> Column:
     low = F.lower(text)
 

@@ -7,28 +7,95 @@ conversation.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from campwatch.functions import taxonomy as T
 from campwatch.functions import text as X
 
 ESCALATE, TIER2 = 0.28, 0.55
+SEPARATOR = "\x1f"
 CEILING, FLOOR = 0.35, 0.40
 
 
 def cue_hits(lowered: Column, edge: bool = False) -> Column:
-    """Per tactic with a match: name and matched cues in listed order."""
-    found = [
-        F.struct(
-            F.lit(t).alias("tactic"),
-            F.filter(
-                F.array(*[F.lit(c) for c in T.cues(t, edge)]), lambda c: F.contains(lowered, c)
-            ).alias("spans"),
+    """Per tactic with a match: name and matched cues in listed order.
+
+    The scan is written out cue by cue, so it runs as compiled code; no cue
+    contains the separator.
+    """
+    found = []
+    for t in T.TACTICS:
+        cues = [F.when(F.contains(lowered, F.lit(c)), c) for c in T.cues(t, edge)]
+        joined = F.concat_ws(SEPARATOR, *cues)
+        hit = F.struct(F.lit(t).alias("tactic"), F.split(joined, SEPARATOR).alias("spans"))
+        found.append(F.when(joined != "", hit))
+    return F.array_compact(F.array(*found))
+
+
+@lru_cache(maxsize=2)
+def _automaton(edge: bool):
+    """Automaton of all cues; a cue stands for every place at which it is listed."""
+    import ahocorasick
+
+    machine, places = ahocorasick.Automaton(), {}
+    for i, (_, cue) in enumerate(listed(edge)):
+        places.setdefault(cue, []).append(i)
+    for cue, at in places.items():
+        machine.add_word(cue, tuple(at))
+    machine.make_automaton()
+    return machine
+
+
+def listed(edge: bool = False) -> list[tuple[str, str]]:
+    """All cues with their tactics, in listed order."""
+    return [(t, c) for t in T.TACTICS for c in T.cues(t, edge)]
+
+
+def _matches(edge: bool):
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def scan_text(lowered: pa.Array) -> pa.Array:
+        machine = _automaton(edge)
+        return pa.array(
+            [None if x is None else sorted({i for _, at in machine.iter(x) for i in at}) for x in lowered.to_pylist()],
+            pa.list_(pa.int32()),
         )
-        for t in T.TACTICS
-    ]
-    return F.filter(F.array(*found), lambda h: F.size(h["spans"]) > 0)
+
+    return scan_text
+
+
+def automaton_hits(lowered: Column, edge: bool = False) -> Column:
+    """The same as ``cue_hits`` in one pass over the text, for taxonomies of many cues."""
+    every = listed(edge)
+    names = F.array(*[F.lit(c) for _, c in every])
+    tactics = F.array(*[F.lit(t) for t, _ in every])
+    found = _matches(edge)(lowered)
+
+    def of(tactic: str) -> Column:
+        own = F.filter(found, lambda i: tactics[i] == tactic)
+        return F.struct(F.lit(tactic).alias("tactic"), F.transform(own, lambda i: names[i]).alias("spans"))
+
+    return F.filter(F.array(*[of(t) for t in T.TACTICS]), lambda h: F.size(h["spans"]) > 0)
+
+
+def any_cue(lowered: Column) -> Column:
+    """Whether one union pattern of all cues matches."""
+    every = sorted({c for t in T.TACTICS for c in T.CUES[t]}, key=len)
+    return F.rlike(lowered, F.lit("|".join(r"\Q" + c + r"\E" for c in every)))
+
+
+def prescreened_hits(lowered: Column, edge: bool = False) -> Column:
+    """The same as ``cue_hits``, behind the union pattern, for texts that rarely match."""
+    none = F.filter(cue_hits(F.lit(""), edge), lambda h: F.lit(False))
+    return F.when(any_cue(lowered), cue_hits(lowered, edge)).otherwise(none)
+
+
+#: Ways to scan, all with the same result.
+STRATEGIES = {"naive": cue_hits, "prescreen": prescreened_hits, "automaton": automaton_hits}
 
 
 def _total(hits: Column) -> Column:
@@ -44,11 +111,11 @@ def _base(hit: Column) -> Column:
     return F.least(F.lit(1.0), F.lit(0.22) * F.size(hit["spans"]))
 
 
-def scan(df: DataFrame, text_col: str = "text", variant: str = "server") -> DataFrame:
-    """Adds ``norm``, ``hits`` and ``tier0``."""
+def scan(df: DataFrame, text_col: str = "text", variant: str = "server", strategy: str = "naive") -> DataFrame:
+    """Adds ``norm``, ``hits`` and ``tier0``; ``strategy`` is one of STRATEGIES."""
     edge = variant == "edge"
     norm = X.normalize_edge(F.col(text_col)) if edge else X.normalize(F.col(text_col))
-    out = df.withColumn("norm", norm).withColumn("hits", cue_hits(F.lower("norm"), edge))
+    out = df.withColumn("norm", norm).withColumn("hits", STRATEGIES[strategy](F.lower("norm"), edge))
     scored = F.filter("hits", lambda h: h["tactic"] != T.CALMING)
     return out.withColumn("tier0", tier0(scored if edge else F.col("hits")))
 

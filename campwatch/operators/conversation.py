@@ -56,6 +56,38 @@ def salience(weight: Column, age_s: Column) -> Column:
     return weight * F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_s) / F.lit(float(HALF_LIFE_S)))
 
 
+def elapsed(df: DataFrame, key: str, ts: str, order: list[str]) -> DataFrame:
+    """Adds ``elapsed_since_prev``; null for a key's first row."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn("elapsed_since_prev", F.col(ts) - F.lag(ts).over(w))
+
+
+def cited(spans: Column, text: Column) -> Column:
+    """What a risk flag quotes: its spans, or the first 80 characters of its sentence."""
+    joined = F.array_join(spans, ", ")
+    return F.when(joined != "", joined).otherwise(F.substring(text, 1, 80))
+
+
+def structured_summary(flags: DataFrame, entities: DataFrame, now: Column, conv: str = "conv_id") -> DataFrame:
+    """Per conversation: flags (tactic, turn, confidence, evidence) and entities with their present salience.
+
+    ``entities`` has ``conv, kind, value, weight, last_seen``. Flags never expire.
+    """
+    flag = F.struct("turn", "tactic", F.round("confidence", 3).alias("confidence"), "evidence")
+    by_flag = flags.groupBy(conv).agg(F.array_sort(F.collect_list(flag)).alias("risk_flags"))
+    score = F.round(salience(F.col("weight").cast("double"), now - F.col("last_seen")), 3)
+    entity = F.struct("kind", "value", score.alias("salience"))
+    by_entity = entities.groupBy(conv).agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    return by_flag.join(by_entity, conv, "full")
+
+
+def training_examples(summaries: DataFrame) -> DataFrame:
+    """Text and label of each summary's flags, nothing else; flags without either are left out."""
+    rows = summaries.select(F.inline("risk_flags"))
+    whole = (F.coalesce("evidence", F.lit("")) != "") & (F.coalesce("tactic", F.lit("")) != "")
+    return rows.where(whole).select(F.col("evidence").alias("normalized_text"), F.col("tactic").alias("tactic_label"))
+
+
 def summary(flags: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Per conversation: its flags in order, confidences to three places. Flags never expire."""
     item = F.struct("turn", "tactic", F.round("confidence", 3).alias("confidence"))

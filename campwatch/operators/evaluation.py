@@ -28,6 +28,36 @@ def confusion(df: DataFrame, label: Column, predicted: Column, by: list[str] | N
     return out.withColumn("f1", _ratio(2 * p * r, p + r))
 
 
+def confusion_by_each(df: DataFrame, label: Column, predicted: Column, slices: list[str]) -> DataFrame:
+    """``confusion`` for every value of each slice column, in one pass: ``slice, value`` and the figures."""
+    pairs = [F.struct(F.lit(s).alias("slice"), F.col(s).cast("string").alias("value")) for s in slices]
+    rows = df.select(label.alias("__y"), predicted.alias("__p"), F.inline(F.array(*pairs)))
+    return confusion(rows, F.col("__y"), F.col("__p"), ["slice", "value"])
+
+
+def latency_summary(reports: DataFrame, device: str, latencies: Column) -> DataFrame:
+    """Per device: measured messages, how many were too slow, their total and the slowest."""
+    total = F.aggregate(latencies, F.lit(0.0), lambda s, x: s + x)
+    return reports.select(
+        device, F.size(latencies).alias("measured"), F.size(F.filter(latencies, lambda x: x > LATENCY_MS)).alias("over"),
+        total.alias("total"), F.array_max(latencies).alias("slowest"),
+    )
+
+
+DEGRADED = "Reduced confidence: full analysis unavailable right now, verify independently."
+
+
+def degraded_notice(total_ms: Column) -> Column:
+    """What a user is told when a message took longer than the gate allows; else null."""
+    return F.when(total_ms > LATENCY_MS, DEGRADED)
+
+
+def stage_totals(timings: DataFrame, message: str, stage: str, ms: str) -> DataFrame:
+    """Per message: total time, whether it exceeds the gate, the notice, and its slowest stage."""
+    total = timings.groupBy(message).agg(F.sum(ms).alias("total_ms"), F.max_by(stage, F.struct(ms, stage)).alias("slowest_stage"))
+    return total.withColumn("exceeds", F.col("total_ms") > LATENCY_MS).withColumn("notice", degraded_notice(F.col("total_ms")))
+
+
 def regressions(baseline: DataFrame, candidate: DataFrame, by: str, limit: float = REGRESSION) -> DataFrame:
     """Slices whose recall fell by more than ``limit`` of the baseline's."""
     base = baseline.select(by, F.col("recall").alias("base_recall")).where("base_recall > 0")

@@ -37,22 +37,38 @@ def add_noise(updates: DataFrame, key: str, column: str, multiplier: float, limi
 
 
 def mask(updates: DataFrame, key: str, column: str, cohort: int = 16, seed: int = 11) -> DataFrame:
-    """Add masks that cancel over all clients.
-
-    Clients form a ring in key order inside cohorts; each shares one mask with
-    each ring neighbour within ``cohort`` places, added by one and subtracted by the
-    other. Work grows with clients times ``cohort``, not with their square.
+    """Add pairwise masks that cancel over all clients and hide each of them.
+
+    Clients are dealt to cohorts of about ``cohort`` by a hash of their key, as
+    many cohorts as there are clients for. Every two clients of a cohort share a
+    mask, drawn coordinate by coordinate from their pair's seed, which the one
+    adds and the other subtracts. A client that would be alone joins another
+    cohort; fewer than two clients cannot be masked. Work grows with clients
+    times ``cohort``, not with their square.
     """
-    group = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64))
-    w = Window.partitionBy("__g").orderBy(key)
-    ring = updates.withColumn("__g", group)
-    for_next = F.transform(F.col(column), lambda x, i: 1000.0 * _normal(F.lit(seed), F.col(key), i))
-    ring = ring.withColumn("__out", for_next)
-    everyone = Window.partitionBy("__g").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag("__out").over(w), F.last("__out").over(everyone))
-    ring = ring.withColumn("__in", before)
-    added = F.zip_with(F.col(column), F.col("__out"), lambda x, m: x + m)
-    return ring.withColumn(column, F.zip_with(added, F.col("__in"), lambda x, m: x - m)).drop("__g", "__out", "__in")
+    clients = updates.select(key).distinct()
+    n = clients.count()
+    if n < 2:
+        raise ValueError("masking needs at least two clients")
+    group = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(max(1, n // cohort)))
+    dealt = clients.select(key, group.alias("__g"))
+    sizes = dealt.groupBy("__g").agg(F.count("*").alias("__n"))
+    host = sizes.where("__n > 1").agg(F.min("__g")).first()[0]
+    home = F.when(F.col("__n") > 1, F.col("__g")).otherwise(F.lit(host if host is not None else 0))
+    peers = (
+        dealt.join(sizes, "__g").select(key, home.alias("__g"))
+        .groupBy("__g").agg(F.collect_list(key).alias("__peers"))
+        .select("__peers", F.explode("__peers").alias(key))
+    )
+
+    def shared(peer: Column, place: Column) -> Column:
+        drawn = 1000.0 * _normal(F.lit(seed), F.least(F.col(key), peer), F.greatest(F.col(key), peer), place)
+        return F.when(peer > F.col(key), drawn).when(peer < F.col(key), -drawn).otherwise(0.0)
+
+    masked = F.transform(
+        F.col(column), lambda x, i: x + F.aggregate("__peers", F.lit(0.0), lambda s, p: s + shared(p, i))
+    )
+    return updates.join(peers, key).withColumn(column, masked).drop("__peers")
 
 
 def trimmed_mean(updates: DataFrame, column: str, trim: float = TRIM) -> DataFrame:
@@ -67,6 +83,12 @@ def trimmed_mean(updates: DataFrame, column: str, trim: float = TRIM) -> DataFra
     return kept.groupBy("pos").agg(F.avg("x").alias("mean"), F.count("*").alias("kept"))
 
 
+def epsilon_of_successes(rounds: DataFrame, order: str = "round", delta: float = DELTA) -> DataFrame:
+    """Privacy spent after each round when only successful rounds count: ``order, success, epsilon``."""
+    counted = rounds.withColumn("sampling_rate", F.when(F.col("success"), F.col("sampling_rate")).otherwise(0.0))
+    return epsilon(counted, order, delta).join(rounds.select(order, "success"), order)
+
+
 def secure_round(contributions: DataFrame, column: str, attested: str) -> DataFrame:
     """One aggregated update, or a deferral when fewer than K_FLOOR attested clients take part."""
     valid = contributions.where(F.col(attested))

@@ -9,19 +9,31 @@ from __future__ import annotations
 
 import math
 import tempfile
+import time
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_SEED = 42
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="campwatch-"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+def use_checkpoints(spark: SparkSession) -> None:
+    """Name the checkpoint folder, if the session has none yet."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("a cluster must name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="campwatch-")
+    context.setCheckpointDir(folder)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    use_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
@@ -64,76 +76,109 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, start: str | int, depth: int) -> DataFrame:
     """``node, hops`` for nodes within ``depth`` hops of ``start``; empty if it has no edge."""
-    sym = _settle(symmetric(edges))
+    sym = settle(symmetric(edges))
     seen = sym.where(F.col("src") == start).select(F.col("src").alias("node")).distinct().withColumn("hops", F.lit(0))
     frontier = seen
     for level in range(1, depth + 1):
         step = frontier.join(sym, frontier["node"] == sym["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = _settle(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(level)))
+        frontier = settle(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(level)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
     return seen
 
 
-def path_hops(edges: DataFrame, start, goal, max_depth: int = 6) -> tuple[int | None, str]:
-    """Hops between two nodes by search from both ends, or None and the reason."""
-    sym = _settle(symmetric(edges))
+def find_path(edges: DataFrame, start, goal, max_depth: int = 6) -> tuple[list | None, str]:
+    """A shortest path between two nodes by search from both ends, or None and the reason.
+
+    Each side goes ``max(1, max_depth // 2)`` steps. A node keeps the smallest
+    node it was reached from, so the path is one of the shortest and reruns
+    agree; the path's own nodes are all that reaches the driver.
+    """
+    sym = settle(symmetric(edges))
     for end in (start, goal):
         if sym.where(F.col("src") == end).isEmpty():
             return None, f"node {end} is not in the exposed view"
     if start == goal:
-        return 0, "same node"
+        return [start], "same node"
     reach = max(1, max_depth // 2)
-    sides = [sym.where(F.col("src") == n).select(F.col("src").alias("node")).distinct() for n in (start, goal)]
-    seen, fronts, steps = list(sides), list(sides), [0, 0]
-    while max(steps) < reach or min(steps) < reach:
+    none = F.lit(None).cast(sym.schema["src"].dataType).alias("via")
+    seen = [sym.where(F.col("src") == n).select(F.col("src").alias("node"), none).distinct() for n in (start, goal)]
+    fronts, steps = list(seen), [0, 0]
+    while min(steps) < reach:
         side = 0 if steps[0] <= steps[1] else 1
-        step = fronts[side].join(sym, fronts[side]["node"] == sym["src"]).select(F.col("dst").alias("node")).distinct()
-        fronts[side] = _settle(step.join(seen[side], "node", "left_anti"))
+        step = fronts[side].select("node").join(sym, F.col("node") == F.col("src"))
+        step = step.groupBy("dst").agg(F.min("src").alias("via")).withColumnRenamed("dst", "node")
+        fronts[side] = settle(step.join(seen[side].select("node"), "node", "left_anti").select("node", "via"))
         steps[side] += 1
-        seen[side] = _settle(seen[side].union(fronts[side]))
-        if not seen[0].join(seen[1], "node", "left_semi").isEmpty():
-            return sum(steps), "found"
+        seen[side] = settle(seen[side].union(fronts[side]))
+        met = seen[0].join(seen[1].select("node"), "node", "left_semi").agg(F.min("node")).first()[0]
+        if met is not None:
+            left, right = (_walk_back(seen[i], met) for i in (0, 1))
+            return [*reversed(left), *right[1:]], "found"
         if fronts[side].isEmpty():
             break
     return None, f"no path within {max_depth} hops"
 
 
-def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """``node, score`` after a fixed number of rounds; seeds outside the graph are dropped."""
+def _walk_back(seen: DataFrame, node) -> list:
+    path = [node]
+    while True:
+        node = seen.where(F.col("node") == node).select("via").first()[0]
+        if node is None:
+            return path
+        path.append(node)
+
+
+def path_hops(edges: DataFrame, start, goal, max_depth: int = 6) -> tuple[int | None, str]:
+    """Hops between two nodes by search from both ends, or None and the reason."""
+    path, reason = find_path(edges, start, goal, max_depth)
+    return (None if path is None else len(path) - 1), reason
+
+
+def personalized_pagerank(
+    edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float = 1e-9
+) -> DataFrame:
+    """``node, score``, iterated until all scores together move by less than ``tolerance``.
+
+    Seeds outside the graph are dropped; not settling in ``rounds`` rounds is an error.
+    """
     sym = symmetric(edges)
-    deg = degrees(edges)
-    adjacent = _settle(sym.join(deg.withColumnRenamed("node", "src"), "src"))
+    deg = settle(degrees(edges))
+    adjacent = settle(sym.join(deg.withColumnRenamed("node", "src"), "src"))
     inside = deg.select("node").join(seeds.select("node").distinct(), "node", "left_semi")
     n = inside.count()
     if not n:
         return deg.select("node", F.lit(0.0).alias("score")).where("false")
     home = deg.select("node").join(inside.withColumn("t", F.lit(1.0 / n)), "node", "left").select("node", F.coalesce("t", F.lit(0.0)).alias("t"))
-    home = _settle(home)
+    home = settle(home)
     scores = home.select("node", F.col("t").alias("score"))
     for _ in range(rounds):
         sent = (
             adjacent.join(scores.withColumnRenamed("node", "src"), "src").groupBy("dst")
             .agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
         )
-        scores = _settle(
-            home.join(sent.withColumnRenamed("dst", "node"), "node", "left").select(
-                "node", ((1 - alpha) * F.col("t") + alpha * F.coalesce("got", F.lit(0.0))).alias("score")
-            )
+        step = home.join(sent.withColumnRenamed("dst", "node"), "node", "left").join(
+            scores.withColumnRenamed("score", "was"), "node"
         )
-    return scores
+        score = (1 - alpha) * F.col("t") + alpha * F.coalesce("got", F.lit(0.0))
+        step = settle(step.select("node", score.alias("score"), "was"))
+        moved = step.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0]
+        scores = step.select("node", "score")
+        if moved < tolerance:
+            return scores
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
 def eigenvector(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-6) -> DataFrame:
-    """``node, score`` by power iteration with a shift, unit length."""
-    sym = _settle(symmetric(edges))
+    """``node, score`` by power iteration with a shift, unit length; not settling is an error."""
+    sym = settle(symmetric(edges))
     scores = sym.select(F.col("src").alias("node")).distinct()
     n = scores.count()
-    scores = _settle(scores.withColumn("score", F.lit(1.0 / math.sqrt(max(n, 1)))))
+    scores = settle(scores.withColumn("score", F.lit(1.0 / math.sqrt(max(n, 1)))))
     for _ in range(rounds if n else 0):
         got = sym.join(scores.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.sum("score").alias("got"))
-        raw = _settle(
+        raw = settle(
             scores.join(got.withColumnRenamed("src", "node"), "node", "left")
             .select("node", "score", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("next"))
         )
@@ -141,7 +186,9 @@ def eigenvector(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-6) ->
         change = raw.agg(F.sum(F.abs(F.col("next") / norm - F.col("score")))).first()[0]
         scores = raw.select("node", (F.col("next") / norm).alias("score"))
         if change < n * tolerance:
-            break
+            return scores
+    if n:
+        raise RuntimeError(f"scores did not settle in {rounds} rounds")
     return scores
 
 
@@ -157,8 +204,8 @@ def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
     sources at once, keyed by (source, node); dependencies come back the same
     way. With sampled sources, sums are scaled by nodes over sources.
     """
-    sym = _settle(symmetric(edges))
-    nodes = _settle(sym.select(F.col("src").alias("node")).distinct())
+    sym = settle(symmetric(edges))
+    nodes = settle(sym.select(F.col("src").alias("node")).distinct())
     n = nodes.count()
     if n < 3:
         return nodes.withColumn("betweenness", F.lit(0.0))
@@ -166,15 +213,15 @@ def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
     if sources is not None and sources < n:
         chosen = nodes.orderBy(F.xxhash64(F.lit(SAMPLE_SEED), "node"), "node").limit(sources)
     m = min(n, sources or n)
-    level = _settle(chosen.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))
+    level = settle(chosen.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "node")
     while True:
         step = level.join(sym, level["node"] == sym["src"]).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        level = _settle(step.join(seen, ["s", "node"], "left_anti"))
+        level = settle(step.join(seen, ["s", "node"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        seen = _settle(seen.union(level.select("s", "node")))
+        seen = settle(seen.union(level.select("s", "node")))
     total, below = None, None
     for depth in range(len(levels) - 1, 0, -1):
         here = levels[depth]
@@ -182,7 +229,7 @@ def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
             own = here.withColumn("dep", F.lit(0.0))
         else:
             own = here.join(below, ["s", "node"], "left").select("s", "node", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep"))
-        own = _settle(own)
+        own = settle(own)
         part = own.select("node", "dep")
         total = part if total is None else total.union(part)
         up = levels[depth - 1].withColumnRenamed("node", "src").withColumnRenamed("paths", "p")
@@ -193,35 +240,44 @@ def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
     return nodes.join(summed, "node", "left").select("node", (F.coalesce("dep", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def chokepoints(edges: DataFrame, k: int, exact_up_to: int = 300) -> DataFrame:
-    """Top nodes by betweenness, exact or sampled by size, always labelled by method."""
-    n = degrees(edges).count()
-    exact = n <= exact_up_to
-    found = betweenness(edges, None if exact else sample_sources(n))
-    return found.orderBy(F.desc("betweenness"), "node").limit(k).withColumn(
-        "method", F.lit("exact_betweenness" if exact else "sampled_betweenness")
-    )
+def chokepoints(
+    edges: DataFrame, k: int, exact_up_to: int = 300, budget_s: float | None = None, clock=time.monotonic
+) -> DataFrame:
+    """Top nodes by betweenness, exact or sampled by size, always labelled by method.
+
+    Over ``budget_s`` seconds (none by default) the result is the eigenvector
+    ranking, labelled as the fallback; if that fails too, no row but the label.
+    """
+    start, n = clock(), degrees(edges).count()
+    label = "betweenness_exact" if n <= exact_up_to else "betweenness_sampled"
+    found = betweenness(edges, None if n <= exact_up_to else sample_sources(n)) if n else degrees(edges).select("node", F.lit(0.0).alias("betweenness"))
+    ranked = settle(found.orderBy(F.desc("betweenness"), "node").limit(k).select("node", F.col("betweenness").alias("score")))
+    if n and budget_s is not None and clock() - start > budget_s:
+        try:
+            ranked, label = settle(top(eigenvector(edges), "score", k)), "eigenvector_fallback"
+        except RuntimeError:
+            ranked, label = ranked.where("false"), "budget_exhausted"
+    return ranked.withColumn("method", F.lit(label))
 
 
 def walk_embeddings(edges: DataFrame, dim: int = 16, walks: int = 8, steps: int = 4, seed: int = 1) -> DataFrame:
     """``node, embedding``: own features averaged with those of sampled neighbours.
 
-    A node's features are its degree, its clustering and hash-seeded normals;
-    walks pick neighbours by hash, so a hub is never expanded.
+    Neighbours are numbered, and a walk picks a number by hash, so no row holds
+    a node's whole adjacency.
     """
-    feats = clustering(edges)
-
-    def normal(i: int):
-        u = [(F.pmod(F.xxhash64(F.lit(seed * 1000 + 2 * i + j), "node"), F.lit(1 << 30)) + 0.5) / float(1 << 30) for j in (0, 1)]
-        return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
-
-    feats = _settle(feats.select("node", F.array(F.col("degree").cast("double"), "clustering", *[normal(i) for i in range(dim - 2)]).alias("f")))
-    adjacency = _settle(symmetric(edges).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("nbrs")))
+    feats = node_features(edges, dim, seed)
+    by_dst = Window.partitionBy("src").orderBy("dst")
+    adjacency = symmetric(edges).withColumn("i", F.row_number().over(by_dst) - 1)
+    adjacency = settle(adjacency.join(degrees(edges).withColumnRenamed("node", "src"), "src"))
+    sizes = settle(degrees(edges))
     at = feats.select(F.col("node").alias("start"), F.col("node").alias("at"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"))
     visited = None
     for step in range(steps):
-        pick = F.pmod(F.xxhash64(F.lit(seed), "start", "walk", F.lit(step)), F.size("nbrs")) + 1
-        at = _settle(at.join(adjacency, at["at"] == adjacency["src"]).select("start", "walk", F.element_at("nbrs", pick.cast("int")).alias("at")))
+        pick = F.pmod(F.xxhash64(F.lit(seed), "start", "walk", F.lit(step)), F.col("degree"))
+        drawn = at.join(sizes, at["at"] == sizes["node"]).select("start", "walk", "at", pick.cast("int").alias("i"))
+        here = adjacency.select(F.col("src").alias("at"), "i", F.col("dst").alias("next"))
+        at = settle(drawn.join(here, ["at", "i"]).select("start", "walk", F.col("next").alias("at")))
         visited = at.select("start", "at") if visited is None else visited.union(at.select("start", "at"))
     mean = (
         visited.join(feats, visited["at"] == feats["node"]).select("start", F.posexplode("f").alias("i", "x"))
@@ -233,6 +289,58 @@ def walk_embeddings(edges: DataFrame, dim: int = 16, walks: int = 8, steps: int
     return joined.select("node", F.zip_with("f", other, lambda a, b: (a + b) / 2).alias("embedding"))
 
 
+def node_features(edges: DataFrame, dim: int = 16, seed: int = 1) -> DataFrame:
+    """``node, f``: degree, clustering and hash-seeded normals."""
+
+    def normal(i: int):
+        u = [(F.pmod(F.xxhash64(F.lit(seed * 1000 + 2 * i + j), "node"), F.lit(1 << 30)) + 0.5) / float(1 << 30) for j in (0, 1)]
+        return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+
+    rest = [normal(i) for i in range(dim - 2)]
+    return settle(clustering(edges).select("node", F.array(F.col("degree").cast("double"), "clustering", *rest).alias("f")))
+
+
+def sage_weights(dim_in: int, hidden: int, dim_out: int, seed: int = 3) -> list[tuple]:
+    """Two layers of weights (neighbours, self, bias), drawn once from a seed."""
+    rng = np.random.default_rng(seed)
+
+    def layer(a: int, b: int):
+        return rng.normal(0, a**-0.5, (b, a)), rng.normal(0, a**-0.5, (b, a)), rng.normal(0, 0.1, b)
+
+    return [layer(dim_in, hidden), layer(hidden, dim_out)]
+
+
+def sage_embeddings(edges: DataFrame, dim: int = 32, weights: list[tuple] | None = None, dim_in: int = 16) -> DataFrame:
+    """``node, embedding`` by two layers of neighbour means.
+
+    A layer is ``W_n mean(neighbours) + W_s own + b``, the first one cut off at
+    0. ``weights`` are a few small matrices, drawn from a seed unless given.
+    """
+    weights = weights or sage_weights(dim_in, max(dim, 16), dim)
+    state, sym = node_features(edges, dim_in), settle(symmetric(edges))
+    for depth, (near, own, bias) in enumerate(weights):
+        mean = (
+            sym.join(state, sym["dst"] == state["node"]).select("src", F.posexplode("f").alias("i", "x"))
+            .groupBy("src", "i").agg(F.avg("x").alias("x"))
+            .groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("m"))
+        )
+        both = state.join(mean, state["node"] == mean["src"], "left").select(
+            "node", "f", F.coalesce("m", F.transform("f", lambda x: F.lit(0.0))).alias("m")
+        )
+        first = depth + 1 < len(weights)
+
+        def layer(batches, near=near, own=own, bias=bias, first=first):
+            for batch in batches:
+                f, m = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in (1, 2))
+                out = m @ near.T + f @ own.T + bias if batch.num_rows else np.zeros((0, len(bias)))
+                out = np.maximum(out, 0) if first else out
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], ["node", "f"])
+
+        kind = both.schema["node"].dataType.simpleString()
+        state = settle(both.mapInArrow(layer, f"node {kind}, f array<double>"))
+    return state.withColumnRenamed("f", "embedding")
+
+
 def closest(embeddings: DataFrame, node, k: int) -> DataFrame:
     """The nodes nearest to one node, without itself; an unknown node is an error."""
     from campwatch.operators.vectors import l2

@@ -26,6 +26,19 @@ def indicators(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
     return df.select(*keys, F.inline(found))
 
 
+def detections(messages: DataFrame, incident: str, ts: str, text_col: str = "text") -> DataFrame:
+    """Reports of detected messages: every indicator of one message belongs to one incident."""
+    found = indicators(messages, [incident, ts], text_col)
+    return found.select(
+        F.col(incident).alias("incident"), F.col(ts).alias("ts"), F.concat_ws(":", "kind", "value").alias("node")
+    ).distinct()
+
+
+def recorded(known: DataFrame, node: Column) -> DataFrame:
+    """Whether the graph has ever held a node, pruned or not: ``known`` is its history of reports."""
+    return known.where(F.col("node") == node).select("node").distinct()
+
+
 def nodes(reports: DataFrame) -> DataFrame:
     """Per node: first and last report, number of incidents."""
     return reports.groupBy("node").agg(

@@ -11,8 +11,9 @@ EMPTY = "[no on-screen text detected]"
 
 
 def region_index(start: Column, size: Column) -> Column:
-    third = F.floor((start + size / F.lit(2.0)) / F.lit(100.0 / 3.0))
-    return F.least(F.lit(2), F.greatest(F.lit(0), third)).cast("int")
+    """Third of the screen that a centre lies in; a centre before the screen counts from its end."""
+    third = F.least(F.lit(2), F.floor((start + size / F.lit(2.0)) / F.lit(100.0 / 3.0)))
+    return F.when(third < 0, third + 3).otherwise(third).cast("int")
 
 
 def regions(boxes: DataFrame) -> DataFrame:
@@ -40,6 +41,32 @@ def serialize(boxes: DataFrame, screen: str = "screen_id") -> DataFrame:
     )
 
 
+CORNER_UNCERTAIN = 0.5
+
+
+def serialize_by_corner(boxes: DataFrame, screen: str = "screen_id") -> DataFrame:
+    """The other convention: one line a box by (y, x), its region by the top left corner."""
+
+    def third(column: str, names: tuple[str, str, str]) -> Column:
+        return F.when(F.col(column) < 33, names[0]).when(F.col(column) < 66, names[1]).otherwise(names[2])
+
+    region = F.concat_ws("-", third("y_pct", ("top", "center", "bottom")), third("x_pct", ("left", "center", "right")))
+    mark = F.when(F.col("confidence") < CORNER_UNCERTAIN, " [UNCERTAIN-OCR]").otherwise("")
+    line = F.concat(F.lit("["), region, F.lit("]"), mark, F.lit(" "), F.col("text"))
+    item = F.struct("y_pct", "x_pct", "seq", line.alias("t"))
+    return boxes.groupBy(screen).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda p: p["t"]), "\n").alias("prompt")
+    )
+
+
+def mean_confidence(screens: DataFrame, boxes: DataFrame, screen: str = "screen_id") -> DataFrame:
+    """Mean confidence of each screen's boxes; 0 for a screen without any."""
+    mean = boxes.groupBy(screen).agg(F.avg("confidence").alias("mean"))
+    return screens.select(screen).join(mean, screen, "left").select(
+        screen, F.coalesce("mean", F.lit(0.0)).alias("mean_confidence")
+    )
+
+
 def from_unit(boxes: DataFrame) -> DataFrame:
     """Boxes from bottom-left unit coordinates to top-left percent."""
     return boxes.select(

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries whose vectors are sent to every task; more than this are worked off in blocks.
-QUERY_BLOCK = 1024
+#: Queries and vectors that are compared at once; memory depends on these, not on table sizes.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -24,38 +24,58 @@ def normalized(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
-def _local_top(queries: pa.Table, k: int, metric: str, exclude_self: bool):
-    qid = queries.column("qid").to_numpy()
-    q = np.array(queries.column("qvec").to_pylist(), float)
-    if metric == "cosine":
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+def _packed(rows: int):
+    """Blocks of up to ``rows`` ids and vectors, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, dist = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+        ids, vecs, n = [], [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vecs).tobytes()], pa.binary())],
+                ["ids", "vecs"],
+            )
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            v = flat.reshape(batch.num_rows, -1)
-            for o in range(0, len(v), 2048):
-                part, pid = v[o : o + 2048], own[o : o + 2048]
+            for o in range(0, batch.num_rows, rows):
+                part = batch.slice(o, rows)
+                if n + part.num_rows > rows and n:
+                    yield flush()
+                    ids, vecs, n = [], [], 0
+                ids.append(part.column(0).to_numpy())
+                vecs.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float))
+                n += part.num_rows
+        if n:
+            yield flush()
+
+    return run
+
+
+def _block_top(k: int, metric: str, exclude_self: bool):
+    """Of every pair of blocks, the best ``k`` vectors of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                qid, pid = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int64) for c in (0, 2))
+                q, v = (np.frombuffer(batch.column(c)[row].as_buffer(), float).reshape(len(i), -1) for c, i in ((1, qid), (3, pid)))
                 if metric == "cosine":
-                    part = part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300)
-                    d = 1 - q @ part.T
-                else:
-                    d = np.stack([np.sqrt(((part - one) ** 2).sum(1)) for one in q])
-                if exclude_self:
-                    d = np.where(qid[:, None] == pid[None, :], np.inf, d)
-                ids = np.concatenate([ids, np.broadcast_to(pid, d.shape)], 1)
-                dist = np.concatenate([dist, d], 1)
-                order = np.lexsort((ids, dist), axis=1)[:, :k]
-                ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-        real = np.isfinite(dist)
-        row = np.nonzero(real)[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qid[row]), pa.array(ids[real]), pa.array(dist[real])], ["qid", "vid", "distance"]
-        )
+                    q, v = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (q, v))
+                ids, dist = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
+                for o in range(0, len(v), 2048):
+                    part, own = v[o : o + 2048], pid[o : o + 2048]
+                    d = 1 - q @ part.T if metric == "cosine" else np.stack([np.sqrt(((part - x) ** 2).sum(1)) for x in q])
+                    if exclude_self:
+                        d = np.where(qid[:, None] == own[None, :], np.inf, d)
+                    ids = np.concatenate([ids, np.broadcast_to(own, d.shape)], 1)
+                    dist = np.concatenate([dist, d], 1)
+                    order = np.lexsort((ids, dist), axis=1)[:, :k]
+                    ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+                real = np.isfinite(dist)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qid[np.nonzero(real)[0]]), pa.array(ids[real]), pa.array(dist[real])],
+                    ["qid", "vid", "distance"],
+                )
 
     return run
 
@@ -65,22 +85,51 @@ def exact_top_k(
 ) -> DataFrame:
     """The ``k`` nearest vectors of each query, ties by id: ``qid, vid, distance, rank``.
 
-    ``queries`` (qid, qvec) is a stated set, taken in blocks of QUERY_BLOCK;
-    each task keeps its own best ``k`` per query, so what is shuffled is k rows
-    per query and task, never a cross product.
+    ``queries`` (qid, qvec) is a stated set. Both sides are packed into blocks,
+    every block of queries meets every block of vectors, and what is shuffled
+    after that is k rows per query and block. Nothing passes the driver. Under
+    ``cosine`` the zero vector has no direction: as a query it finds nothing,
+    and as a vector it is never found.
     """
-    held = queries.select(F.col("qid").cast("long"), "qvec").orderBy("qid").toArrow()
-    found = None
-    for o in range(0, max(held.num_rows, 1), QUERY_BLOCK):
-        block = held.slice(o, QUERY_BLOCK)
-        part = vectors.select(F.col("vid").cast("long"), "vec").mapInArrow(
-            _local_top(block, k, metric, exclude_self), "qid long, vid long, distance double"
-        )
-        found = part if found is None else found.union(part)
+    q = queries.select(F.col("qid").cast("long"), "qvec")
+    v = vectors.select(F.col("vid").cast("long"), "vec")
+    if metric == "cosine":
+        q, v = q.where(_length("qvec") > 0), v.where(_length("vec") > 0)
+    packed = "ids binary, vecs binary"
+    one = q.mapInArrow(_packed(QUERY_BLOCK), packed).select(F.col("ids").alias("q"), F.col("vecs").alias("qv"))
+    two = v.mapInArrow(_packed(VECTOR_BLOCK), packed)
+    found = one.crossJoin(two).mapInArrow(
+        _block_top(k, metric, exclude_self), "qid long, vid long, distance double"
+    )
     best = Window.partitionBy("qid").orderBy("distance", "vid")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _length(column: str) -> Column:
+    return F.aggregate(F.col(column), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+
+def checked(vectors: DataFrame) -> DataFrame:
+    """``vectors`` (vid, vec) for a cosine index: an id listed twice or a zero vector is an error."""
+    twice = vectors.groupBy("vid").agg(F.count("*").alias("n")).where("n > 1").select("vid").head(1)
+    if twice:
+        raise ValueError(f"id {twice[0][0]} is listed twice")
+    empty = vectors.where(_length("vec") == 0).select("vid").head(1)
+    if empty:
+        raise ValueError(f"vector {empty[0][0]} has no direction")
+    return vectors
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int, backend: str = "exact", metric: str = "l2", **options) -> DataFrame:
+    """Nearest vectors by a named backend: ``exact`` (any metric) or ``lsh`` (cosine, approximate).
+
+    An unknown backend, or one that lacks the metric, falls back to ``exact``.
+    """
+    if backend == "lsh" and metric == "cosine":
+        return lsh_top_k(queries, vectors, k, **options)
+    return exact_top_k(queries, vectors, k, metric)
+
+
 def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, planes: int = 5, seed: int = 7, dim: int = 64) -> DataFrame:
     """Approximate neighbours by cosine: random-plane buckets, then exact distances.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from campwatch.functions import model_output
 from campwatch.functions import text as X
 from campwatch.operators import federated, graph, incidents, vectors
 from campwatch.sources import feeds
@@ -14,18 +15,22 @@ K = 3
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """Documents; every fiftieth names a wallet, which the synthetic texts never do."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    wallet = F.concat(F.lit(" 0x"), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 40))
+    return docs.withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat("text", wallet)).otherwise(F.col("text")))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as incidents: their suppliers are phone nodes, their parts payee nodes."""
-    lines, orders = feeds.read_tables(spark, sf_dir, "lineitem", "orders")
+    """Orders as incidents: suppliers are phone nodes, brands payee nodes, customers wallet nodes."""
+    lines, orders, parts = feeds.read_tables(spark, sf_dir, "lineitem", "orders", "part")
     rows = lines.select("l_orderkey", "l_suppkey", "l_partkey").join(
-        orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")
-    )
+        orders.select("o_orderkey", "o_orderdate", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
+    ).join(parts.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     key = F.array(
         F.concat(F.lit("phone_number:"), F.col("l_suppkey").cast("string")),
-        F.concat(F.lit("payee_account:"), (F.col("l_partkey") % 40).cast("string")),
+        F.concat(F.lit("payee_account:"), F.col("p_brand")),
+        F.concat(F.lit("crypto_wallet:"), F.col("o_custkey").cast("string")),
     )
     ts = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double")
     return rows.select(F.col("l_orderkey").alias("incident"), ts.alias("ts"), F.explode(key).alias("node"))
@@ -40,7 +45,10 @@ def script_reuse(spark, sf_dir):
 
 
 def extract_indicators(spark, sf_dir):
-    return incidents.indicators(_docs(spark, sf_dir), ["doc_id"]).where("kind <> 'script_hash'")
+    """Phones and wallets of documents and of pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("page").alias("origin"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    docs = _docs(spark, sf_dir).select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), "text")
+    return incidents.indicators(docs.union(pages), ["origin", "id"]).where("kind <> 'script_hash'")
 
 
 def indicator_counts(spark, sf_dir):
@@ -102,50 +110,87 @@ def tier_demote(spark, sf_dir):
     return incidents.demotable(incidents.nodes(reports(spark, sf_dir)), links, _now(), 150.0).select("node")
 
 
-def deep_lookup(spark, sf_dir):
-    links = incidents.exposable(incidents.edges(reports(spark, sf_dir)))
-    cold = incidents.demotable(incidents.nodes(reports(spark, sf_dir)), links, _now(), 150.0)
-    return incidents.tiered(links, cold).groupBy("tier").agg(F.count("*").alias("links"))
-
-
 def sms_blocklist(spark, sf_dir):
     links = incidents.exposable(incidents.edges(reports(spark, sf_dir)))
     return feeds.blocklist(incidents.endpoints(links)).withColumn("number", F.col("number").cast("long"))
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as nodes: a link for every customer-supplier nation pair of ring distance up to 3."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("a"))
-    others = nations.withColumnRenamed("a", "b")
-    return nations.join(others, (F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 3) & ((F.col("a") * 7 + F.col("b") * 5) % 4 != 0))
+    """The links of the incident graph that may be shown."""
+    return incidents.exposable(incidents.edges(reports(spark, sf_dir))).select("a", "b").checkpoint()
+
+
+def _ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph.use_checkpoints(spark)
+    return graph_edges(spark, sf_dir)
+
+
+def _first(edges: DataFrame) -> str:
+    return edges.agg(F.min("a")).first()[0]
 
 
 def degree_clustering(spark, sf_dir):
-    return graph.clustering(graph_edges(spark, sf_dir)).select(
+    return graph.clustering(_ready(spark, sf_dir)).select(
         "node", "degree", "triangles", F.round("clustering", 6).alias("clustering")
     )
 
 
 def bfs_hops(spark, sf_dir):
-    return graph.hops(graph_edges(spark, sf_dir), 0, 6).select("node", F.col("hops").cast("long").alias("hops"))
+    edges = _ready(spark, sf_dir)
+    return graph.hops(edges, _first(edges), 6).select("node", F.col("hops").cast("long").alias("hops"))
+
+
+def graph_paths(spark, sf_dir):
+    """Shortest paths from the first node to the last of every kind, checked link by link."""
+    edges = _ready(spark, sf_dir)
+    goals = [r[0] for r in graph.degrees(edges).groupBy(F.substring_index("node", ":", 1).alias("kind")).agg(F.max("node")).select("max(node)").collect()]
+    start, rows = _first(edges), []
+    for goal in goals:
+        path, _ = graph.find_path(edges, start, goal)
+        rows += [(goal, i, *sorted(p)) for i, p in enumerate(zip(path, path[1:]))] or [(goal, -1, None, None)]
+    steps = spark.createDataFrame(rows, "goal string, step long, a string, b string")
+    linked = steps.join(edges.withColumn("real", F.lit(1)), ["a", "b"], "left")
+    return linked.groupBy("goal").agg((F.max("step") + 1).alias("hops"), (F.count("real") == F.max("step") + 1).alias("whole"))
 
 
 def pagerank_personalized(spark, sf_dir):
-    edges = graph_edges(spark, sf_dir)
-    seeds = spark.createDataFrame([(0,), (3,), (999,)], "node long")
-    return graph.personalized_pagerank(edges, seeds, rounds=8).select("node", F.round("score", 9).alias("score"))
+    edges = _ready(spark, sf_dir)
+    seeds = spark.createDataFrame([(_first(edges),), ("nobody",)], "node string")
+    return graph.personalized_pagerank(edges, seeds).select("node", F.round("score", 6).alias("score"))
+
+
+def suspicion_topk(spark, sf_dir):
+    return graph.top(pagerank_personalized(spark, sf_dir), "score", 10)
 
 
 def betweenness_topk(spark, sf_dir):
-    return graph.chokepoints(graph_edges(spark, sf_dir), 5)
+    return graph.chokepoints(_ready(spark, sf_dir), 5)
+
+
+def betweenness_sampled(spark, sf_dir):
+    return graph.chokepoints(_ready(spark, sf_dir), 5, exact_up_to=0)
+
+
+def chokepoint_fallback(spark, sf_dir):
+    """No time at all: the labelled eigenvector ranking."""
+    return graph.chokepoints(_ready(spark, sf_dir), 5, exact_up_to=0, budget_s=-1.0)
 
 
 def eigenvector_topk(spark, sf_dir):
-    return graph.top(graph.eigenvector(graph_edges(spark, sf_dir), rounds=30), "score", 5)
+    return graph.top(graph.eigenvector(_ready(spark, sf_dir)), "score", 5)
 
 
 def walk_embeddings(spark, sf_dir):
-    return graph.walk_embeddings(graph_edges(spark, sf_dir))
+    return graph.walk_embeddings(_ready(spark, sf_dir))
+
+
+def sage_embeddings(spark, sf_dir):
+    return graph.sage_embeddings(_ready(spark, sf_dir))
+
+
+def closest_cluster(spark, sf_dir):
+    edges = _ready(spark, sf_dir)
+    return graph.closest(graph.walk_embeddings(edges), _first(edges), 5)
 
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -170,8 +215,10 @@ def nearest_excl_self(spark, sf_dir):
 
 
 def ann_lsh_recall(spark, sf_dir):
+    """Whether the approximate index finds nine of ten true neighbours."""
     q, v = _vectors(spark, sf_dir)
-    return vectors.recall(vectors.exact_top_k(q, v, 5, "cosine"), vectors.lsh_top_k(q, v, 5))
+    found = vectors.search(q, vectors.checked(v), 5, "lsh", "cosine")
+    return vectors.recall(vectors.exact_top_k(q, v, 5, "cosine"), found).select((F.col("recall") >= 0.9).alias("reached"))
 
 
 def clip_l2(spark, sf_dir):
@@ -190,6 +237,53 @@ def mask_cancellation(spark, sf_dir):
     return masked.groupBy("pos").agg(F.round(F.sum("x"), 3).alias("total")).select(F.col("pos").cast("long").alias("pos"), "total")
 
 
+def mask_hides(spark, sf_dir):
+    """Clients whose sent update is far from their own in some coordinate."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    sent = federated.mask(v.withColumn("own", F.col("v")), "vec_id", "v")
+    far = F.array_max(F.zip_with("v", "own", lambda a, b: F.abs(a - b)))
+    return sent.agg(F.count("*").alias("clients"), F.count_if(far > 100).alias("hidden"))
+
+
+def _contributions(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return v.withColumn("attested", F.col("vec_id") % 3 != 0)
+
+
+def secure_rounds(spark, sf_dir):
+    """A round of all attested clients, and one too small to be opened."""
+    every = _contributions(spark, sf_dir)
+    few = every.where("vec_id < 60")
+    out = federated.secure_round(every, "v", "attested").withColumn("round", F.lit("all")).union(
+        federated.secure_round(few, "v", "attested").withColumn("round", F.lit("few"))
+    )
+    return out.select("round", "success", "cohort_size", F.round(F.col("aggregate")[0], 6).alias("first"), F.size("aggregate").cast("long").alias("size"))
+
+
+def epsilon_of_successes(spark, sf_dir):
+    """Privacy spent over rounds of which every third is deferred."""
+    rounds = spark.range(1, 61).select(
+        F.col("id").alias("round"), F.lit(4.0).alias("noise_multiplier"), F.lit(0.01).alias("sampling_rate"), (F.col("id") % 3 != 0).alias("success")
+    )
+    return federated.epsilon_of_successes(rounds).select("round", "success", F.round("epsilon", 6).alias("epsilon"))
+
+
+def noise_spread(spark, sf_dir):
+    """Mean and spread of the added noise agree with the mechanism's."""
+    v = _contributions(spark, sf_dir).withColumn("own", F.col("v"))
+    noisy = federated.add_noise(v, "vec_id", "v", 2.0, 1.5, 100, 5)
+    added = noisy.select(F.explode(F.zip_with("v", "own", lambda a, b: a - b)).alias("x"))
+    return added.select(F.abs(F.avg("x")).alias("m"), F.stddev("x").alias("s")).select(
+        (F.col("m") < 0.02).alias("centred"), (F.abs(F.col("s") - 0.3) < 0.02).alias("spread")
+    )
+
+
+def softmax_scores(spark, sf_dir):
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    p = model_output.softmax(F.slice("v", 1, 4))
+    return v.select("vec_id", *[F.round(p[i], 6).alias(f"p{i}") for i in range(4)])
+
+
 def rdp_epsilon(spark, sf_dir):
     rounds = spark.range(1, 101).select(F.col("id").alias("round"), F.lit(4.0).alias("noise_multiplier"), F.lit(0.01).alias("sampling_rate"))
     return federated.epsilon(rounds).select("round", F.round("epsilon", 6).alias("epsilon"))
@@ -205,16 +299,18 @@ QUERIES = {
     for f in (
         script_hash, script_reuse, extract_indicators, indicator_counts, feed_parse, incident_pairs,
         corroboration_counts, k_anonymous_edges, k_anonymous_nodes, live_risk_nodes, isolated_prune,
-        tier_demote, deep_lookup, sms_blocklist, degree_clustering, bfs_hops, pagerank_personalized,
-        betweenness_topk, eigenvector_topk, walk_embeddings, ann_exact_l2, ann_exact_cosine,
-        nearest_excl_self, ann_lsh_recall, clip_l2, trimmed_mean, mask_cancellation, rdp_epsilon,
-        canary_cohort,
+        tier_demote, sms_blocklist, degree_clustering, bfs_hops, pagerank_personalized,
+        suspicion_topk, graph_paths, betweenness_topk, betweenness_sampled, chokepoint_fallback,
+        eigenvector_topk, walk_embeddings, sage_embeddings, closest_cluster, ann_exact_l2, ann_exact_cosine,
+        nearest_excl_self, ann_lsh_recall, clip_l2, trimmed_mean, mask_cancellation, mask_hides, secure_rounds, epsilon_of_successes,
+        noise_spread, softmax_scores, rdp_epsilon, canary_cohort,
     )
 }
 
 _REPORTS = """reports AS (SELECT DISTINCT l_orderkey AS incident, epoch(CAST(o_orderdate AS TIMESTAMP)) AS ts, node FROM
   (SELECT l_orderkey, 'phone_number:' || l_suppkey AS node FROM lineitem UNION ALL
-   SELECT l_orderkey, 'payee_account:' || (l_partkey % 40) FROM lineitem) JOIN orders ON l_orderkey = o_orderkey),
+   SELECT l_orderkey, 'payee_account:' || p_brand FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL
+   SELECT o_orderkey, 'crypto_wallet:' || o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) JOIN orders ON l_orderkey = o_orderkey),
 nodes AS (SELECT node, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT incident) AS incidents FROM reports GROUP BY 1),
 edges AS (SELECT x.node AS a, y.node AS b, count(*) AS corroboration, max(x.ts) AS last_active
   FROM reports x JOIN reports y ON x.incident = y.incident AND x.node < y.node GROUP BY 1, 2),
@@ -226,11 +322,16 @@ cold AS (SELECT node FROM aged WHERE age >= 150 AND node NOT IN (
 _PHONE = r"list_distinct(list_filter(list_transform(regexp_extract_all(text, '\+?\d(?:[\d\-\s().]{6,})\d'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: length(d) >= 8))"
 _WALLET = r"list_distinct(regexp_extract_all(text, '\b(?:bc1[a-z0-9]{20,}|0x[a-fA-F0-9]{40}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b'))"
 _SCRIPT = r"substr(sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 32)"
-_IND = f"""ind AS (SELECT doc_id, 'phone_number' AS kind, unnest({_PHONE}) AS value FROM documents UNION ALL
-  SELECT doc_id, 'crypto_wallet', unnest({_WALLET}) FROM documents UNION ALL SELECT doc_id, 'script_hash', {_SCRIPT} FROM documents)"""
-_GRAPH = """e AS (SELECT x.n_nationkey::BIGINT AS a, y.n_nationkey::BIGINT AS b FROM nation x JOIN nation y ON x.n_nationkey < y.n_nationkey
-  AND y.n_nationkey - x.n_nationkey <= 3 AND (x.n_nationkey * 7 + y.n_nationkey * 5) % 4 <> 0),
-s AS (SELECT a AS src, b AS dst FROM e UNION SELECT b, a FROM e)"""
+_IND = f"""docs AS (SELECT 'document' AS origin, doc_id AS id, CASE WHEN doc_id % 50 = 0 THEN text || ' 0x' || substr(sha256(doc_id::VARCHAR), 1, 40) ELSE text END AS text FROM documents),
+src AS (SELECT * FROM docs UNION ALL SELECT 'page', page_id, html FROM pages),
+ind AS (SELECT origin, id, 'phone_number' AS kind, unnest({_PHONE}) AS value FROM src UNION ALL
+  SELECT origin, id, 'crypto_wallet', unnest({_WALLET}) FROM src UNION ALL SELECT origin, id, 'script_hash', {_SCRIPT} FROM src)"""
+_GRAPH = f"""{_REPORTS}, s AS (SELECT a AS src, b AS dst FROM exposed UNION SELECT b, a FROM exposed), zero AS (SELECT min(a) AS z FROM exposed)"""
+_HOPS = f"""{_GRAPH}, h AS (SELECT z AS node, 0::BIGINT AS hops FROM zero UNION SELECT dst, hops + 1 FROM h JOIN s ON src = node WHERE hops < 6), near AS (SELECT node, min(hops) AS hops FROM h GROUP BY 1)"""
+_RANK = f"""{_GRAPH}, g AS (SELECT src, count(*) AS d FROM s GROUP BY 1), p AS (SELECT src AS node, CASE WHEN src = z THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t FROM g, zero),
+  r AS (SELECT 0 AS i, node, t AS score FROM p UNION ALL
+    SELECT i + 1, p.node, 0.15::DOUBLE * any_value(p.t) + 0.85::DOUBLE * sum(r.score / g.d) FROM p JOIN s ON s.dst = p.node JOIN r ON r.node = s.src JOIN g ON g.src = s.src WHERE i < 130 GROUP BY i, p.node),
+  rank AS (SELECT node, round(score, 6) AS score FROM r WHERE i = 130)"""
 
 
 def _knn(distance: str, extra: str = "") -> str:
@@ -241,10 +342,10 @@ def _knn(distance: str, extra: str = "") -> str:
 
 
 ORACLES = {
-    "script_hash": f"SELECT doc_id, {_SCRIPT} AS script FROM documents",
-    "script_reuse": f"SELECT {_SCRIPT} AS script, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
+    "script_hash": f"WITH {_IND} SELECT id AS doc_id, {_SCRIPT} AS script FROM docs",
+    "script_reuse": f"WITH {_IND} SELECT {_SCRIPT} AS script, count(DISTINCT id) AS n FROM docs GROUP BY 1 HAVING count(DISTINCT id) > 1",
     "extract_indicators": f"WITH {_IND} SELECT * FROM ind WHERE kind <> 'script_hash'",
-    "indicator_counts": f"WITH {_IND} SELECT kind, count(*) AS n, count(DISTINCT value) AS distinct_values FROM ind GROUP BY 1",
+    "indicator_counts": f"WITH {_IND} SELECT kind, count(*) AS n, count(DISTINCT value) AS distinct_values FROM ind WHERE origin = 'document' GROUP BY 1",
     "feed_parse": """WITH l AS (SELECT o_orderkey, (['payee_account', 'phone_number', 'script_hash', 'crypto_wallet', 'unknown'])[o_orderkey % 5 + 1] AS pattern_kind,
       CAST(o_custkey AS VARCHAR) AS pattern_value FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0)
       SELECT o_orderkey, pattern_kind, pattern_value, 'scam' AS category, CAST(o_orderkey AS DOUBLE) AS reported_epoch, 'tok' AS device_attestation_token
@@ -256,14 +357,25 @@ ORACLES = {
     "live_risk_nodes": f"WITH {_REPORTS} SELECT node, CASE WHEN node LIKE 'phone_number:%' THEN age <= 270 ELSE true END AS active FROM aged",
     "isolated_prune": f"WITH {_REPORTS} SELECT node, last_seen FROM aged WHERE age >= 90 AND node NOT IN (SELECT node FROM ends)",
     "tier_demote": f"WITH {_REPORTS} SELECT node FROM cold",
-    "deep_lookup": f"WITH {_REPORTS} SELECT CASE WHEN a IN (SELECT node FROM cold) OR b IN (SELECT node FROM cold) THEN 'cold' ELSE 'hot' END AS tier, count(*) AS links FROM exposed GROUP BY 1",
     "sms_blocklist": f"WITH {_REPORTS} SELECT DISTINCT CAST(substr(node, 14) AS BIGINT) AS number FROM ends WHERE node LIKE 'phone_number:%'",
     "degree_clustering": f"""WITH {_GRAPH}, g AS (SELECT src AS node, count(*) AS degree FROM s GROUP BY 1),
       t AS (SELECT x.src AS node, count(*) AS t FROM s x JOIN s y ON x.src = y.src AND x.dst < y.dst JOIN s z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1)
       SELECT node, degree, coalesce(t, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0.0 END, 6) AS clustering FROM g LEFT JOIN t USING (node)""",
-    "bfs_hops": f"""WITH RECURSIVE {_GRAPH}, h AS (SELECT DISTINCT src AS node, 0::BIGINT AS hops FROM s WHERE src = 0 UNION SELECT dst, hops + 1 FROM h JOIN s ON src = node WHERE hops < 6)
-      SELECT node, min(hops) AS hops FROM h GROUP BY 1""",
-    "pagerank_personalized": None,
+    "bfs_hops": f"WITH RECURSIVE {_HOPS} SELECT * FROM near",
+    "graph_paths": f"""WITH RECURSIVE {_HOPS}, goals AS (SELECT max(src) AS goal FROM s GROUP BY split_part(src, ':', 1))
+      SELECT goal, hops, true AS whole FROM goals JOIN near ON node = goal""",
+    "pagerank_personalized": f"WITH RECURSIVE {_RANK} SELECT * FROM rank",
+    "suspicion_topk": f"WITH RECURSIVE {_RANK} SELECT * FROM rank ORDER BY score DESC, node LIMIT 10",
+    "ann_lsh_recall": "SELECT true AS reached",
+    "mask_hides": "SELECT count(*) AS clients, count(*) AS hidden FROM embeddings",
+    "secure_rounds": """WITH v AS (SELECT 'all' AS round, embedding[1]::DOUBLE AS x FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT 'few', embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id < 60),
+      r AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY x) AS r, count(*) OVER (PARTITION BY round) AS n FROM v)
+      SELECT round, n >= 50 AS success, n AS cohort_size, CASE WHEN n >= 50 THEN round(avg(x) FILTER (r > floor(n * 0.1) AND r <= n - floor(n * 0.1)), 6) END AS first, CASE WHEN n >= 50 THEN 64 END AS size FROM r GROUP BY round, n""",
+    "epsilon_of_successes": """SELECT r AS round, r % 3 <> 0 AS success, round(min((r - r // 3) * (a / 32.0 * 0.01) + ln(100000) / (a - 1)), 6) AS epsilon
+      FROM range(1, 61) t(r), (SELECT i / 2.0 AS a FROM range(3, 64) u(i)) GROUP BY r""",
+    "noise_spread": "SELECT true AS centred, true AS spread",
+    "softmax_scores": """WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)) AS e FROM embeddings)
+      SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[2] / list_sum(e), 6) AS p1, round(e[3] / list_sum(e), 6) AS p2, round(e[4] / list_sum(e), 6) AS p3 FROM e""",
     "ann_exact_l2": _knn("list_distance(embedding::DOUBLE[], qv::DOUBLE[])"),
     "ann_exact_cosine": _knn("1 - list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[])"),
     "nearest_excl_self": _knn("list_distance(embedding::DOUBLE[], qv::DOUBLE[])", "WHERE vec_id <> qid"),

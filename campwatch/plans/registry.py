@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from campwatch.plans import detection, intel, rules
+from campwatch.plans import campaign, detection, intel, rules
 
-_MODULES = (detection, intel, rules)
+_MODULES = (detection, intel, rules, campaign)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
