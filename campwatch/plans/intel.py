@@ -156,7 +156,7 @@ def graph_paths(spark, sf_dir):
 def pagerank_personalized(spark, sf_dir):
     edges = _ready(spark, sf_dir)
     seeds = spark.createDataFrame([(_first(edges),), ("nobody",)], "node string")
-    return graph.personalized_pagerank(edges, seeds).select("node", F.round("score", 6).alias("score"))
+    return graph.personalized_pagerank(edges, seeds).select("node", F.round("score", 5).alias("score"))
 
 
 def suspicion_topk(spark, sf_dir):
@@ -331,7 +331,7 @@ _HOPS = f"""{_GRAPH}, h AS (SELECT z AS node, 0::BIGINT AS hops FROM zero UNION
 _RANK = f"""{_GRAPH}, g AS (SELECT src, count(*) AS d FROM s GROUP BY 1), p AS (SELECT src AS node, CASE WHEN src = z THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS t FROM g, zero),
   r AS (SELECT 0 AS i, node, t AS score FROM p UNION ALL
     SELECT i + 1, p.node, 0.15::DOUBLE * any_value(p.t) + 0.85::DOUBLE * sum(r.score / g.d) FROM p JOIN s ON s.dst = p.node JOIN r ON r.node = s.src JOIN g ON g.src = s.src WHERE i < 130 GROUP BY i, p.node),
-  rank AS (SELECT node, round(score, 6) AS score FROM r WHERE i = 130)"""
+  rank AS (SELECT node, round(score, 5) AS score FROM r WHERE i = 130)"""
 
 
 def _knn(distance: str, extra: str = "") -> str:
