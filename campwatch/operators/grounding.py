@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from campwatch.functions import taxonomy as T
 from campwatch.functions import text as X
@@ -120,6 +123,24 @@ def gate_edge(df: DataFrame) -> DataFrame:
     return out.withColumn("surfaced", F.exists("results", lambda r: r["verdict"] == "surfaced"))
 
 
+def entail_by_model(df: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]] | None = None) -> DataFrame:
+    """Adds ``entailment``: a model's probability for each candidate's tactic, null without a model.
+
+    ``scorer`` takes (message, tactic label) pairs. The gate does not read it.
+    """
+    if scorer is None:
+        return df.withColumn("entailment", F.lit(None).cast("array<double>"))
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def judge(text: pa.Array, tactics: pa.Array) -> pa.Array:
+        rows = list(zip(text.to_pylist(), tactics.to_pylist(), strict=True))
+        found = iter(scorer([(t, T.LABELS[c]) for t, own in rows for c in own or ()]))
+        return pa.array([None if own is None else [next(found) for _ in own] for _, own in rows], pa.list_(pa.float64()))
+
+    named = df.withColumn("__tactics", F.transform("candidates", lambda c: c["tactic"]))
+    return named.withColumn("entailment", judge("norm", "__tactics")).drop("__tactics")
+
+
 def cite(kind: str, value: Column, locator: Column) -> Column:
     """A citation: what kind of evidence, its value, where it was found."""
     return F.struct(F.lit(kind).alias("kind"), value.alias("value"), locator.alias("locator"))

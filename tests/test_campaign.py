@@ -300,6 +300,14 @@ def test_model_outputs(spark):
     assert [(r["tactic"], r["confidence"]) for r in joint] == [("x", pytest.approx(p[1] / 2))]
 
 
+def test_a_model_may_judge_candidates(spark):
+    rows = cascade.refine(cascade.scan(spark.createDataFrame([(0, "please wire the money"), (1, "hello")], "id long, text string")))
+    assert [r["entailment"] for r in grounding.entail_by_model(rows).collect()] == [None, None]
+    label = T.LABELS[T.PAYMENT]
+    judged = grounding.entail_by_model(rows, lambda pairs: [float(b == label) / 2 for _, b in pairs]).orderBy("id").collect()
+    assert [r["entailment"] for r in judged] == [[0.5], []]
+
+
 def test_small_rules(spark):
     assert spark.range(1).select(evaluation.degraded_notice(F.lit(800.1))).first()[0] == evaluation.DEGRADED
     boxes = spark.createDataFrame([(1, 0, "t", 0.9, -40.0, 10.0, 2.0, 2.0)], "screen_id long, seq int, text string, confidence double, x_pct double, y_pct double, w_pct double, h_pct double")
