@@ -367,20 +367,23 @@ def test_prefix_programme_agrees_with_the_library_on_hostile_texts():
     path, library = _piece_library()
     own = token_counts.PieceCounter(path)
     own._by_library = None
-    memo = token_counts.Memo(own.prefix_counts)
     rng = random.Random(7)
     letters = list("aabcdeenintthehes   \n\t▁日本語東京é😀Ω0123..,'<s></s>")
-    for _ in range(3000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(25)))
-        want = [len(library.encode(text[:i])) for i in range(len(text) + 1)]
-        assert token_counts.prefix_counts(text, memo).tolist() == want
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    for text, got in zip(texts, token_counts.texts_prefix_counts(texts, token_counts.Words(own)), strict=True):
+        assert got.tolist() == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
+    # One word at a time gives the same as many together.
+    words = sorted({w for t in texts for w in token_counts.split_words(t)})
+    for word, got in zip(words, own.prefix_counts_of(words), strict=True):
+        assert own.prefix_counts(word).tolist() == list(got)
 
 
 def test_token_counts_of_a_very_long_text():
     path, library = _piece_library()
     text = ("one two\nthree " * 9 + "東京都に住む" * 40) * 12_000
     assert len(text.encode()) > 4 << 20
-    assert token_counts.prefix_counts(text, token_counts.counter(path))[-1] == len(library.encode(text))
+    (got,) = token_counts.texts_prefix_counts([text], token_counts.counter(path))
+    assert got[-1] == len(library.encode(text))
 
 
 def test_packing(spark, docs, rows):
@@ -810,18 +813,41 @@ def test_empty_tables(spark, none):
     assert chat_format.read_back(rendered, chat_format.expand(rendered)).count() == 0
 
 
-def test_pipeline_keeps_clean_documents(spark, tmp_path, rows):
+def test_pipeline_against_brute_force(spark, tmp_path, rows):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     table = spark.createDataFrame([r for r in rows if r[0] is not None], SCHEMA).withColumn("source", F.lit("s"))
     table.write.parquet(str(tmp_path / "documents.parquet"))
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    docs, kept = table, []
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        docs = stage(spark, docs, str(tmp_path))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{number}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{number}"))
         assert docs.columns == table.columns
-        kept.append(docs.count())
-    ids = {r[0] for r in docs.select("doc_id").collect()}
-    assert kept[0] == table.count() and set(range(25)) - ids <= set(range(8))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+        kept.append([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    given = [(r["doc_id"], r["text"]) for r in table.select("doc_id", "text").collect()]
+    assert sorted(map(str, kept[0])) == sorted(map(str, given))
+
+    def best(group):
+        return min(group, key=lambda r: (-len(r[1] or ""), r[0]))
+
+    groups = {}
+    for r in kept[0]:
+        groups.setdefault("".join(c for c in r[1] or "" if c not in SPACE), []).append(r)
+    assert sorted(map(str, kept[1])) == sorted(str(best(g)) for g in groups.values())
+    linked = _linked([t for _, t in kept[1]], 5, 80)
+    near = {}
+    for r, label in zip(kept[1], linked, strict=True):
+        near.setdefault(label, []).append(r)
+    assert sorted(map(str, kept[2])) == sorted(str(min(g, key=lambda r: r[0])) for g in near.values())
+    # One source shares 150 % of its own size: a whole pass and half of another one.
+    sizes = {r: _size(r[1]) for r in kept[2]}
+    assert {r for r in sizes if sizes[r]} == set(kept[3]) and max(map(kept[3].count, kept[3])) == 2
+    assert abs(sum(sizes[r] for r in kept[3]) - 1.5 * sum(sizes.values())) <= max(sizes.values())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in kept[3])
+    assert sum(p["length"] for p in pieces) == want
+    assert {p["doc_id"] for p in pieces} == {i for i, _ in kept[3]}
