@@ -10,11 +10,11 @@ Two pieces are compatible if no merge across their border comes before the
 merges that made them; undoing these merges from the last on decides it. A
 character without a piece stands for its UTF-8 bytes. No piece reaches from a
 non-space character to a following space, so words (each with the spaces before
-it) are independent, and a worker computes a word it sees again only once.
+it) are independent; a worker takes the unseen words of many texts through the
+programme together, and remembers them.
 
 ``token_prefixes`` stores, for every text, the count at every one of its
-prefixes, as the steps from one prefix to the next (an array of one short
-number a character). ``PrefixTable`` answers from the stored steps alone how
+prefixes, as the steps from one prefix to the next (one byte a character). ``PrefixTable`` answers from the stored steps alone how
 many tokens the first x characters are and how many characters fit a budget;
 neither the text nor the model is needed again. Counts can fall as a prefix
 grows, and the longest prefix within a budget takes that into account.
@@ -43,10 +43,11 @@ from campwatch.llm._common import saved, table
 
 LIMIT = 4096
 #: Words a worker remembers, and the longest one it remembers; only speed depends on them.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 48
-#: Texts whose prefixes are held at once, in characters; a longer text is held alone.
-CHARS_AT_ONCE = 1 << 22
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+#: Texts worked through at once, in characters; a longer text is taken alone.
+CHARS_AT_ONCE = 1 << 20
 SPACE = "▁"
+BASE = 0x9E3779B97F4A7C15
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -82,11 +83,22 @@ class PieceCounter:
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.number = {p: i for i, p in enumerate(self.score)}
         self.names = list(self.score)
+        hashes = np.array([self._hash(p) for p in self.names], np.uint64)
+        self.by_hash = np.argsort(hashes)
+        self.hashes = hashes[self.by_hash]
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces have one hash")
         self.fits: dict[int, bool] = {}
-        #: A trie of prefixes met before, of any word: (node, character) to node,
-        #: and by node the last piece (-1: a character without one) and the count.
-        self.step: dict[int, int] = {}
-        self.last_at, self.count_at = [-1], [0]
+        #: Pairs of pieces decided so far, sorted, and those decided last.
+        self.pairs, self.good = np.empty(0, np.int64), np.empty(0, bool)
+        self.new_pairs, self.new_good = np.empty(0, np.int64), np.empty(0, bool)
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * BASE + ord(c) + 1) & (1 << 64) - 1
+        return h
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text: the best-scored neighbours merge first, the leftmost of equals."""
@@ -130,58 +142,142 @@ class PieceCounter:
             else:
                 undone, left, one = score[one], True, a[1]
 
-    def _extend(self, text: str, i: int, last: list[int], count: list[int]) -> tuple[int, int] | None:
-        """Last piece and count of the first ``i`` characters, from those of all shorter prefixes."""
-        number, fits = self.number, self.fits
-        if text[i - 1] not in number:
-            return -1, count[i - 1] + len(text[i - 1].encode())
-        for size in range(1, min(i, self.longest) + 1):
-            piece = number.get(text[i - size : i])
-            if piece is None:
-                continue
-            before = last[i - size]
-            pair = (before + 1 << 24) + piece
-            good = fits.get(pair)
-            if good is None:
-                name = self.names[piece]
-                good = self.reachable(name) and (before < 0 or self.compatible(self.names[before], name))
-                if len(fits) < REMEMBERED:
-                    fits[pair] = good
-            if good:
-                return piece, count[i - size] + 1
-        return None
+    def _decide(self, pair: int) -> bool:
+        """Whether the piece of a pair is a piece by itself and stays apart from the one before it."""
+        before, piece = (pair >> 24) - 1, self.names[pair & (1 << 24) - 1]
+        return self.reachable(piece) and (before < 0 or self.compatible(self.names[before], piece))
 
     def prefix_counts(self, word: str) -> np.ndarray:
         """Tokens of each prefix of ``word`` after its space: index 0 is the space alone."""
-        text, step = SPACE + word.replace(" ", SPACE), self.step
-        last, count, node = [-1], [0], 0
-        for i, char in enumerate(text, 1):
-            key = (node << 21) + ord(char)
-            node = step.get(key, -1) if node >= 0 else -1
-            if node >= 0:
-                last.append(self.last_at[node])
-                count.append(self.count_at[node])
+        text, number, fits = SPACE + word.replace(" ", SPACE), self.number, self.fits
+        last, count = [-1], [0]
+        for i in range(1, len(text) + 1):
+            if text[i - 1] not in number:
+                last.append(-1)
+                count.append(count[i - 1] + len(text[i - 1].encode()))
                 continue
-            found = self._extend(text, i, last, count)
-            if found is None:
+            for size in range(1, min(i, self.longest) + 1):
+                piece = number.get(text[i - size : i])
+                if piece is None:
+                    continue
+                pair = (last[i - size] + 1 << 24) + piece
+                good = fits.get(pair)
+                if good is None:
+                    good = self._decide(pair)
+                    if len(fits) < REMEMBERED:
+                        fits[pair] = good
+                if good:
+                    last.append(piece)
+                    count.append(count[i - size] + 1)
+                    break
+            else:
                 return self._by_library(word)
-            last.append(found[0])
-            count.append(found[1])
-            if key >= 0 and len(self.last_at) < REMEMBERED:
-                node = step[key] = len(self.last_at)
-                self.last_at.append(found[0])
-                self.count_at.append(found[1])
         if count[-1] != (len(self.library.encode(word)) if word else 1):
             return self._by_library(word)
         return np.array(count[1:], np.int32)
 
+    def _known(self, pair: np.ndarray) -> np.ndarray:
+        """Whether each pair fits; new ones are decided once and kept."""
+        good, open_ = np.zeros(len(pair), bool), np.ones(len(pair), bool)
+        for keys, values in ((self.pairs, self.good), (self.new_pairs, self.new_good)):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+                hit = keys[at] == pair
+                good[hit], open_[hit] = values[at[hit]], False
+        if open_.any():
+            fresh, back = np.unique(pair[open_], return_inverse=True)
+            found = np.array([self._decide(int(x)) for x in fresh])
+            good[open_] = found[back]
+            self.new_pairs, self.new_good = _joined(self.new_pairs, self.new_good, fresh, found)
+            if len(self.new_pairs) > 4096:
+                if len(self.pairs) < 10 * REMEMBERED:
+                    self.pairs, self.good = _joined(self.pairs, self.good, self.new_pairs, self.new_good)
+                self.new_pairs, self.new_good = np.empty(0, np.int64), np.empty(0, bool)
+        return good
+
+    def prefix_counts_of(self, words: list[str]) -> list[bytes]:
+        """The same for many words of at most REMEMBERED_CHARS characters, position by position.
+
+        A count is one byte: a character is four tokens at most.
+        """
+        n = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n) + 1
+        codes = np.array([SPACE + w.replace(" ", SPACE) for w in words], f"U{int(sizes.max())}").view(np.uint32)
+        codes = codes.reshape(n, -1).astype(np.uint64)
+        width = codes.shape[1]
+        power = np.ones(width + 1, np.uint64)
+        power[1:] = np.multiply.accumulate(np.full(width, BASE & (1 << 64) - 1, np.uint64))
+        rolled = np.zeros((n, width + 1), np.uint64)
+        for i in range(width):
+            rolled[:, i + 1] = rolled[:, i] * power[1] + codes[:, i] + np.uint64(1)
+        last, count = np.full((n, width + 1), -1, np.int64), np.zeros((n, width + 1), np.int64)
+        lost = np.zeros(n, bool)
+        for i in range(1, width + 1):
+            left = np.flatnonzero(sizes >= i)
+            for size in range(1, min(i, self.longest) + 1):
+                if not len(left):
+                    break
+                h = rolled[left, i] - rolled[left, i - size] * power[size]
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                piece = np.where(self.hashes[at] == h, self.by_hash[at], -1)
+                if size == 1:
+                    bare = left[piece < 0]
+                    c = codes[bare, i - 1]
+                    count[bare, i] = count[bare, i - 1] + 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+                    left, piece = left[piece >= 0], piece[piece >= 0]
+                some = np.flatnonzero(piece >= 0)
+                if not len(some):
+                    continue
+                row = left[some]
+                fits = self._known((last[row, i - size] + 1 << 24) + piece[some])
+                row, done = row[fits], some[fits]
+                last[row, i], count[row, i] = piece[done], count[row, i - size] + 1
+                left = np.delete(left, done)
+            lost[left] = True
+        total = np.fromiter(map(len, self.library.encode(words, num_threads=1)), np.int64, n)
+        total[sizes == 1] = 1
+        lost |= count[np.arange(n), sizes] != total
+        small = count.astype(np.uint8)
+        return [
+            self._by_library(w).astype(np.uint8).tobytes() if lost[j] else small[j, 1 : sizes[j] + 1].tobytes()
+            for j, w in enumerate(words)
+        ]
+
     def _by_library(self, word: str) -> np.ndarray:
         return np.array([1] + [len(self.library.encode(word[:i])) for i in range(1, len(word) + 1)], np.int32)
 
 
+def _joined(keys: np.ndarray, values: np.ndarray, more: np.ndarray, more_values: np.ndarray):
+    at = np.searchsorted(keys, more)
+    return np.insert(keys, at, more), np.insert(values, at, more_values)
+
+
+class Words:
+    """Prefix counts of words as bytes, remembered for words that come again."""
+
+    def __init__(self, counter: PieceCounter):
+        self.counter, self.held = counter, {}
+
+    def of(self, words: set[str]) -> dict[str, bytes]:
+        """Counts of at least ``words``; longer ones than REMEMBERED_CHARS are left out."""
+        fresh = [w for w in words if w not in self.held and len(w) <= REMEMBERED_CHARS]
+        found: dict[str, bytes] = {}
+        for o in range(0, len(fresh), 16_384):
+            part = fresh[o : o + 16_384]
+            # Words of like length share a table without much empty room.
+            part.sort(key=len)
+            for p in range(0, len(part), 2048):
+                group = part[p : p + 2048]
+                found.update(zip(group, self.counter.prefix_counts_of(group), strict=True))
+        if len(self.held) + len(found) <= REMEMBERED:
+            self.held.update(found)
+            return self.held
+        return found | {w: self.held[w] for w in words if w in self.held}
+
+
 @lru_cache(maxsize=2)
-def counter(model: str) -> Memo:
-    return Memo(PieceCounter(model).prefix_counts)
+def counter(model: str) -> Words:
+    return Words(PieceCounter(model))
 
 
 def split_words(text: str) -> list[str]:
@@ -195,25 +291,41 @@ def split_words(text: str) -> list[str]:
     return text.split(" ")
 
 
-def prefix_counts(text: str, memo: Memo) -> np.ndarray:
-    """Tokens of the first 0, 1, ... characters of ``text``."""
-    words = split_words(text)
+def prefix_counts(words: list[str], known: dict[str, bytes], own: PieceCounter) -> np.ndarray:
+    """Tokens of the first 0, 1, ... characters of a text, from its words."""
     if not words:
-        return np.zeros(1, np.int32)
-    parts = [memo[w] for w in words]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    totals = np.fromiter((p[-1] for p in parts), np.int64, len(parts))
-    counts = np.concatenate(parts).astype(np.int64) + np.repeat(np.cumsum(totals) - totals, sizes)
+        return np.zeros(1, np.int64)
+    parts = [known.get(w) for w in words]
+    if None in parts:
+        plain = [
+            own.prefix_counts(w) if p is None else np.frombuffer(p, np.uint8)
+            for w, p in zip(words, parts, strict=True)
+        ]
+        inside = np.concatenate([p.astype(np.int64) for p in plain])
+    else:
+        plain, inside = parts, np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, plain), np.int64, len(plain))
+    totals = np.fromiter((p[-1] for p in plain), np.int64, len(plain))
+    counts = inside + np.repeat(np.cumsum(totals) - totals, sizes)
     # The library's space before a text is no prefix of it, and an empty text has no token.
     counts[0] = 0
     return counts
 
 
+def texts_prefix_counts(texts: list[str], words: Words) -> Iterator[np.ndarray]:
+    """``prefix_counts`` of each text, unseen words of all of them together."""
+    split = [split_words(t) for t in texts]
+    known = words.of(set().union(*split)) if split else {}
+    return (prefix_counts(w, known, words.counter) for w in split)
+
+
 class PrefixTable:
     """Token count of every prefix of one text, from its stored steps."""
 
-    def __init__(self, steps):
-        self.counts = np.concatenate(([0], np.cumsum(np.asarray(steps, np.int64))))
+    def __init__(self, steps: bytes):
+        own = np.frombuffer(steps, np.int8)
+        self.counts = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(own, out=self.counts[1:])
 
     def count(self, chars: int) -> int:
         """Tokens of the first ``chars`` characters."""
@@ -225,40 +337,41 @@ class PrefixTable:
         return int(good[-1]) if len(good) else 0
 
 
+def _steps(counts: np.ndarray) -> bytes:
+    """From one prefix to the next a count rises by 4 and falls by a piece's length at most."""
+    steps = np.diff(counts)
+    if len(steps) and (steps.min() < -128 or steps.max() > 127):
+        raise ValueError("a step does not fit a byte")
+    return steps.astype(np.int8).tobytes()
+
+
 def _prefixes(model: str):
     names = ["row_id", "n_bytes", "steps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = counter(model)
+        words = counter(model)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            at, size, n_bytes, steps = 0, 0, [], []
+            ids, texts, at, size = batch.column(0), [], 0, 0
             for i in range(batch.num_rows):
-                text = texts[i].as_py() or ""
-                n_bytes.append(len(text.encode()))
-                steps.append(np.diff(prefix_counts(text, memo)).astype(np.int16))
-                size += len(text)
+                texts.append(batch.column(1)[i].as_py() or "")
+                size += len(texts[-1])
                 if size > CHARS_AT_ONCE or i + 1 == batch.num_rows:
+                    steps = [_steps(c) for c in texts_prefix_counts(texts, words)]
+                    n_bytes = [len(t.encode()) for t in texts]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, i + 1 - at), pa.array(n_bytes, pa.int64()), _lists(steps)], names
+                        [ids.slice(at, len(texts)), pa.array(n_bytes, pa.int64()), pa.array(steps, pa.binary())], names
                     )
-                    at, size, n_bytes, steps = i + 1, 0, [], []
+                    texts, at, size = [], i + 1, 0
 
     return run
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-
-
 def token_prefixes(
     df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``row_id, n_bytes, steps``: by how much the count grows from each prefix to the next."""
     return df.select(F.col(id_col).cast("long").alias("row_id"), text_col).mapInArrow(
-        _prefixes(model), "row_id long, n_bytes long, steps array<short>"
+        _prefixes(model), "row_id long, n_bytes long, steps binary"
     )
 
 
@@ -269,7 +382,7 @@ def _answers(limit: int):
         for batch in batches:
             total, within = [], []
             for steps in batch.column(2):
-                stored = PrefixTable(steps.values.to_numpy())
+                stored = PrefixTable(steps.as_buffer())
                 total.append(int(stored.counts[-1]))
                 within.append(stored.fit(limit))
             yield pa.RecordBatch.from_arrays(
