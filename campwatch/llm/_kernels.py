@@ -14,7 +14,7 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 #: Bytes of text handled at once; a single longer text is handled alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _U = np.uint64
 
 

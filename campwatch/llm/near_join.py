@@ -56,7 +56,7 @@ COMMON_FROM = 16
 BLOCK_ROWS = 256
 LEAF = 8
 #: Members whose trees are built together, about.
-FOREST_ROWS = 8192
+FOREST_ROWS = 2048
 #: Each salt puts the members of a large bucket in another order, whose first is a leader.
 LEADER_SALTS = (1, 2, 3, 4)
 
