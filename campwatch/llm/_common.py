@@ -59,8 +59,23 @@ def forget(df: DataFrame) -> None:
 PLACE = ["__file", "__check", "__row"]
 
 
-def placed(df: DataFrame) -> DataFrame:
-    """``df`` with each row's place in its files, a key that no re-read changes.
+def free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def placed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with each row's place in its files, a key that no re-read changes, and the names of its columns.
 
     A table read straight from Parquet has places already. Anything else is
     written once first, since its row order is not frozen otherwise.
@@ -68,18 +83,21 @@ def placed(df: DataFrame) -> DataFrame:
     plan = df._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation" or "_metadata" in df.columns:
         df = saved(df, "placed")
-    meta = F.col("_metadata")
+    meta, names = df.metadataColumn("_metadata"), free_names(df, PLACE)
+    path = meta["file_path"]
     return df.select(
-        "*",
-        F.xxhash64(meta["file_path"]).alias(PLACE[0]),
-        F.hash(F.lit(5), meta["file_path"]).alias(PLACE[1]),
-        meta["row_index"].alias(PLACE[2]),
-    )
+        "*", F.xxhash64(path).alias(names[0]), F.hash(F.lit(5), path).alias(names[1]), meta["row_index"].alias(names[2])
+    ), names
+
+
+def place_columns(place: list[str] | None) -> list[Column]:
+    """The place columns of a table under the names that operators use, if it has them."""
+    return [column(c).alias(name) for c, name in zip(place or [], PLACE, strict=bool(place))]
 
 
-def place_columns(df: DataFrame) -> list[str]:
-    """The place columns that ``df`` has."""
-    return [c for c in PLACE if c in df.columns]
+def without(rows: DataFrame, place: list[str], gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a ``placed`` table whose place is not in ``gone``."""
+    return rows.join(gone.toDF(*place), place, "left_anti").select(*map(column, columns))
 
 
 def word_count(text: Column) -> Column:

@@ -1,41 +1,63 @@
 """Vectorised word hashing over Arrow string buffers.
 
-A word's hash is a polynomial in its bytes, modulo 2**64, read off a running
-sum over the whole buffer; no Python object is made per word. Buffers are
-worked through in blocks, so memory does not depend on the length of a text.
+A word's hash goes through its bytes in blocks of eight, all words side by side,
+by two functions with constants of their own, each of which mixes every block
+before the next; no Python object is made per word. The few words of more than
+LONG bytes are hashed one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+#: Bytes of a word that are hashed block by block; longer words go through BLAKE2.
+LONG = 256
 #: Bytes of text handled at once; a single longer text is handled alone.
 SLICE = 1 << 20
 _U = np.uint64
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, _U)
-    out[0] = 1
-    out[1:] = _U(base)
-    return np.multiply.accumulate(out)
-
-
 _BASE = 0x9E3779B97F4A7C15
-_rng = np.random.Generator(np.random.PCG64(20_240_601))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_UP = _powers(_BASE, BLOCK + 1)
-_DOWN = _powers(pow(_BASE, -1, 1 << 64), BLOCK + 1)
+#: One odd factor and one start for each of the two functions.
+_FACTORS = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
+_SEEDS = (_U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3))
+#: The bytes of a block that belong to a word of which 0 to 8 bytes are left.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+@functools.cache
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def tidy(run: Callable) -> Callable:
+    """An Arrow function whose worker hands back free memory when a task ends.
+
+    Workers outlive stages; without this each keeps the most it ever needed.
+    """
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim():
+                _trim()(0)
+
+    return tidied
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -81,30 +103,30 @@ class Words:
         after[:-1] = inside[1:]
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
         self.bounds = np.searchsorted(self.starts, offs)
-        self._sums: tuple[np.ndarray, np.ndarray] | None = None
+        self._blocks: np.ndarray | None = None
 
     def _segment(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of bytes [starts, ends); both ascending."""
-        low, high = np.empty(len(starts), _U), np.empty(len(ends), _U)
-        carry, lift, i, j = _U(0), _U(1), 0, 0
-        drop = np.empty(len(starts), _U)
-        undo = _U(1)
-        n = len(self.raw)
+        """Hash of bytes [starts, ends)."""
+        if self._blocks is None:
+            padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+            self._blocks = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        sizes = ends - starts
+        one, two = (sizes.astype(_U) * f ^ s for f, s in zip(_FACTORS, _SEEDS, strict=True))
+        left, at, rest = np.flatnonzero(sizes <= LONG), starts, sizes
+        if len(left) < len(sizes):
+            at, rest = starts[left], sizes[left]
         with np.errstate(over="ignore"):
-            for o in range(0, max(n, 1), BLOCK):
-                part = self.raw[o : o + BLOCK]
-                total = np.empty(len(part) + 1, _U)
-                total[0] = 0
-                np.cumsum(_BYTE[part] * _UP[: len(part)], out=total[1:])
-                total = total * lift + carry
-                i2 = int(np.searchsorted(starts, o + len(part)))
-                at = starts[i:i2] - o
-                low[i:i2], drop[i:i2] = total[at], _DOWN[at] * undo
-                j2 = int(np.searchsorted(ends, o + len(part), "right"))
-                high[j:j2] = total[ends[j:j2] - o]
-                i, j, carry = i2, j2, total[-1]
-                lift, undo = lift * _UP[BLOCK], undo * _DOWN[BLOCK]
-            return mix64((high - low) * drop + (ends - starts).astype(_U))
+            while len(left):
+                block = self._blocks[at].view(_U)[:, 0] & _MASK[np.minimum(rest, 8)]
+                one[left] = mix64(one[left] ^ (block * _FACTORS[0]))
+                two[left] = mix64((two[left] + block) * _FACTORS[1])
+                more = np.flatnonzero(rest > 8)
+                left, at, rest = left[more], at[more] + 8, rest[more] - 8
+            out = mix64(one ^ ((two << _U(32)) | (two >> _U(32))))
+        for i in np.flatnonzero(sizes > LONG):
+            digest = hashlib.blake2b(self.raw[starts[i] : ends[i]], digest_size=8).digest()
+            out[i] = np.frombuffer(digest, _U)[0]
+        return out
 
     def hashes(self) -> np.ndarray:
         return self._segment(self.starts, self.ends)

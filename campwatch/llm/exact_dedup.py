@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campwatch.llm._common import SPACES, forget, place_columns, placed, saved, table
+from campwatch.llm._common import PLACE, SPACES, forget, place_columns, placed, saved, table, without
 
 KEY = ["digest", "check", "norm_len"]
 #: Bytes of a record: its key, its rank and its count.
@@ -51,17 +51,19 @@ _TOP = np.uint64(1 << 63)
 RUN = "run long, lane long, block binary"
 
 
-def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest_rows(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", place: list[str] | None = None
+) -> DataFrame:
     """One skinny row per input row: identifier, place in its table, digest and lengths."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text, own = F.coalesce(F.col(text_col), F.lit("")), PLACE if place else []
     return (
-        df.select(F.col(id_col).cast("long").alias("row_id"), text.alias("body"), *place_columns(df))
+        df.select(F.col(id_col).cast("long").alias("row_id"), text.alias("body"), *place_columns(place))
         .select(
-            "row_id", *place_columns(df), F.translate("body", SPACES, "").alias("norm"),
+            "row_id", *own, F.translate("body", SPACES, "").alias("norm"),
             F.length("body").alias("orig_len"),
         )
         .select(
-            "row_id", *place_columns(df),
+            "row_id", *own,
             F.unhex(F.sha2("norm", 256)).alias("digest"),
             F.xxhash64(F.lit(17), "norm").alias("check"),
             F.length("norm").cast("long").alias("norm_len"),
@@ -205,14 +207,14 @@ def merge_runs(rows: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, place: list[str] | None = None
 ) -> DataFrame:
     """Group of every row: keeper, size, whether this row stays, and digest.
 
     Returns ``row_id, keep_id, group_size, kept, text_sha256, orig_len``, one row
-    per input row, and where the row lies if ``df`` is ``placed``.
+    per input row, and where the row lies if ``place`` names the columns of a ``placed`` table.
     """
-    rows = saved(digest_rows(df, id_col, text_col), "digests")
+    rows = saved(digest_rows(df, id_col, text_col, place), "digests")
     groups = saved(merge_runs(rows, bits), "digest-groups")
     # Both sides come from written tables, so adaptive execution may split a hot digest.
     return rows.join(groups, KEY).select(
@@ -222,7 +224,7 @@ def exact_dedup(
         (F.col("pos") == F.col("best_pos")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "orig_len",
-        *place_columns(df),
+        *(PLACE if place else []),
     )
 
 
@@ -232,9 +234,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Rows go by their place in the table, so a text is hashed once and rows that
     agree in every column are still told apart.
     """
-    rows = placed(df)
-    gone = saved(exact_dedup(rows, id_col, text_col).where("NOT kept").select(*place_columns(rows)), "copies")
-    return rows.join(gone, place_columns(rows), "left_anti").select(*df.columns)
+    rows, place = placed(df)
+    gone = exact_dedup(rows, id_col, text_col, place=place).where("NOT kept").select(*PLACE)
+    return without(rows, place, saved(gone, "copies"), df.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

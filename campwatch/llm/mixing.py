@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from campwatch.llm._common import forget, place_columns, placed, saved, table, word_count
+from campwatch.llm._common import PLACE, column, forget, free_names, place_columns, placed, saved, table, word_count
 
 ROWS_PER_BUCKET = 20_000
 #: Copies in one range of finish times, about; ranges follow the number of rows.
@@ -104,13 +104,14 @@ def mix(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     max_repeat: int = 2,
+    place: list[str] | None = None,
 ) -> DataFrame:
     """Words each document contributes to the mix, one row per input row.
 
     Returns ``row_id, source, size, source_size, target, copies, taken``, and
-    where the row lies if ``df`` is ``placed``.
+    where the row lies if ``place`` names the columns of a ``placed`` table.
     """
-    place = place_columns(df)
+    own = PLACE if place else []
     rows = saved(
         df.select(
             F.col(id_col).alias("row_id"),
@@ -118,7 +119,7 @@ def mix(
             word_count(F.col(text_col)).alias("size"),
             row_key(id_col, text_col).alias("row_key"),
             F.monotonically_increasing_id().alias("pos"),
-            *place,
+            *place_columns(place),
         ),
         "sizes",
     )
@@ -149,7 +150,7 @@ def mix(
     facts = sources.withColumnRenamed("source", "s")
     queued = saved(
         queued.join(facts, F.col("source").eqNullSafe(F.col("s"))).select(
-            "row_id", "source", "size", "source_size", "target", "rank", "weight", *place,
+            "row_id", "source", "size", "source_size", "target", "rank", "weight", *own,
             (F.col("start") + F.col("within")).alias("sent"),
         ),
         "queues",
@@ -172,7 +173,7 @@ def mix(
         count = sum((F.when(g, 1).otherwise(0) for g in goes), F.lit(0))
     count = F.when(F.col("size") > 0, count).otherwise(0)
     return queued.select(
-        "row_id", "source", "size", "source_size", "target", *place,
+        "row_id", "source", "size", "source_size", "target", *own,
         count.alias("copies"), (count * F.col("size")).cast("long").alias("taken"),
     )
 
@@ -187,12 +188,12 @@ def apply_mix(df: DataFrame, **options) -> DataFrame:
     Counts go to rows by their place in the table, so rows that agree in id and
     text, or in every column, each get their own.
     """
-    rows = placed(df)
-    place = place_columns(rows)
-    plan = mix(rows, **options).where("copies > 0").select(*place, F.col("copies").alias("__copies"))
-    taken = rows.join(saved(plan, "taken"), place)
-    copies = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return taken.withColumn("__copy", copies).select(*df.columns)
+    rows, place = placed(df)
+    count, copy = free_names(rows, ["copies", "copy"])
+    plan = mix(rows, place=place, **options).where("copies > 0").select(*PLACE, "copies")
+    taken = rows.join(saved(plan, "taken").toDF(*place, count), place)
+    copies = F.explode(F.sequence(F.lit(1), column(count)))
+    return taken.withColumn(copy, copies).select(*map(column, df.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

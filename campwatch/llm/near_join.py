@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from campwatch.llm import _kernels as K
-from campwatch.llm._common import PLACE, forget, place_columns, placed, saved, table
+from campwatch.llm._common import PLACE, forget, place_columns, placed, saved, table, without
 from campwatch.llm.graph import components
 
 #: A power of two. More groups bound the overlap more sharply.
@@ -292,7 +292,7 @@ def _search(num: int, den: int, nearest: bool):
 
 def _searched(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     dealt = cells.select("cell", "side", "nid", "root", "n", "cv").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(_search(num, den, nearest), "a long, b long").distinct()
+    return dealt.mapInArrow(K.tidy(_search(num, den, nearest)), "a long, b long").distinct()
 
 
 def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +329,7 @@ def _verify(df, pairs, nodes, id_col, text_col, k, num, den, name):
     ids = wanted.select(F.col("row_id").alias("__id")).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"))
     texts = texts.join(ids, F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
-    full = texts.mapInArrow(_shingles(k), "node binary, full binary")
+    full = texts.mapInArrow(K.tidy(_shingles(k)), "node binary, full binary")
     full = saved(
         full.join(wanted.select("node", "nid"), "node").dropDuplicates(["nid"]).select("nid", "full"),
         f"{name}-sets",
@@ -338,7 +338,7 @@ def _verify(df, pairs, nodes, id_col, text_col, k, num, den, name):
         full.select(F.col("nid").alias("b"), F.col("full").alias("fb")), "b"
     )
     links = saved(
-        both.select("a", "b", "fa", "fb").mapInArrow(_overlap(num, den), "a long, b long"),
+        both.select("a", "b", "fa", "fb").mapInArrow(K.tidy(_overlap(num, den)), "a long, b long"),
         f"{name}-links",
     )
     for done in (wanted, full):
@@ -389,7 +389,7 @@ def _second_cells(open_rows: DataFrame, nodes: DataFrame, num: int, den: int) ->
     rows = saved(rows.join(points, "nid"), "block-rows")
     facts = rows.groupBy("block").agg(F.any_value("sig").alias("sig"), F.any_value("home").alias("home"))
     dealt = rows.select("block", "n", "cv").repartition("block").sortWithinPartitions("block")
-    boxes = dealt.mapInArrow(_boxes, "block long, top binary, least long, most long").join(facts, "block")
+    boxes = dealt.mapInArrow(K.tidy(_boxes), "block long, top binary, least long, most long").join(facts, "block")
     boxes = saved(boxes, "boxes")
     one = boxes.select([F.col(c).alias(f"{c}1") for c in boxes.columns])
     two = boxes.select([F.col(c).alias(f"{c}2") for c in boxes.columns])
@@ -400,7 +400,7 @@ def _second_cells(open_rows: DataFrame, nodes: DataFrame, num: int, den: int) ->
         & _near("most2", "least1", num, den, half=True)
     )
     met = met.select("block1", "block2", "top1", "top2", "least1", "most1", "least2", "most2")
-    pairs = saved(met.mapInArrow(_box_pairs(num, den), "block1 long, block2 long"), "block-pairs")
+    pairs = saved(met.mapInArrow(K.tidy(_box_pairs(num, den)), "block1 long, block2 long"), "block-pairs")
     cell, same = F.xxhash64("block1", "block2").alias("cell"), F.col("block1") == F.col("block2")
     sides = pairs.select(cell, F.when(same, 2).otherwise(0).alias("side"), F.col("block1").alias("block")).union(
         pairs.where(~same).select(cell, F.lit(1).alias("side"), F.col("block2").alias("block"))
@@ -415,17 +415,18 @@ def jaccard_components(
     k: int = 5,
     num: int = 80,
     den: int = 100,
+    place: list[str] | None = None,
 ) -> DataFrame:
     """Shingle count and component of every row; sets link at Jaccard >= num / den.
 
     Returns ``row_id, n_shingles, component_id``, one row per input row, and
-    where the row lies if ``df`` is ``placed``.
+    where the row lies if ``place`` names the columns of a ``placed`` table.
     """
     spark = df.sparkSession
-    place = place_columns(df)
-    texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"), *place)
+    texts = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"), *place_columns(place))
+    place = PLACE if place else []
     often = (
-        texts.select("row_id", "text").mapInArrow(_count_common(k), "sig long, times long")
+        texts.select("row_id", "text").mapInArrow(K.tidy(_count_common(k)), "sig long, times long")
         .groupBy("sig").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON_FROM)
         .orderBy(F.desc("times"), "sig").limit(COMMON).toArrow()
     )
@@ -433,10 +434,10 @@ def jaccard_components(
     rank = np.floor(np.log2(np.maximum(often.column("times").to_numpy(), 1))).astype(np.int64)
     by_sig = np.argsort(sig)
     common = spark.sparkContext.broadcast((sig[by_sig], rank[by_sig]))
-    at = "".join(f"{c} {t}, " for c, t in df.select(*place).dtypes) if place else ""
+    at = "".join(f"{c} {t}, " for c, t in texts.select(*place).dtypes) if place else ""
     rows = saved(
         texts.mapInArrow(
-            _describe(k, num, den, common),
+            K.tidy(_describe(k, num, den, common)),
             f"row_id long, {at}n long, node binary, cv binary, sigs array<long>",
         ),
         "sets",
@@ -511,13 +512,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     first stays, and a component without any id keeps its first row. Rows with
     empty sets stay, each one.
     """
-    rows = placed(df)
-    found = saved(jaccard_components(rows, id_col, text_col, **options), "found").where("root IS NOT NULL")
-    rank = F.struct(F.col("row_id").isNull(), "row_id", *place_columns(rows))
+    rows, place = placed(df)
+    found = saved(jaccard_components(rows, id_col, text_col, place=place, **options), "found").where("root IS NOT NULL")
+    rank = F.struct(F.col("row_id").isNull(), "row_id", *PLACE)
     best = found.groupBy("root").agg(F.min(rank).alias("best"))
-    same = [F.col(c) == F.col(f"best.{c}") for c in place_columns(rows)]
-    gone = found.join(best, "root").where(~(same[0] & same[1] & same[2])).select(*place_columns(rows))
-    return rows.join(saved(gone, "near-copies"), place_columns(rows), "left_anti").select(*df.columns)
+    same = [F.col(c) == F.col(f"best.{c}") for c in PLACE]
+    gone = found.join(best, "root").where(~(same[0] & same[1] & same[2])).select(*PLACE)
+    return without(rows, place, saved(gone, "near-copies"), df.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from campwatch.llm import _kernels as K
 from campwatch.llm._common import saved, table
 from campwatch.llm.token_counts import Memo
 
@@ -184,7 +185,7 @@ def pack(
     width = ByteEncoder(tokenizer).width
     encoded = saved(
         df.select(F.col(id_col).cast("long").alias("row_id"), text_col).mapInArrow(
-            _encode_all(tokenizer, end), "part int, row_id long, place long, n long, ids binary"
+            K.tidy(_encode_all(tokenizer, end)), "part int, row_id long, place long, n long, ids binary"
         ),
         "tokens",
     )

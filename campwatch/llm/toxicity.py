@@ -223,7 +223,7 @@ def drop_toxic(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame) ->
             for found in inner(iter([pair])):
                 yield batch.filter(pa.array(found.column(toxic).to_numpy() < CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.tidy(run), docs.schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

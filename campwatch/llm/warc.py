@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campwatch.llm._common import PLACE, forget, fresh_path, placed, saved, table
+from campwatch.llm._common import PLACE, forget, fresh_path, place_columns, placed, saved, table
 
 LEAST = 1000
 ROLL = 8 << 20
@@ -81,7 +81,7 @@ def assign(pages: DataFrame, least: int = LEAST, time_col: str | None = None) ->
     of payloads are found on digests alone; what comes back to the pages, by
     their place in the table, is one row per revisit.
     """
-    rows = placed(pages)
+    rows, place = placed(pages)
     when = F.lit(EPOCH) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(SPAN))
     if time_col is not None:
         when = F.pmod(F.coalesce(F.col(time_col).cast("long"), F.lit(0)), F.lit(4 * EPOCH))
@@ -90,7 +90,7 @@ def assign(pages: DataFrame, least: int = LEAST, time_col: str | None = None) ->
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
         when.cast("long").alias("captured"),
-        *PLACE,
+        *place_columns(place),
     ).withColumns(
         {"digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html").cast("long")}
     )
