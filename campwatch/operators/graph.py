@@ -21,17 +21,21 @@ SAMPLE_SEED = 42
 ROUNDS_AT_ONCE = 6
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Name the checkpoint folder, if the session has none yet."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where none is named (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("a cluster must name a folder that all executors share in spark.checkpoint.dir")
-        folder = tempfile.mkdtemp(prefix="campwatch-")
-    context.setCheckpointDir(folder)
+        folder = "file://" + tempfile.mkdtemp(prefix="campwatch-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Name the checkpoint folder, if the session has none yet."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact by blocks, and approximate by locality-sensitive hashing."""
+"""Nearest neighbours: exact by blocks, or by a stored index of cells."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from campwatch.operators import vector_index
+
 #: Queries and vectors that are compared at once; memory depends on these, not on table sizes.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
@@ -120,55 +122,16 @@ def checked(vectors: DataFrame) -> DataFrame:
     return vectors
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, backend: str = "exact", metric: str = "l2", **options) -> DataFrame:
-    """Nearest vectors by a named backend: ``exact`` (any metric) or ``lsh`` (cosine, approximate).
+def search(queries: DataFrame, vectors: DataFrame, k: int, backend: str = "exact", metric: str = "l2", folder: str | None = None) -> DataFrame:
+    """Nearest vectors by a named backend: ``exact``, or ``cells`` (approximate; builds an index in ``folder``).
 
-    An unknown backend, or one that lacks the metric, falls back to ``exact``.
+    An unknown backend falls back to ``exact``, whose work is queries times vectors.
     """
-    if backend == "lsh" and metric == "cosine":
-        return lsh_top_k(queries, vectors, k, **options)
+    if backend == "cells" and folder:
+        return vector_index.search(queries, vector_index.build(vectors, folder, metric), k)
     return exact_top_k(queries, vectors, k, metric)
 
 
-def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 12, planes: int = 5, seed: int = 7, dim: int = 64) -> DataFrame:
-    """Approximate neighbours by cosine: random-plane buckets, then exact distances.
-
-    Each vector is in one bucket per table; a query is also looked up in the
-    buckets one bit away. Buckets meet in an equi-join.
-    """
-    planes_at = np.random.default_rng(seed).normal(size=(tables, planes, dim))
-
-    def codes(probe: bool):
-        def run(batches):
-            for batch in batches:
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
-                bits = np.einsum("nd,tpd->ntp", v, planes_at) > 0
-                code = (bits << np.arange(planes)).sum(2)
-                alt = [code] + ([code ^ (1 << p) for p in range(planes)] if probe else [])
-                keys = np.concatenate([(np.arange(tables) << 32) + c for c in alt], 1)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "vec", "keys"]
-                )
-
-        return run
-
-    schema = "id long, vec array<double>, keys array<long>"
-    q = queries.select(F.col("qid").cast("long"), F.col("qvec").cast("array<double>")).mapInArrow(codes(True), schema)
-    v = vectors.select(F.col("vid").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(codes(False), schema)
-    pairs = (
-        q.select(F.col("id").alias("qid"), F.explode("keys").alias("key"))
-        .join(v.select(F.col("id").alias("vid"), F.explode("keys").alias("key")), "key")
-        .select("qid", "vid").distinct()
-    )
-    near = pairs.join(q.select(F.col("id").alias("qid"), F.col("vec").alias("qv")), "qid").join(
-        v.select(F.col("id").alias("vid"), "vec"), "vid"
-    )
-    dot = F.aggregate(F.zip_with(normalized(F.col("qv")), normalized(F.col("vec")), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    best = Window.partitionBy("qid").orderBy("distance", "vid")
-    scored = near.select("qid", "vid", (1 - dot).alias("distance"))
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
 def recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Share of true neighbours found, over all queries."""
     hit = truth.select("qid", "vid").join(found.select("qid", "vid", F.lit(1).alias("hit")), ["qid", "vid"], "left")
