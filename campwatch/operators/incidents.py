@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from campwatch.functions import text as X
 
 K_FLOOR = 5
+#: Nodes of a list; an incident that has more is split.
+BLOCK = 256
 PRUNE_DAYS, PHONE_DAYS, DORMANT_DAYS = 90, 270, 90
 
 
@@ -39,6 +41,12 @@ def recorded(known: DataFrame, node: Column) -> DataFrame:
     return known.where(F.col("node") == node).select("node").distinct()
 
 
+def were_recorded(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (one row a ``node``) with whether its history of reports ``known`` holds each."""
+    held = known.select("node").distinct().withColumn("held", F.lit(True))
+    return asked.join(held, "node", "left").withColumn("recorded", F.coalesce("held", F.lit(False))).drop("held")
+
+
 def nodes(reports: DataFrame) -> DataFrame:
     """Per node: first and last report, number of incidents."""
     return reports.groupBy("node").agg(
@@ -48,28 +56,48 @@ def nodes(reports: DataFrame) -> DataFrame:
     )
 
 
-def edges(reports: DataFrame) -> DataFrame:
-    """Pairs of nodes reported together: distinct incidents and last activity.
+def in_blocks(reports: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Node lists of incidents: ``incident, ts, blocks, block, ns``.
 
-    Each incident's nodes are made distinct first, and pairs come from its
-    sorted node array, so an incident is expanded where it lies.
+    An incident of more than ``block`` reports is several lists in several tasks,
+    by the hash of the node; ``ts`` is the incident's own.
     """
-    per_incident = reports.groupBy("incident").agg(
-        F.array_sort(F.collect_set("node")).alias("ns"), F.max("ts").alias("ts")
+    large = reports.groupBy("incident").agg(F.count("*").alias("n"), F.max("ts").alias("latest")).where(F.col("n") > block)
+    marked = reports.join(large, "incident", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
+    lists = marked.groupBy("incident", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")).agg(
+        F.collect_set("node").alias("ns"), F.max("ts").alias("ts"), F.any_value("latest").alias("latest")
     )
-    pairs = F.flatten(
-        F.transform(
-            "ns",
-            lambda a, i: F.transform(
-                F.slice("ns", i + 2, F.size("ns")),
-                lambda b: F.struct(a.alias("a"), b.alias("b")),
-            ),
-        )
-    )
-    return (
-        per_incident.select("incident", "ts", F.inline(pairs))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("corroboration"), F.max("ts").alias("last_active"))
+    return lists.withColumn("ts", F.coalesce("latest", "ts")).drop("latest")
+
+
+def pairs(lists: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """``incident, ts, a, b``: every pair of nodes of an incident once, ``a`` before ``b``.
+
+    With ``other`` (lists of the same incidents, with other nodes) the pairs that
+    have one node in each. Lists meet two by two, and each meeting of a split
+    incident is dealt to a task of its own; nothing holds all pairs of one.
+    """
+    left = lists.select("incident", "ts", "blocks", F.col("block").alias("i"), F.col("ns").alias("ls"))
+    if other is None:
+        alone = left.where("blocks = 1").select("incident", "ts", "i", F.col("i").alias("j"), "ls", F.col("ls").alias("rs"))
+        left, other = left.where("blocks > 1"), lists.where("blocks > 1")
+        right = other.select("incident", F.col("block").alias("j"), F.col("ns").alias("rs"))
+        met = left.join(right, "incident").where("i <= j").drop("blocks")
+        once = (F.col("i") < F.col("j")) | (F.col("l") < F.col("r"))
+    else:
+        alone, once = None, F.lit(True)
+        right = other.select("incident", F.col("block").alias("j"), F.col("ns").alias("rs"))
+        met = left.drop("blocks").join(right, "incident")
+    met = met.repartition("incident", "i", "j").select("incident", "ts", "i", "j", "ls", "rs")
+    met = met if alone is None else alone.unionByName(met)
+    opened = met.select("incident", "ts", "i", "j", "rs", F.explode("ls").alias("l")).select("incident", "ts", "i", "j", "l", F.explode("rs").alias("r"))
+    return opened.where(once).select("incident", "ts", F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
+
+
+def edges(reports: DataFrame) -> DataFrame:
+    """Pairs of nodes reported together: distinct incidents and last activity."""
+    return pairs(in_blocks(reports)).groupBy("a", "b").agg(
+        F.count("*").alias("corroboration"), F.max("ts").alias("last_active")
     )
 
 

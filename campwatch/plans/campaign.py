@@ -63,14 +63,13 @@ def detected_incidents(spark, sf_dir):
 
 
 def history_of_pruned(spark, sf_dir):
-    """Pruned nodes are still in the history of reports."""
+    """Which pruned nodes, and which customers' wallets, were ever reported; many customers have no orders."""
     from campwatch.plans import intel
 
-    rows = intel.reports(spark, sf_dir)
-    pruned = intel.isolated_prune(spark, sf_dir).select("node")
-    return pruned.agg(F.count("*").alias("pruned")).crossJoin(
-        F.broadcast(pruned.join(rows.select("node").distinct(), "node", "left_semi").agg(F.count("*").alias("recorded")))
-    )
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    asked = customers.select(F.concat(F.lit("crypto_wallet:"), F.col("c_custkey").cast("string")).alias("node"))
+    asked = asked.union(intel.isolated_prune(spark, sf_dir).select("node")).distinct()
+    return incidents.were_recorded(intel.reports(spark, sf_dir), asked)
 
 
 def demo_links(spark, sf_dir):
@@ -138,7 +137,8 @@ def _oracles() -> dict[str, str]:
         f"WHERE l_linenumber = 1 AND l_returnflag = 'R' AND epoch(CAST(o_orderdate AS TIMESTAMP)) < {_epoch(SECOND)}",
         "detected_incidents": f"""WITH raw AS (SELECT doc_id, 'phone_number' AS kind, unnest({intel._PHONE}) AS value FROM documents UNION ALL SELECT doc_id, 'script_hash', {intel._SCRIPT} FROM documents),
             n AS (SELECT kind, value, count(DISTINCT doc_id) AS n FROM raw GROUP BY 1, 2) SELECT kind, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS reports, max(n) AS most FROM n GROUP BY 1""",
-        "history_of_pruned": f"""WITH {intel._REPORTS}, p AS (SELECT node FROM aged WHERE age >= 90 AND node NOT IN (SELECT node FROM ends)) SELECT count(*) AS pruned, count(*) AS recorded FROM p""",
+        "history_of_pruned": f"""WITH {intel._REPORTS}, asked AS (SELECT 'crypto_wallet:' || c_custkey AS node FROM customer
+          UNION SELECT node FROM aged WHERE age >= 90 AND node NOT IN (SELECT node FROM ends)) SELECT node, node IN (SELECT node FROM reports) AS recorded FROM asked""",
         "demo_links": """SELECT a, b, 5 AS corroboration FROM (VALUES ('payee_account:demo-payee', 'phone_number:15550100'), ('payee_account:demo-payee', 'script_hash:demo-script'),
             ('phone_number:15550100', 'script_hash:demo-script')) t(a, b)""",
         "generated_scan": "SELECT 3000 AS n, 3000 AS agree, true AS about_a_third",

@@ -11,6 +11,7 @@ from campwatch.functions import model_output
 from campwatch.functions import text as X
 from campwatch.operators import federated, graph, incidents, vector_index, vectors
 from campwatch.sources import feeds
+from campwatch.streaming import view
 
 NOW = "1998-12-01"
 K = 3
@@ -84,6 +85,17 @@ def k_anonymous_edges(spark, sf_dir):
     return incidents.exposable(incidents.edges(reports(spark, sf_dir))).select("a", "b", "corroboration", "last_active")
 
 
+def incremental_links(spark, sf_dir):
+    """The stored view after four batches, one of them applied twice and two of them summed up."""
+    rows = reports(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("incident", "node"), F.lit(4)))
+    folder = f"{graph.shared_folder(spark)}/view-{uuid.uuid4().hex[:12]}"
+    for number in (0, 1, 1, 2, 3):
+        view.apply(rows.where(F.col("part") == number).drop("part"), folder, number)
+        if number == 2:
+            view.compact(spark, folder, 1)
+    return incidents.exposable(view.links(spark, folder))
+
+
 def k_anonymous_nodes(spark, sf_dir):
     found = incidents.edges(reports(spark, sf_dir))
     return incidents.nodes(reports(spark, sf_dir)).join(
@@ -320,7 +332,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         script_hash, script_reuse, extract_indicators, indicator_counts, feed_parse, incident_pairs,
-        corroboration_counts, k_anonymous_edges, k_anonymous_nodes, live_risk_nodes, isolated_prune,
+        corroboration_counts, k_anonymous_edges, incremental_links, k_anonymous_nodes, live_risk_nodes, isolated_prune,
         tier_demote, sms_blocklist, degree_clustering, bfs_hops, pagerank_personalized,
         suspicion_topk, graph_paths, betweenness_topk, betweenness_sampled, chokepoint_fallback,
         eigenvector_topk, walk_embeddings, sage_embeddings, closest_cluster, ann_exact_l2, ann_exact_cosine,
@@ -374,6 +386,7 @@ ORACLES = {
       FROM l WHERE pattern_kind <> 'unknown'""",
     "incident_pairs": f"WITH {_REPORTS} SELECT count(*) AS links, CAST(sum(corroboration) AS BIGINT) AS observations FROM edges",
     "corroboration_counts": f"WITH {_REPORTS} SELECT corroboration, count(*) AS links FROM edges GROUP BY 1",
+    "incremental_links": f"WITH {_REPORTS} SELECT a, b, corroboration, last_active FROM exposed",
     "k_anonymous_edges": f"WITH {_REPORTS} SELECT a, b, corroboration, last_active FROM exposed",
     "k_anonymous_nodes": f"WITH {_REPORTS} SELECT * FROM nodes WHERE node IN (SELECT node FROM ends)",
     "live_risk_nodes": f"WITH {_REPORTS} SELECT node, CASE WHEN node LIKE 'phone_number:%' THEN age <= 270 ELSE true END AS active FROM aged",

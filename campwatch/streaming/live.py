@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from campwatch.functions import text as X
 from campwatch.operators import cascade, grounding, incidents
 from campwatch.operators.conversation import BURST_MS, RING, SHORT_WORDS
+from campwatch.streaming import view
 
 SESSION_MS = 300_000
 
@@ -23,23 +24,17 @@ def analyze(transcripts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def record_incidents(transcripts: DataFrame, incident: str, ts: str, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's reports to the incident table in ``folder``.
-
-    A batch that is run again overwrites its own files, so every report counts
-    once. ``incident_view`` reads what is there.
-    """
+    """Keep the incident view in ``folder`` up to date with a stream: each micro-batch adds its own changes."""
 
     def write(batch: DataFrame, number: int) -> None:
-        reports = incidents.detections(batch, incident, ts).withColumnRenamed("incident", "incident_id")
-        reports.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        view.apply(incidents.detections(batch, incident, ts), folder, number)
 
     return transcripts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
 def incident_view(spark, folder: str, k: int = incidents.K_FLOOR) -> DataFrame:
-    """Links of the incident table that at least ``k`` distinct incidents report."""
-    reports = spark.read.parquet(folder).select(F.col("incident_id").alias("incident"), "ts", "node")
-    return incidents.exposable(incidents.edges(reports), k)
+    """Links that at least ``k`` distinct incidents report, as of the batches so far."""
+    return incidents.exposable(view.links(spark, folder), k)
 
 
 def ring_stream(turns: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
