@@ -1,4 +1,4 @@
-"""Structured Streaming forms: flags of a transcript stream, the incident view, keyed conversation state."""
+"""Structured Streaming forms: flags of a transcript stream, the incident view, conversation rings (``stateful`` has the timed ones)."""
 
 from __future__ import annotations
 
@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from campwatch.functions import text as X
 from campwatch.operators import cascade, grounding, incidents
-from campwatch.operators.conversation import BURST_MS, RING, SHORT_WORDS
+from campwatch.operators.conversation import RING
 from campwatch.streaming import view
 
 SESSION_MS = 300_000
@@ -55,30 +54,6 @@ def ring_stream(turns: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
     )
 
 
-def bursts_stream(messages: DataFrame, conv: str, sender: str, ts_ms: str, text: str) -> DataFrame:
-    """Reassembled turns of a stream: a turn is given once a later message closes it."""
-    kind = dict(messages.dtypes)
-    schema = f"`{conv}` {kind[conv]}, sender string, text string, start_ms long, end_ms long, n_messages long"
-    clean = messages.withColumn(text, X.normalize(F.col(text)))
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        done = []
-        for own, body, at in pd.concat(list(frames)).sort_values(ts_ms)[[sender, text, ts_ms]].itertuples(index=False, name=None):
-            if now and own == now[0] and at - now[3] <= BURST_MS and now[5] <= SHORT_WORDS:
-                now = (own, f"{now[1]} {body}".strip(), now[2], int(at), now[4] + 1, len(body.split()))
-                continue
-            if now:
-                done.append((key[0], *now[:5]))
-            now = (own, body, int(at), int(at), 1, len(body.split()))
-        if now:
-            state.update(now)
-        yield pd.DataFrame(done, columns=[conv, "sender", "text", "start_ms", "end_ms", "n_messages"])
-
-    state = "sender string, text string, start_ms long, end_ms long, n long, words long"
-    return clean.groupBy(conv).applyInPandasWithState(fold, schema, state, "append", GroupStateTimeout.NoTimeout)
-
-
 def recording_sessions(regions: DataFrame, session: str, ts_ms: str, text: str, low_memory: str) -> DataFrame:
     """Text gathered since a session's last snapshot, given out at five minutes or on low memory.
 
