@@ -11,6 +11,10 @@ K_FLOOR, TRIM = 50, 0.1
 CANARY_SHARE, PER_STRATUM = 0.01, 3
 REGRESSION = 0.05
 DELTA = 1e-5
+#: Accuracy of the sketches that bracket a rank, and the share by which a bracket is wider than their error.
+ACCURACY, SLACK = 2000, 0.001
+#: Ranges among which the end of a cohort is looked for.
+RANGES = 64
 
 
 def l2_norm(v: Column) -> Column:
@@ -72,15 +76,33 @@ def mask(updates: DataFrame, key: str, column: str, cohort: int = 16, seed: int
 
 
 def trimmed_mean(updates: DataFrame, column: str, trim: float = TRIM) -> DataFrame:
-    """Coordinate means without the ``trim`` share at each end: ``pos, mean, kept``."""
-    flat = updates.select(F.posexplode(column).alias("pos", "x"))
-    by_value = Window.partitionBy("pos").orderBy("x")
-    whole = Window.partitionBy("pos")
-    ranked = flat.select(
-        "pos", "x", F.row_number().over(by_value).alias("r"), F.count("*").over(whole).alias("n")
-    ).withColumn("k", F.floor(F.col("n") * F.lit(trim)))
-    kept = ranked.where((F.col("r") > F.col("k")) & (F.col("r") <= F.col("n") - F.col("k")))
-    return kept.groupBy("pos").agg(F.avg("x").alias("mean"), F.count("*").alias("kept"))
+    """Coordinate means without the ``trim`` share at each end: ``pos, mean, kept``.
+
+    A mergeable sketch per coordinate brackets the two cut values. Then every
+    value is counted and summed in its band: below, between and above the
+    brackets one row a coordinate, inside them one row a distinct value, so exact
+    cuts are found among a few values in a thousand. Both passes aggregate where
+    the updates lie; only the bands are shuffled. The brackets travel to the
+    updates as one row that is four times as wide as an update. Values that are
+    null or not a number are left out.
+    """
+    ends = [max(0.0, trim - SLACK), min(1.0, trim + SLACK), max(0.0, 1 - trim - SLACK), min(1.0, 1 - trim + SLACK)]
+    flat = updates.select(F.posexplode(column).alias("pos", "x")).where("x IS NOT NULL AND NOT isnan(x)")
+    brackets = flat.groupBy("pos").agg(F.percentile_approx("x", ends, ACCURACY).alias("cuts"))
+    whole = brackets.agg(F.map_from_entries(F.collect_list(F.struct("pos", "cuts"))).alias("cuts"))
+    x, cut = F.col("x"), [F.col("c")[i] for i in range(4)]
+    band = F.when(x < cut[0], 0).when(x <= cut[1], 1).when(x < cut[2], 2).when(x <= cut[3], 3).otherwise(4)
+    met = updates.select(column).crossJoin(F.broadcast(whole)).select(F.posexplode(column).alias("pos", "x"), "cuts")
+    met = met.where("x IS NOT NULL AND NOT isnan(x)").select("pos", "x", F.col("cuts")[F.col("pos")].alias("c"))
+    bands = met.select("pos", "x", band.alias("band")).withColumn("value", F.when(F.col("band").isin(1, 3), F.col("x")))
+    sums = bands.groupBy("pos", "band", "value").agg(F.count("*").alias("c"), F.sum("x").alias("s"))
+    upto = Window.partitionBy("pos").orderBy("band", "value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sums.withColumn("to", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("pos")))
+    k = F.floor(F.col("n") * F.lit(trim))
+    stays = F.greatest(F.lit(0), F.least("to", F.col("n") - k) - F.greatest(F.col("to") - F.col("c"), k))
+    parts = ranked.withColumn("kept", stays).where("kept > 0")
+    share = F.when(F.col("value").isNull(), F.col("s")).otherwise(F.col("value") * F.col("kept"))
+    return parts.groupBy("pos").agg((F.sum(share) / F.sum("kept")).alias("mean"), F.sum("kept").alias("kept"))
 
 
 def epsilon_of_successes(rounds: DataFrame, order: str = "round", delta: float = DELTA) -> DataFrame:
@@ -119,14 +141,36 @@ def epsilon(rounds: DataFrame, order: str = "round", delta: float = DELTA) -> Da
 
 
 def canary_cohort(devices: DataFrame, stratum: str, order: str, share: float = CANARY_SHARE) -> DataFrame:
-    """The first few devices of every stratum, then others in order up to the share of all."""
-    by = F.coalesce(F.col(stratum), F.lit("unknown"))
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    marked = devices.withColumn("picked", nth <= PER_STRATUM)
-    sizes = marked.agg(F.count("*").alias("n"), F.count_if("picked").alias("p"))
-    room = sizes.select(F.greatest(F.col("p"), F.floor(F.col("n") * F.lit(share))) - F.col("p")).first()[0]
-    rest = marked.where(~F.col("picked")).orderBy(order).limit(int(room))
-    return marked.where("picked").union(rest)
+    """The first few devices of every stratum, then others in order up to the share of all.
+
+    ``order`` is a unique number or time. How many others there is room for ends
+    in one of the ranges that a sketch cuts; ranges before it go in whole, and
+    only that one is sorted. Nothing runs while the plan is built.
+    """
+    by, at = F.coalesce(F.col(stratum), F.lit("unknown")), F.col(order)
+    nth = F.row_number().over(Window.partitionBy("__by").orderBy(order))
+    named = devices.withColumn("__by", by)
+    picked = named.withColumn("__nth", nth).where(F.col("__nth") <= PER_STRATUM).drop("__nth")
+    last = picked.groupBy("__by").agg(F.max(order).alias("__last"))
+    rest = named.join(last, "__by").where(at > F.col("__last")).drop("__last")
+    sizes = devices.agg(F.count("*").alias("__n")).crossJoin(F.broadcast(picked.agg(F.count("*").alias("__p"))))
+    room = (F.greatest(F.col("__p"), F.floor(F.col("__n") * F.lit(share))) - F.col("__p")).alias("__room")
+    steps = sorted({min(1.0, 1.25 * share * i / RANGES) for i in range(RANGES + 1)})
+    cuts = rest.agg(F.percentile_approx(order, steps, 10_000).alias("__cuts"))
+    ranged = rest.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < at))).drop("__cuts")
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    # At most RANGES + 2 rows.
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("__c")).withColumn("__to", F.sum("__c").over(upto))
+    end = counts.crossJoin(F.broadcast(sizes.select(room))).where("__to >= __room").agg(
+        F.min(F.struct("__range", (F.col("__to") - F.col("__c")).alias("before"), "__room")).alias("__end")
+    )
+    dealt = ranged.crossJoin(F.broadcast(end))
+    whole = dealt.where(F.col("__range") < F.col("__end.__range"))
+    cut = dealt.where(F.col("__range") == F.col("__end.__range"))
+    cut = cut.withColumn("__r", F.row_number().over(Window.partitionBy("__range").orderBy(order)))
+    cut = cut.where(F.col("__r") <= F.col("__end.__room") - F.col("__end.before"))
+    columns = devices.columns
+    return picked.select(columns).union(whole.select(columns)).union(cut.select(columns))
 
 
 def canary_decision(slices: DataFrame, base_fpr: float, canary_fpr: float) -> DataFrame:
