@@ -29,7 +29,8 @@ def regions(boxes: DataFrame) -> DataFrame:
 def serialize(boxes: DataFrame, screen: str = "screen_id") -> DataFrame:
     """One prompt line per screen: regions in reading order, boxes by (y, x) inside each."""
     shown = F.when(F.col("confidence") < LOW_CONFIDENCE, F.concat("text", F.lit(" [low-confidence]")))
-    item = F.struct("y_pct", "x_pct", "seq", F.coalesce(shown, F.col("text")).alias("t"))
+    # Equal places and numbers are ordered by the text itself, not by its marks.
+    item = F.struct("y_pct", "x_pct", "seq", "text", F.coalesce(shown, F.col("text")).alias("t"))
     by_region = (
         regions(boxes).groupBy(screen, "row", "col", "region")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -53,7 +54,7 @@ def serialize_by_corner(boxes: DataFrame, screen: str = "screen_id") -> DataFram
     region = F.concat_ws("-", third("y_pct", ("top", "center", "bottom")), third("x_pct", ("left", "center", "right")))
     mark = F.when(F.col("confidence") < CORNER_UNCERTAIN, " [UNCERTAIN-OCR]").otherwise("")
     line = F.concat(F.lit("["), region, F.lit("]"), mark, F.lit(" "), F.col("text"))
-    item = F.struct("y_pct", "x_pct", "seq", line.alias("t"))
+    item = F.struct("y_pct", "x_pct", "seq", "text", line.alias("t"))
     return boxes.groupBy(screen).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda p: p["t"]), "\n").alias("prompt")
     )
@@ -67,6 +68,25 @@ def mean_confidence(screens: DataFrame, boxes: DataFrame, screen: str = "screen_
     )
 
 
+def shared_signals(shares: DataFrame, boxes: DataFrame, key_version: int = 1, screen: str = "screen_id") -> DataFrame:
+    """The envelope in which shared content travels: ``key_version, created_at_ms, source_kind, structured_prompt, ocr_mean_confidence``.
+
+    ``shares`` has a screen, ``created_at_ms`` and ``text``. A shared text is its
+    own prompt and has no confidence; anything else is a picture, described by its
+    boxes (none: an empty prompt and confidence 0).
+    """
+    prompts = serialize_by_corner(boxes, screen)
+    means = mean_confidence(shares, boxes, screen).dropDuplicates([screen])
+    out = shares.join(prompts, screen, "left").join(means, screen, "left")
+    plain = F.col("text").isNotNull()
+    return out.select(
+        screen, F.lit(key_version).alias("key_version"), "created_at_ms",
+        F.when(plain, "shared_text").otherwise("shared_image_ocr").alias("source_kind"),
+        F.when(plain, F.col("text")).otherwise(F.coalesce("prompt", F.lit(""))).alias("structured_prompt"),
+        F.when(~plain, F.col("mean_confidence")).alias("ocr_mean_confidence"),
+    )
+
+
 def from_unit(boxes: DataFrame) -> DataFrame:
     """Boxes from bottom-left unit coordinates to top-left percent."""
     return boxes.select(

@@ -73,13 +73,15 @@ def history_of_pruned(spark, sf_dir):
 
 
 def demo_links(spark, sf_dir):
-    """Five demonstration incidents just reach the anonymity floor."""
-    return incidents.exposable(incidents.edges(fixtures.demo_reports(spark))).select("a", "b", "corroboration")
+    """Every supplier reports the same three patterns of its nation: nations with five suppliers reach the anonymity floor."""
+    ids = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("nation"))
+    rows = fixtures.reports_of(ids).withColumn("node", F.concat_ws("@", "node", "nation"))
+    return incidents.exposable(incidents.edges(rows)).select("a", "b", "corroboration")
 
 
 def generated_scan(spark, sf_dir):
-    """Scan strategies agree on generated messages of which about a third carry a cue."""
-    rows = fixtures.synthetic_messages(spark, 3000)
+    """Scan strategies agree on a generated message for every event, of which about a third carry a cue."""
+    rows = fixtures.messages_of(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id")))
     counts = [
         F.count_if(F.size(f"hits_{s}") > 0).alias(s) for s in cascade.STRATEGIES
     ]
@@ -87,7 +89,7 @@ def generated_scan(spark, sf_dir):
         rows = rows.withColumn(f"hits_{name}", scan(F.col("text")))
     same = F.count_if((F.col("hits_naive") == F.col("hits_prescreen")) & (F.col("hits_naive") == F.col("hits_automaton")))
     out = rows.agg(F.count("*").alias("n"), same.alias("agree"), *counts)
-    return out.select("n", "agree", F.col("naive").between(800, 1000).alias("about_a_third"))
+    return out.select("n", "agree", (F.col("naive") / F.col("n")).between(0.26, 0.34).alias("about_a_third"))
 
 
 def device_scan(spark, sf_dir):
@@ -139,9 +141,10 @@ def _oracles() -> dict[str, str]:
             n AS (SELECT kind, value, count(DISTINCT doc_id) AS n FROM raw GROUP BY 1, 2) SELECT kind, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS reports, max(n) AS most FROM n GROUP BY 1""",
         "history_of_pruned": f"""WITH {intel._REPORTS}, asked AS (SELECT 'crypto_wallet:' || c_custkey AS node FROM customer
           UNION SELECT node FROM aged WHERE age >= 90 AND node NOT IN (SELECT node FROM ends)) SELECT node, node IN (SELECT node FROM reports) AS recorded FROM asked""",
-        "demo_links": """SELECT a, b, 5 AS corroboration FROM (VALUES ('payee_account:demo-payee', 'phone_number:15550100'), ('payee_account:demo-payee', 'script_hash:demo-script'),
+        "demo_links": """WITH n AS (SELECT s_nationkey AS k, count(*) AS c FROM supplier GROUP BY 1 HAVING count(*) >= 5)
+          SELECT a || '@' || k AS a, b || '@' || k AS b, c AS corroboration FROM n, (VALUES ('payee_account:demo-payee', 'phone_number:15550100'), ('payee_account:demo-payee', 'script_hash:demo-script'),
             ('phone_number:15550100', 'script_hash:demo-script')) t(a, b)""",
-        "generated_scan": "SELECT 3000 AS n, 3000 AS agree, true AS about_a_third",
+        "generated_scan": "SELECT count(*) AS n, count(*) AS agree, true AS about_a_third FROM events",
         "device_scan": "SELECT p_partkey % 2 <> 0 AS sideloaded, count(*) AS n FROM part GROUP BY 1",
     }
 

@@ -379,16 +379,23 @@ def _figures(found: DataFrame, *keys: str) -> DataFrame:
     return found.select(*keys, "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in _FIGURES])
 
 
+def _heard(spark, sf_dir) -> DataFrame:
+    """Customers as recipients: each hears one of the labelled messages, which are a dozen fixed rows."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("person"))
+    said = fixtures.corpus(spark, evasion=True)
+    return people.join(F.broadcast(said), F.pmod("person", F.lit(len(fixtures.CORPUS))) == F.col("id")).drop("id").withColumnRenamed("person", "id")
+
+
 def eval_corpus(spark, sf_dir):
-    """The labelled corpus, without and with the row that only its history gives away."""
-    every = _judged(fixtures.corpus(spark, evasion=True)).withColumn("evasion", F.contains("note", F.lit(fixtures.EVASION)))
+    """The labelled messages, without and with the one that only its history gives away."""
+    every = _judged(_heard(spark, sf_dir)).withColumn("evasion", F.contains("note", F.lit(fixtures.EVASION)))
     both = every.where("NOT evasion").withColumn("rows", F.lit("plain")).union(every.withColumn("rows", F.lit("all")))
     return _figures(evaluation.confusion(both, F.col("is_manipulation"), F.col("surfaced"), ["rows"]), "rows")
 
 
 def eval_by_age_and_language(spark, sf_dir):
-    """Both slicings of the corpus in one pass."""
-    rows = _judged(fixtures.corpus(spark))
+    """Both slicings of the labelled messages in one pass."""
+    rows = _judged(_heard(spark, sf_dir).where(~F.contains("note", F.lit(fixtures.EVASION))))
     found = evaluation.confusion_by_each(rows, F.col("is_manipulation"), F.col("surfaced"), ["age_bracket", "language"])
     return _figures(found, "slice", "value")
 
@@ -534,8 +541,9 @@ def _oracles() -> dict[str, str]:
     corpus = ", ".join(
         f"({i}, {_quoted(t)}, {y}, {_quoted(a)}, {_quoted(g)}, {_quoted(n)})" for i, (t, y, a, g, n) in enumerate(fixtures.CORPUS)
     )
-    of_corpus = f"SELECT id AS conv_id, 0 AS turn, '' AS role, {_PLAIN.format('text')} FROM (VALUES {corpus}) c(id, text, y, age, language, note)"
-    labelled = f"(VALUES {corpus}) c(id, text, y, age, language, note) JOIN surf ON conv_id = id"
+    heard = f"customer JOIN (VALUES {corpus}) c(id, text, y, age, language, note) ON c_custkey % {len(fixtures.CORPUS)} = id"
+    of_corpus = f"SELECT c_custkey AS conv_id, 0 AS turn, '' AS role, {_PLAIN.format('text')} FROM {heard}"
+    labelled = f"{heard} JOIN surf ON conv_id = c_custkey"
     of_docs = f"SELECT doc_id AS conv_id, 0 AS turn, lang AS role, {_PLAIN.format('text')} FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL"
     plain = f"SELECT conv_id, turn, role, {_PLAIN.format('text')} FROM conversations"
     strong_docs = " OR ".join(f"contains(lower(text), {_quoted(c)})" for c in X.JUNK_STRONG)

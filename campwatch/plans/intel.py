@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from campwatch.functions import model_output
+from campwatch.functions import evidence, model_output
 from campwatch.functions import text as X
 from campwatch.operators import federated, graph, incidents, vector_index, vectors
-from campwatch.sources import feeds
+from campwatch.sources import feeds, report_feed
 from campwatch.streaming import view
 
 NOW = "1998-12-01"
@@ -60,7 +60,7 @@ def indicator_counts(spark, sf_dir):
     )
 
 
-def feed_parse(spark, sf_dir):
+def _feed_lines(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
     kind = F.element_at(F.array(*map(F.lit, (*feeds.KINDS, "unknown"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     line = F.concat_ws(
@@ -68,7 +68,11 @@ def feed_parse(spark, sf_dir):
         F.when(F.col("o_orderkey") % 7 == 0, "5d").otherwise(F.col("o_orderkey").cast("string")),
         F.when(F.col("o_orderkey") % 11 == 0, "a,b").otherwise("tok"),
     )
-    return feeds.parse_lines(orders.select("o_orderkey", line.alias("value")))
+    return orders.select("o_orderkey", line.alias("value"))
+
+
+def feed_parse(spark, sf_dir):
+    return feeds.parse_lines(_feed_lines(spark, sf_dir))
 
 
 def incident_pairs(spark, sf_dir):
@@ -294,11 +298,35 @@ def secure_rounds(spark, sf_dir):
     return out.select("round", "success", "cohort_size", F.round(F.col("aggregate")[0], 6).alias("first"), F.size("aggregate").cast("long").alias("size"))
 
 
-def epsilon_of_successes(spark, sf_dir):
-    """Privacy spent over rounds of which every third is deferred."""
-    rounds = spark.range(1, 61).select(
-        F.col("id").alias("round"), F.lit(4.0).alias("noise_multiplier"), F.lit(0.01).alias("sampling_rate"), (F.col("id") % 3 != 0).alias("success")
+def _rounds(spark, sf_dir):
+    """Months as training rounds: the share of all orders is the sampling rate."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    months = orders.groupBy(F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM").alias("round")).agg(F.count("*").alias("n"))
+    whole = F.broadcast(orders.agg(F.count("*").alias("total")))
+    return months.crossJoin(whole).select("round", "n", F.lit(4.0).alias("noise_multiplier"), (F.col("n") / F.col("total")).alias("sampling_rate"))
+
+
+def cited_links(spark, sf_dir):
+    """Exposed links as cited evidence, rendered."""
+    links = incidents.exposable(incidents.edges(reports(spark, sf_dir)))
+    cites = links.select(F.array(evidence.cite_link(F.col("a"), F.col("b"), F.col("corroboration"))).alias("cites"))
+    return cites.select(F.inline("cites"), evidence.render(F.col("cites")).alias("lines"))
+
+
+def feed_source(spark, sf_dir):
+    """The lines of ``feed_parse`` written as a feed and read by the data source, with what it dropped."""
+    folder = f"{graph.shared_folder(spark)}/feed-{uuid.uuid4().hex[:12]}"
+    _feed_lines(spark, sf_dir).select("value").write.text(folder)
+    report_feed.register(spark)
+    rows = spark.read.format("report_feed").option("counts", "true").load(folder)
+    return rows.groupBy(F.coalesce("pattern_kind", F.lit("dropped")).alias("pattern_kind")).agg(
+        F.sum(F.when(F.col("pattern_kind").isNotNull(), 1).otherwise(F.col("malformed"))).alias("lines"), F.sum("reported_epoch").alias("epochs")
     )
+
+
+def epsilon_of_successes(spark, sf_dir):
+    """Privacy spent over months as rounds; a month of an odd number of orders is deferred."""
+    rounds = _rounds(spark, sf_dir).withColumn("success", F.col("n") % 2 == 0).drop("n")
     return federated.epsilon_of_successes(rounds).select("round", "success", F.round("epsilon", 6).alias("epsilon"))
 
 
@@ -319,8 +347,7 @@ def softmax_scores(spark, sf_dir):
 
 
 def rdp_epsilon(spark, sf_dir):
-    rounds = spark.range(1, 101).select(F.col("id").alias("round"), F.lit(4.0).alias("noise_multiplier"), F.lit(0.01).alias("sampling_rate"))
-    return federated.epsilon(rounds).select("round", F.round("epsilon", 6).alias("epsilon"))
+    return federated.epsilon(_rounds(spark, sf_dir).drop("n")).select("round", F.round("epsilon", 6).alias("epsilon"))
 
 
 def canary_cohort(spark, sf_dir):
@@ -331,7 +358,7 @@ def canary_cohort(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        script_hash, script_reuse, extract_indicators, indicator_counts, feed_parse, incident_pairs,
+        script_hash, script_reuse, extract_indicators, indicator_counts, feed_parse, feed_source, cited_links, incident_pairs,
         corroboration_counts, k_anonymous_edges, incremental_links, k_anonymous_nodes, live_risk_nodes, isolated_prune,
         tier_demote, sms_blocklist, degree_clustering, bfs_hops, pagerank_personalized,
         suspicion_topk, graph_paths, betweenness_topk, betweenness_sampled, chokepoint_fallback,
@@ -353,6 +380,8 @@ ends AS (SELECT a AS node FROM exposed UNION SELECT b FROM exposed),
 aged AS (SELECT *, (epoch(TIMESTAMP '1998-12-01') - last_seen) / 86400.0 AS age FROM nodes),
 cold AS (SELECT node FROM aged WHERE age >= 150 AND node NOT IN (
   SELECT a FROM exposed JOIN aged ON b = node WHERE age < 150 UNION SELECT b FROM exposed JOIN aged ON a = node WHERE age < 150))"""
+_ROUNDS = """rounds AS (SELECT strftime(o_orderdate::DATE, '%Y-%m') AS r, count(*) AS n, count(*) / sum(count(*)) OVER () AS rate FROM orders GROUP BY 1),
+alphas AS (SELECT i / 2.0::DOUBLE AS a FROM range(3, 64) u(i))"""
 _PHONE = r"list_distinct(list_filter(list_transform(regexp_extract_all(text, '\+?\d(?:[\d\-\s().]{6,})\d'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: length(d) >= 8))"
 _WALLET = r"list_distinct(regexp_extract_all(text, '\b(?:bc1[a-z0-9]{20,}|0x[a-fA-F0-9]{40}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b'))"
 _SCRIPT = r"substr(sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 32)"
@@ -406,8 +435,13 @@ ORACLES = {
     "secure_rounds": """WITH v AS (SELECT 'all' AS round, embedding[1]::DOUBLE AS x FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT 'few', embedding[1]::DOUBLE FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id < 60),
       r AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY x) AS r, count(*) OVER (PARTITION BY round) AS n FROM v)
       SELECT round, n >= 50 AS success, n AS cohort_size, CASE WHEN n >= 50 THEN round(avg(x) FILTER (r > floor(n * 0.1) AND r <= n - floor(n * 0.1)), 6) END AS first, CASE WHEN n >= 50 THEN 64 END AS size FROM r GROUP BY round, n""",
-    "epsilon_of_successes": """SELECT r AS round, r % 3 <> 0 AS success, round(min((r - r // 3) * (a / 32.0 * 0.01) + ln(100000) / (a - 1)), 6) AS epsilon
-      FROM range(1, 61) t(r), (SELECT i / 2.0 AS a FROM range(3, 64) u(i)) GROUP BY r""",
+    "epsilon_of_successes": f"""WITH {_ROUNDS}, s AS (SELECT r, n % 2 = 0 AS success, sum(CASE WHEN n % 2 = 0 THEN rate ELSE 0 END) OVER (ORDER BY r) AS spent FROM rounds)
+      SELECT r AS round, success, round(min(a / 32.0::DOUBLE * spent + ln(100000) / (a - 1)), 6) AS epsilon FROM s, alphas GROUP BY r, success""",
+    "cited_links": f"""WITH {_REPORTS} SELECT 'graph_link' AS kind, a || ' <-> ' || b AS value, 'corroborating_reports=' || corroboration AS locator,
+      '- Matches a pattern reported by other users: ' || a || ' <-> ' || b AS lines FROM exposed""",
+    "feed_source": """WITH l AS (SELECT (['payee_account', 'phone_number', 'script_hash', 'crypto_wallet', 'unknown'])[o_orderkey % 5 + 1] AS kind, o_orderkey AS k,
+      o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 5 <> 4 AS good FROM orders)
+      SELECT CASE WHEN good THEN kind ELSE 'dropped' END AS pattern_kind, count(*) AS lines, sum(CASE WHEN good THEN k::DOUBLE END) AS epochs FROM l GROUP BY 1""",
     "noise_spread": "SELECT true AS centred, true AS spread",
     "softmax_scores": """WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)) AS e FROM embeddings)
       SELECT vec_id, round(e[1] / list_sum(e), 6) AS p0, round(e[2] / list_sum(e), 6) AS p1, round(e[3] / list_sum(e), 6) AS p2, round(e[4] / list_sum(e), 6) AS p3 FROM e""",
@@ -421,8 +455,8 @@ ORACLES = {
       SELECT pos, round(avg(x), 6) AS mean, count(*) AS kept FROM r WHERE r > floor(n * 0.1) AND r <= n - floor(n * 0.1) GROUP BY 1""",
     "mask_cancellation": """WITH f AS (SELECT unnest(range(0, 64)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)
       SELECT pos, round(sum(x), 3) AS total FROM f GROUP BY 1""",
-    "rdp_epsilon": """SELECT r AS round, round(min(r * (a / 32.0 * 0.01) + ln(100000) / (a - 1)), 6) AS epsilon
-      FROM range(1, 101) t(r), (SELECT i / 2.0 AS a FROM range(3, 64) u(i)) GROUP BY r""",
+    "rdp_epsilon": f"""WITH {_ROUNDS}, s AS (SELECT r, sum(rate) OVER (ORDER BY r) AS spent FROM rounds)
+      SELECT r AS round, round(min(a / 32.0::DOUBLE * spent + ln(100000) / (a - 1)), 6) AS epsilon FROM s, alphas GROUP BY r""",
     "canary_cohort": """WITH d AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) <= 3 AS picked FROM customer),
       n AS (SELECT greatest(count(*) FILTER (picked), CAST(floor(count(*) * 0.01::DOUBLE) AS BIGINT)) AS n FROM d),
       o AS (SELECT *, row_number() OVER (ORDER BY picked DESC, c_custkey) AS r FROM d) SELECT c_custkey, c_mktsegment FROM o, n WHERE r <= n""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from campwatch.functions import text
+from campwatch.functions import evidence, text
 from campwatch.operators import conversation, device, evaluation, federated, ocr, transaction
 from campwatch.sources import feeds, store
 from campwatch.streaming import folds, live
@@ -185,7 +185,10 @@ def warning_registry(spark, sf_dir):
 
 
 def retry_delay(spark, sf_dir):
-    return spark.range(0, 12).select(F.col("id").alias("attempt"), federated.retry_delay(F.col("id")).alias("delay"))
+    """A user's errors as failed attempts."""
+    failed = events(spark, sf_dir).where("event_type = 'error'")
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("us", "event_id")) - 1
+    return failed.select("event_id", nth.cast("long").alias("attempt")).withColumn("delay", federated.retry_delay(F.col("attempt")))
 
 
 def canary_decision(spark, sf_dir):
@@ -247,6 +250,25 @@ def ocr_mean_confidence(spark, sf_dir):
     return found.select("screen_id", F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
+def shared_signals(spark, sf_dir):
+    """Orders as shares: every third is a text, every seventh picture has no boxes left."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("text "), F.col("o_custkey").cast("string")))
+    shares = orders.select(F.col("o_orderkey").alias("screen_id"), (F.col("o_custkey") * 1000).alias("created_at_ms"), text.alias("text"))
+    found = ocr.shared_signals(shares, _boxes(spark, sf_dir).where("screen_id % 7 <> 0"))
+    return found.withColumn("ocr_mean_confidence", F.round("ocr_mean_confidence", 6))
+
+
+def citations_of_kinds(spark, sf_dir):
+    """Permissions of apps and regions of screens as cited evidence, rendered."""
+    apps = device.triad_findings(_apps(spark, sf_dir))
+    package = F.concat(F.lit("app."), F.col("p_partkey").cast("string"))
+    permissions = apps.select(F.transform("matched", lambda p: evidence.cite_permission(p, package)).alias("cites"))
+    boxes = ocr.regions(_boxes(spark, sf_dir)).where("confidence >= 0.9")
+    seen = boxes.select(F.array(evidence.cite_region(F.col("text"), F.col("region"))).alias("cites"))
+    return permissions.union(seen).select(F.inline("cites"), evidence.render(F.col("cites")).alias("lines"))
+
+
 def elapsed_since_prev(spark, sf_dir):
     out = conversation.elapsed(events(spark, sf_dir), "user_id", "us", ["us", "event_id"])
     return out.select("event_id", "elapsed_since_prev")
@@ -301,7 +323,7 @@ QUERIES = {
         ocr_heal, release_gates, ewma_changepoints, token_bucket, debounce, thermal_states, wake_reasons,
         sync_abort, circuit_breaker, warning_registry, retry_delay, canary_decision, payment_links,
         feed_blob, screen_text, ocr_from_unit, ocr_by_corner, ocr_mean_confidence, elapsed_since_prev,
-        latency_summary, stage_totals, recording_sessions, key_values, rekey_due,
+        latency_summary, stage_totals, shared_signals, citations_of_kinds, recording_sessions, key_values, rekey_due,
     )
 }
 
@@ -406,6 +428,16 @@ ORACLES = {
     "circuit_breaker": f"WITH {_EV} SELECT user_id, count(*) FILTER (event_type = 'error') AS crashes, count(*) FILTER (event_type = 'error') >= 3 AS tripped FROM ev GROUP BY 1",
     "warning_registry": f"""WITH {_EV}, l AS (SELECT user_id, k, arg_max(event_type, (us, event_id)) AS a FROM ev GROUP BY 1, 2)
       SELECT user_id, count(*) FILTER (a <> 'purchase') AS unresolved FROM l GROUP BY 1""",
-    "retry_delay": "SELECT i AS attempt, least(3600.0::DOUBLE, 30 * pow(2.0::DOUBLE, i)) AS delay FROM range(0, 12) t(i)",
+    "retry_delay": f"""WITH {_EV}, a AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS attempt FROM ev WHERE event_type = 'error')
+      SELECT event_id, attempt, least(3600.0::DOUBLE, 30 * pow(2.0::DOUBLE, attempt)) AS delay FROM a""",
+    "shared_signals": f"""WITH {_BOX}, b AS (SELECT screen_id, avg(confidence) AS mean, string_agg('[' || CASE WHEN y < 33 THEN 'top' WHEN y < 66 THEN 'center' ELSE 'bottom' END || '-' || CASE WHEN x < 33 THEN 'left' WHEN x < 66 THEN 'center' ELSE 'right' END || ']'
+        || CASE WHEN confidence < 0.5::DOUBLE THEN ' [UNCERTAIN-OCR]' ELSE '' END || ' ' || text, chr(10) ORDER BY y, x, seq, text) AS prompt FROM boxes WHERE screen_id % 7 <> 0 GROUP BY 1)
+      SELECT o_orderkey AS screen_id, 1 AS key_version, o_custkey * 1000 AS created_at_ms, CASE WHEN o_orderkey % 3 = 0 THEN 'shared_text' ELSE 'shared_image_ocr' END AS source_kind,
+        CASE WHEN o_orderkey % 3 = 0 THEN 'text ' || o_custkey ELSE coalesce(prompt, '') END AS structured_prompt, CASE WHEN o_orderkey % 3 <> 0 THEN round(coalesce(mean, 0.0::DOUBLE), 6) END AS ocr_mean_confidence
+      FROM orders LEFT JOIN b ON screen_id = o_orderkey""",
+    "citations_of_kinds": f"""WITH {_BOX}, p AS (SELECT p_partkey, unnest(['ACCESSIBILITY_SERVICE', 'BIND_DEVICE_ADMIN', 'SYSTEM_ALERT_WINDOW']) AS name FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0)
+      SELECT 'permission_name' AS kind, name AS value, 'package=app.' || p_partkey AS locator,
+        '- App permission: ACCESSIBILITY_SERVICE' || chr(10) || '- App permission: BIND_DEVICE_ADMIN' || chr(10) || '- App permission: SYSTEM_ALERT_WINDOW' AS lines FROM p
+      UNION ALL SELECT 'ocr_region', text, 'region=' || region, '- On screen (' || region || '): "' || text || '"' FROM named WHERE confidence >= 0.9::DOUBLE""",
     "payment_links": """SELECT o_orderkey, 'u' || o_custkey || '@bank' AS payee, o_custkey::DOUBLE AS amount FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0""",
 }

@@ -34,8 +34,14 @@ def corpus(spark: SparkSession, evasion: bool = False) -> DataFrame:
 
 def demo_reports(spark: SparkSession, incidents: int = 5, start: float = 1_700_000_000.0) -> DataFrame:
     """Reports of a few incidents that all name the same phone, account and script: ``incident, ts, node``."""
+    return reports_of(spark.range(incidents), start)
+
+
+def reports_of(ids: DataFrame, start: float = 1_700_000_000.0) -> DataFrame:
+    """One such incident for each ``id``; further columns stay."""
     named = F.array(*[F.lit(n) for n in ("phone_number:15550100", "payee_account:demo-payee", "script_hash:demo-script")])
-    return spark.range(incidents).select(
+    return ids.select(
+        *[c for c in ids.columns if c != "id"],
         F.concat(F.lit("demo-"), F.col("id").cast("string")).alias("incident"),
         (F.lit(start) + F.col("id") * 60).alias("ts"),
         F.explode(named).alias("node"),
@@ -44,6 +50,11 @@ def demo_reports(spark: SparkSession, incidents: int = 5, start: float = 1_700_0
 
 def synthetic_messages(spark: SparkSession, n: int, seed: int = 1, share: float = 0.3) -> DataFrame:
     """``id, text``: 20 to 120 words by hash, of which ``share`` of the messages carry a cue."""
+    return messages_of(spark.range(n), seed, share)
+
+
+def messages_of(ids: DataFrame, seed: int = 1, share: float = 0.3) -> DataFrame:
+    """One such message for each ``id``."""
     cues = F.array(*[F.lit(c) for t in T.SCORED for c in T.CUES[t]])
     letters = F.array(*[F.lit(w) for w in ("ba", "lo", "mi", "ru", "te", "sa", "ko", "ne")])
 
@@ -56,6 +67,6 @@ def synthetic_messages(spark: SparkSession, n: int, seed: int = 1, share: float
     words = F.transform(F.sequence(F.lit(1), (drawn(101, F.lit("n")) + 20).cast("int")), word)
     cue = F.element_at(cues, (drawn(F.size(cues), F.lit("cue")) + 1).cast("int"))
     body = F.array_join(words, " ")
-    return spark.range(n).select(
+    return ids.select(
         "id", F.when(drawn(1000, F.lit("has")) < int(share * 1000), F.concat(body, F.lit(" "), cue)).otherwise(body).alias("text")
     )
