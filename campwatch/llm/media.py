@@ -39,8 +39,8 @@ RATE, UP, DOWN = 24_000, 2, 3
 FRAME, HOP, MELS, BINS = 256, 128, 24, 8
 TAPS = 16
 FRAMES_AT_ONCE = 1 << 13
-#: Rows of one file of features.
-ROWS_PER_FILE = 20_000
+#: Rows of one file of features, and bytes of the recordings they describe.
+ROWS_PER_FILE, BYTES_PER_FILE = 20_000, 64 << 20
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (BINS, MELS))
 STORED = pa.schema(
     [("row_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
@@ -234,7 +234,7 @@ def _writer(folder: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
-        rows = []
+        rows, held = [], 0
 
         def flush():
             name = f"{uuid.uuid4().hex}.arrow"
@@ -249,9 +249,11 @@ def _writer(folder: str):
         for batch in batches:
             for i, n, media in zip(*batch.columns, strict=True):
                 rows.append(describe(i.as_py(), n.as_py(), media.as_py()))
-                if len(rows) == ROWS_PER_FILE:
+                # Spans are lists of the recording's length, about a value for so many bytes.
+                held += media.as_buffer().size if media.is_valid else 0
+                if len(rows) == ROWS_PER_FILE or held >= BYTES_PER_FILE:
                     yield flush()
-                    rows = []
+                    rows, held = [], 0
         if rows:
             yield flush()
 

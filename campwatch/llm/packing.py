@@ -78,8 +78,10 @@ class ByteEncoder:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _ranked(self, spec: dict):
-        import tiktoken
-
+        try:
+            import tiktoken
+        except ModuleNotFoundError:
+            return None
         byte = _byte_of_char()
         ranks = {
             bytes(byte[c] for c in token): i

@@ -5,13 +5,16 @@ one with the largest id is the response, the others are revisit records that
 refer to it. Every task writes gzipped archives of bounded size into the shared
 folder, each under its final name only once it is complete.
 
-Reading goes through the archives again and writes one locally sorted run of
-index entries per archive. An external merge orders them: a bounded sample of
-keys splits the order (URL key, timestamp, id, archive, offset) into ranges of
-about RANGE_ROWS entries, which no two entries tie in, so a URL with very many
-captures is spread over tasks; each run is cut at the splitters, its sorted
-segments go to the task of their range, and a loser tree merges them there. The
-result, partition after partition, is the globally ordered capture history.
+Reading goes through the archives again, each opened by its name in a task, and
+writes sorted runs of up to RUN_ROWS index entries. An external merge orders
+them: a bounded sample of keys splits the order (URL key, timestamp, id, archive,
+offset) into ranges of about RANGE_ROWS entries, which no two entries tie in, so
+a URL with very many captures is spread over tasks; each run is cut at the
+splitters, its sorted segments go to the task of their range, and a loser tree
+merges them there. More than FAN_IN runs are first merged FAN_IN at a time, round
+by round, each group in wider ranges of as many entries, so no tree has more
+leaves and no segment gets tiny. The result, partition after partition, is the
+globally ordered capture history.
 
 Pages without a capture time get one from their id, which lies between EPOCH and
 SPAN seconds after it whatever the id.
@@ -29,7 +32,6 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
-import posixpath
 import re
 import uuid
 import zlib
@@ -38,7 +40,8 @@ from datetime import UTC, datetime
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from campwatch.llm._common import PLACE, forget, fresh_path, place_columns, placed, saved, table
@@ -52,6 +55,8 @@ EPOCH, SPAN = 1_704_067_200, 1_000_000_000
 RANGE_ROWS, KEYS_PER_RANGE = 50_000, 20
 #: Most keys that reach the driver; beyond it ranges get longer.
 MOST_KEYS = 200_000
+#: Entries a task sorts at once into a run, runs that one merge takes, and archives a task reads.
+RUN_ROWS, FAN_IN, ARCHIVES = 200_000, 256, 8
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = (
     "url_key string, captured long, page_id long, archive string, offset long, record_type string, "
@@ -59,6 +64,7 @@ ENTRY = (
 )
 NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 KINDS = [pa.string() if "string" in c else pa.int64() for c in ENTRY.split(", ")]
+RUN = ENTRY + ", run long"
 
 
 def url_key(url: str) -> str:
@@ -222,16 +228,34 @@ def _order(entry: tuple) -> tuple:
     return entry[0], entry[1], entry[2] is None, entry[2] or 0, entry[3], entry[4]
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One locally sorted run of entries per archive."""
-    for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            run = []
-            for offset, record in members(content.as_buffer()):
-                key, when, page, *rest = parse(record)
-                run.append((key, when, page, posixpath.basename(path.as_py()), offset, *rest))
-            run.sort(key=_order)
-            yield _batch(run)
+def _read(folder: str):
+    """Sorted runs of the entries of a task's archives, numbered by task and run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        held: list[tuple] = []
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{path}/{name}") as source:
+                    content = source.read_buffer()
+                for offset, record in members(content):
+                    key, when, page, *rest = parse(record)
+                    held.append((key, when, page, name, offset, *rest))
+                    if len(held) >= RUN_ROWS:
+                        yield from _run_batches(sorted(held, key=_order), number)
+                        held, number = [], number + 1
+        yield from _run_batches(sorted(held, key=_order), number)
+
+    return run
+
+
+def _run_batches(rows: list[tuple], number: int) -> Iterator[pa.RecordBatch]:
+    for o in range(0, len(rows), 10_000):
+        part = _batch(rows[o : o + 10_000])
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array([number] * part.num_rows, pa.int64())], [*NAMES, "run"])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -259,18 +283,19 @@ def _segments(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = shared.value
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            ranges, parts, held = [], [], []
-            for row in rows:
+            runs, ranges, parts = [], [], []
+            for *row, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = bisect.bisect_right(cuts, _order(row))
                 # A batch may hold the end of one run and the beginning of the next.
-                if not held or at != ranges[-1] or row[3] != held[-1][3]:
-                    held = []
+                if not parts or at != ranges[-1] or number != runs[-1]:
+                    runs.append(number)
                     ranges.append(at)
-                    parts.append(held)
-                held.append(row)
-            packed = [_pack(p) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(packed, pa.binary())], ["range", "segment"])
+                    parts.append([])
+                parts[-1].append(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(runs, pa.int64()), pa.array(ranges, pa.int32()), pa.array([_pack(p) for p in parts], pa.binary())],
+                ["run", "range", "segment"],
+            )
 
     return run
 
@@ -349,19 +374,53 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(out)
 
 
-def capture_history(archives: DataFrame, folder: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def _merge_group(key: tuple, cell: pa.Table) -> Iterator[pa.RecordBatch]:
+    """What a group of runs has in one range, as a piece of the group's own run."""
+    out = []
+    for row in LoserTree([_unpack(x) for x in cell.column("segment")]):
+        out.append(row)
+        if len(out) == 10_000:
+            yield from _run_batches(out, key[0].as_py())
+            out = []
+    yield from _run_batches(out, key[0].as_py())
+
+
+def merge_round(runs: DataFrame, cuts: list[tuple], fan_in: int, dense: DataFrame | None = None) -> DataFrame:
+    """Every ``fan_in`` runs become one; ``dense`` numbers them from 0 if their own numbers have gaps."""
+    cut = runs.mapInArrow(_segments(runs.sparkSession.sparkContext.broadcast(cuts)), "run long, range int, segment binary")
+    if dense is not None:
+        cut = cut.join(dense, "run").select(F.col("dense").alias("run"), "range", "segment")
+    group = F.floor(F.col("run") / fan_in).cast("long").alias("run")
+
+    def merged(key: tuple, cell: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([*_merge_group(key, cell)])
+
+    return cut.select(group, "range", "segment").groupBy("run", "range").applyInArrow(merged, RUN)
+
+
+def capture_history(archives: DataFrame, folder: str, range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Entries of all records in the named archives, globally ordered by URL key and time."""
     spark = archives.sparkSession
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    named = archives.select("archive").distinct()
-    files = files.select("path", "content").join(
-        named, F.substring_index("path", "/", -1) == F.col("archive"), "left_semi"
-    )
-    runs = saved(files.mapInArrow(_read, ENTRY), "capture-runs")
-    entries = archives.agg(F.sum("records")).first()[0] or 0
+    told = archives.agg(F.sum("records").alias("n"), F.count("*").alias("archives")).first()
+    entries, tasks = told["n"] or 0, max(1, min(told["archives"], max(spark.sparkContext.defaultParallelism, -(-told["archives"] // ARCHIVES))))
+    names = archives.select("archive").distinct().repartition(tasks, "archive")
+    runs = saved(names.mapInArrow(_read(folder), RUN), "capture-runs")
     cuts = splitters(runs, entries, range_rows)
-    cut = runs.mapInArrow(_segments(spark.sparkContext.broadcast(cuts)), "range int, segment binary")
-    return cut.repartitionById(len(cuts) + 1, "range").mapInArrow(_merge, ENTRY)
+    # One row a run, so RUN_ROWS times fewer than entries.
+    numbers = runs.select("run").distinct().withColumn("dense", F.row_number().over(Window.orderBy("run")) - 1)
+    many = numbers.count()
+    dense = None
+    if many > fan_in:
+        # Segments, which are small rows, are what meets the dense numbers.
+        dense = saved(numbers, "run-numbers")
+    while many > fan_in:
+        groups = -(-many // fan_in)
+        ranges = max(1, -(-entries // (groups * range_rows)))
+        merged = saved(merge_round(runs, cuts[:: max(1, len(cuts) // ranges)], fan_in, dense), "capture-runs")
+        forget(runs)
+        runs, many, dense = merged, groups, None
+    cut = runs.mapInArrow(_segments(spark.sparkContext.broadcast(cuts)), "run long, range int, segment binary")
+    return cut.select("range", "segment").repartitionById(len(cuts) + 1, "range").mapInArrow(_merge, ENTRY)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

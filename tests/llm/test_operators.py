@@ -613,17 +613,24 @@ def test_archives_of_odd_ids_times_and_tables(spark, tmp_path):
     assert warc.op4(spark, str(tmp_path)).count() == 0
 
 
-def test_history_is_merged_from_many_segments(spark, monkeypatch):
+@pytest.mark.parametrize("fan_in", [256, 3])
+def test_history_is_merged_from_many_segments(spark, monkeypatch, fan_in):
     from campwatch.llm._common import fresh_path
 
     monkeypatch.setattr(warc, "ROLL", 2000)
+    monkeypatch.setattr(warc, "RUN_ROWS", 40)
     # A third of all captures are of one URL at one time.
     pages = [(i if i % 3 else 3, f"http://h{i % 7 if i % 3 else 0}.org/{i % 5 if i % 3 else ''}", f"p{i}") for i in range(600)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(6)
     folder = fresh_path(spark, "warc")
     archives = warc.write_archives(warc.assign(df), folder)
     assert archives.count() > 12
-    history = warc.capture_history(archives, folder, range_rows=40)
+    rounds = []
+    real = warc.merge_round
+    monkeypatch.setattr(warc, "merge_round", lambda *a: rounds.append(a[2]) or real(*a))
+    history = warc.capture_history(archives, folder, range_rows=40, fan_in=fan_in)
+    # More than nine runs meet three at a time: two rounds before the last merge.
+    assert len(rounds) == (0 if fan_in == 256 else 2)
     parts = history.select(F.spark_partition_id().alias("p"), *warc.NAMES).collect()
     sizes = {}
     for r in parts:
