@@ -236,7 +236,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     rows, place = placed(df)
     gone = exact_dedup(rows, id_col, text_col, place=place).where("NOT kept").select(*PLACE)
-    return without(rows, place, saved(gone, "copies"), df.columns)
+    return without(rows, place, gone, df.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

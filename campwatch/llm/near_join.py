@@ -518,7 +518,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     best = found.groupBy("root").agg(F.min(rank).alias("best"))
     same = [F.col(c) == F.col(f"best.{c}") for c in PLACE]
     gone = found.join(best, "root").where(~(same[0] & same[1] & same[2])).select(*PLACE)
-    return without(rows, place, saved(gone, "near-copies"), df.columns)
+    return without(rows, place, gone, df.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

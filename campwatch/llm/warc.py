@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from campwatch.llm._common import PLACE, forget, fresh_path, place_columns, placed, saved, table
+from campwatch.llm._common import PLACE, forget, fresh_path, marks, place_columns, placed, saved, table
 
 LEAST = 1000
 ROLL = 8 << 20
@@ -108,12 +108,9 @@ def assign(pages: DataFrame, least: int = LEAST, time_col: str | None = None) ->
         .drop("copies")
     )
     other = ~F.col("page_id").eqNullSafe(F.col("owner"))
-    revisits = saved(
-        slim.join(owners, ["digest", "size"]).where(other).select(F.col("owner").alias("refers_to"), *PLACE),
-        "revisits",
-    )
+    refers = marks(slim.join(owners, ["digest", "size"]).where(other), "owner")
     forget(slim)
-    return rows.join(revisits, PLACE, "left").drop(*PLACE)
+    return rows.withColumn("refers_to", refers(PLACE)).drop(*PLACE)
 
 
 def _record(page_id, url: str, html: str, digest: str, size: int, captured: int, refers_to) -> bytes:
