@@ -28,13 +28,16 @@ def cue_hits(lowered: Column, edge: bool = False) -> Column:
     The scan is written out cue by cue, so it runs as compiled code; no cue
     contains the separator.
     """
-    found = []
-    for t in T.TACTICS:
-        cues = [F.when(F.contains(lowered, F.lit(c)), c) for c in T.cues(t, edge)]
-        joined = F.concat_ws(SEPARATOR, *cues)
-        hit = F.struct(F.lit(t).alias("tactic"), F.split(joined, SEPARATOR).alias("spans"))
-        found.append(F.when(joined != "", hit))
-    return F.array_compact(F.array(*found))
+    joined = F.array(*[
+        F.concat_ws(SEPARATOR, *[F.when(F.contains(lowered, F.lit(c)), c) for c in T.cues(t, edge)]) for t in T.TACTICS
+    ])
+    names = F.array(*[F.lit(t) for t in T.TACTICS])
+    # A name bound in a lambda is computed once; a column used twice would scan every text again.
+    named = F.transform(joined, lambda j, i: F.struct(F.element_at(names, i + 1).alias("tactic"), j.alias("joined")))
+    return F.transform(
+        F.filter(named, lambda h: h["joined"] != ""),
+        lambda h: F.struct(h["tactic"].alias("tactic"), F.split(h["joined"], SEPARATOR).alias("spans")),
+    )
 
 
 @lru_cache(maxsize=2)
@@ -84,8 +87,21 @@ def automaton_hits(lowered: Column, edge: bool = False) -> Column:
 
 def any_cue(lowered: Column) -> Column:
     """Whether one union pattern of all cues matches."""
-    every = sorted({c for t in T.TACTICS for c in T.CUES[t]}, key=len)
-    return F.rlike(lowered, F.lit("|".join(r"\Q" + c + r"\E" for c in every)))
+    return F.rlike(lowered, F.lit(_union(frozenset(c for t in T.TACTICS for c in T.CUES[t]))))
+
+
+def _union(cues: frozenset[str]) -> str:
+    """A pattern of all cues that tries common beginnings once, by code point."""
+    rest: dict[str, set[str]] = {}
+    for cue in cues:
+        rest.setdefault(cue[:1], set()).add(cue[1:])
+    whole = rest.pop("", None) is not None
+    parts = [r"\Q" + first + r"\E" + _union(frozenset(rest[first])) for first in sorted(rest)]
+    if len(parts) < 2 and not whole:
+        return "".join(parts)
+    if not parts:
+        return ""
+    return "(?:" + "|".join(parts) + ")" + ("?" if whole else "")
 
 
 def prescreened_hits(lowered: Column, edge: bool = False) -> Column:

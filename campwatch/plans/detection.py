@@ -6,6 +6,8 @@ of phrases to each turn, chosen by its number; the SQL does the same.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +49,14 @@ PHRASES = (
 KEYS = ["conv_id", "turn"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than cores is dealt to all of them; larger ones stay as they are."""
+def spread(df: DataFrame, rows: int = 2_000) -> DataFrame:
+    """Rows dealt out evenly, ``rows`` to a task, and to all cores at least.
+
+    The number of splits of a scan says little: a file of one row group is one
+    task, however many splits it has. A count reads the files' footers only.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, math.ceil(df.count() / rows)))
 
 
 def turns(spark: SparkSession, sf_dir: str, inject: bool = True) -> DataFrame:
