@@ -131,7 +131,9 @@ def scan(df: DataFrame, text_col: str = "text", variant: str = "server", strateg
     """Adds ``norm``, ``hits`` and ``tier0``; ``strategy`` is one of STRATEGIES."""
     edge = variant == "edge"
     norm = X.normalize_edge(F.col(text_col)) if edge else X.normalize(F.col(text_col))
-    out = df.withColumn("norm", norm).withColumn("hits", STRATEGIES[strategy](F.lower("norm"), edge))
+    # A column of its own: within the scan every cue would lower the text again.
+    lowered = df.withColumn("norm", norm).withColumn("__lowered", F.lower("norm"))
+    out = lowered.withColumn("hits", STRATEGIES[strategy](F.col("__lowered"), edge)).drop("__lowered")
     scored = F.filter("hits", lambda h: h["tactic"] != T.CALMING)
     return out.withColumn("tier0", tier0(scored if edge else F.col("hits")))
 

@@ -86,13 +86,18 @@ def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.gate_edge(scored)
 
 
+def _hit_rows(scanned: DataFrame) -> DataFrame:
+    """One row a hit. ``inline`` would filter by its array first, below the scan, and so scan twice, in the tasks of the file."""
+    return scanned.select("conv_id", "turn", F.inline_outer("hits")).where("tactic IS NOT NULL")
+
+
 def cue_scan(spark, sf_dir):
-    hits = cascade.scan(turns(spark, sf_dir)).select("conv_id", "turn", F.inline("hits"))
+    hits = _hit_rows(cascade.scan(turns(spark, sf_dir)))
     return hits.select("conv_id", "turn", "tactic", F.size("spans").cast("long").alias("n"), F.array_join("spans", "|").alias("spans"))
 
 
 def _hit_counts(spark, sf_dir, strategy):
-    found = cascade.scan(turns(spark, sf_dir), strategy=strategy).select("conv_id", "turn", F.inline("hits"))
+    found = _hit_rows(cascade.scan(turns(spark, sf_dir), strategy=strategy))
     return found.groupBy("tactic").agg(F.count("*").alias("turns"), F.sum(F.size("spans")).alias("hits"))
 
 

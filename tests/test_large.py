@@ -24,3 +24,10 @@ def test_union_pattern_is_all_cues(spark):
     rows = [(c,) for c in cues] + [(c[:-1],) for c in cues] + [("x" + c + "y",) for c in cues] + [(None,)]
     found = spark.createDataFrame(rows, "t string").select("t", cascade.any_cue(F.col("t")).alias("any")).collect()
     assert all(r["any"] == (None if r["t"] is None else any(c in r["t"] for c in cues)) for r in found)
+
+
+def test_scan_is_not_repeated_below_the_shuffle(spark):
+    """A filter by the hits, pushed below, would scan in the file's own tasks, and lower the text for every cue."""
+    plan = detection.cue_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("RoundRobinPartitioning"):]
+    assert "Contains(" not in below and plan.count("lower(") < 3
