@@ -242,6 +242,56 @@ def candidates(queries: DataFrame, index: Index, k: int, probes: int | None = No
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= keep * k).drop("r")
 
 
+def _pack_rows(rows: int):
+    """Blocks of up to ``rows`` ids and vectors, as bytes of doubles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for o in range(0, batch.num_rows, rows):
+                part = batch.slice(o, rows)
+                full = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([full.tobytes()], pa.binary())], ["ids", "vecs"]
+                )
+
+    return run
+
+
+def _compare_all(k: int, metric: str):
+    """Of every pair of blocks, the ``k`` nearest of each query by full vectors, ties by id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                qid, ids = (np.frombuffer(batch.column(c)[r].as_buffer(), np.int64) for c in (0, 2))
+                q, v = (np.frombuffer(batch.column(c)[r].as_buffer(), float).reshape(len(i), -1) for c, i in ((1, qid), (3, ids)))
+                far = 1 - q @ v.T if metric == "cosine" else np.stack([np.sqrt(((v - x) ** 2).sum(1)) for x in q])
+                best = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(qid, best.shape[1])), pa.array(ids[best.reshape(-1)]), pa.array(np.take_along_axis(far, best, 1).reshape(-1))],
+                    ["qid", "vid", "distance"],
+                )
+
+    return run
+
+
+def search_all(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """The ``k`` nearest of each query among all that is indexed, every vector compared: ``search`` without its bounds.
+
+    Codes are not looked at, as no number of vectors kept by them is sure to hold
+    the neighbours. The work is queries times vectors, in blocks of both.
+    """
+    if not len(index.centroids):
+        return queries.sparkSession.createDataFrame([], "qid long, vid long, distance double, rank int")
+    q = _clean(queries.select(F.col("qid").alias("vid"), F.col("qvec").alias("vec")), index.metric)
+    one = q.mapInArrow(_pack_rows(QUERIES), "ids binary, vecs binary").select(F.col("ids").alias("q"), F.col("vecs").alias("qv"))
+    stored = queries.sparkSession.read.parquet(f"{index.folder}/vectors").select("vid", "vec")
+    two = stored.mapInArrow(_pack_rows(CODES), "ids binary, vecs binary")
+    found = one.crossJoin(two).mapInArrow(_compare_all(k, index.metric), "qid long, vid long, distance double")
+    best = Window.partitionBy("qid").orderBy("distance", "vid")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def search(queries: DataFrame, index: Index, k: int, probes: int | None = None, keep: int = KEEP) -> DataFrame:
     """The ``k`` nearest of each query (qid, qvec), by exact distance: ``qid, vid, distance, rank``."""
     if not len(index.centroids):
