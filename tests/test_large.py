@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from campwatch.functions import taxonomy as T
-from campwatch.operators import cascade
+from campwatch.operators import cascade, graph, vector_index, vectors
 from campwatch.plans import detection
 
 
@@ -31,3 +31,37 @@ def test_scan_is_not_repeated_below_the_shuffle(spark):
     plan = detection.cue_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("RoundRobinPartitioning"):]
     assert "Contains(" not in below and plan.count("lower(") < 3
+
+
+def test_a_round_of_a_ranking_is_a_small_plan(spark, monkeypatch):
+    """Plans of several rounds, and tables broadcast in each, filled the driver."""
+    plans = []
+    settle = graph.settle
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settle(df)
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(0, 3)], "a long, b long")
+    monkeypatch.setattr(graph, "settle", noted)
+    graph.personalized_pagerank(edges, spark.createDataFrame([(0,)], "node long"), tolerance=1e-2).count()
+    graph.eigenvector(edges, tolerance=1e-2).count()
+    assert max(p.count("Join ") for p in plans) <= 3
+
+
+def test_no_time_means_no_betweenness(spark, monkeypatch):
+    monkeypatch.setattr(graph, "betweenness", None)
+    line = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
+    assert graph.chokepoints(line, 1, budget_s=-1.0).first()["method"] == "eigenvector_fallback"
+
+
+def test_every_vector_is_compared_whatever_its_code(spark, tmp_path):
+    """Many vectors with one code: those kept by code are not the nearest."""
+    rows = [(i, [1000.0 * (i % 2), 1e-4 * ((i * 7919) % 3000)]) for i in range(3000)]
+    v = spark.createDataFrame(rows, "vid long, vec array<float>")
+    q = v.where("vid % 100 = 0").selectExpr("vid AS qid", "vec AS qvec")
+    index = vector_index.build(v, str(tmp_path / "index"), cells=1)
+    got = {tuple(r) for r in vector_index.search_all(q, index, 5).select("qid", "rank", "vid").collect()}
+    assert got == {tuple(r) for r in vectors.exact_top_k(q, v, 5).select("qid", "rank", "vid").collect()}
+    bounded = vector_index.search(q, index, 5, probes=1, keep=64).select("qid", "rank", "vid").collect()
+    assert got != {tuple(r) for r in bounded}
