@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from campwatch.functions import taxonomy as T
 from campwatch.operators import cascade, graph, vector_index, vectors
-from campwatch.plans import detection
+from campwatch.plans import detection, intel
 
 
 def test_scan_is_dealt_by_rows_not_by_splits(spark, tmp_path):
@@ -65,3 +65,14 @@ def test_every_vector_is_compared_whatever_its_code(spark, tmp_path):
     assert got == {tuple(r) for r in vectors.exact_top_k(q, v, 5).select("qid", "rank", "vid").collect()}
     bounded = vector_index.search(q, index, 5, probes=1, keep=64).select("qid", "rank", "vid").collect()
     assert got != {tuple(r) for r in bounded}
+
+
+def test_reports_broadcast_no_table_and_pairs_are_dealt_by_size(spark, monkeypatch):
+    """Small files may hold large tables; every task held a copy of all orders."""
+    monkeypatch.setattr(intel, "LINES", 500)
+    links = intel.k_anonymous_edges(spark, "/root/testdata/sf0.001")
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in joins if "_orderkey" in line or "_partkey" in line]
+    pieces = intel._pieces(spark, "/root/testdata/sf0.001")
+    assert pieces >= 12 and f", {pieces}), REPARTITION_BY_NUM" in plan
