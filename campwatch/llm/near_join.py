@@ -23,6 +23,11 @@ of its bucket, in the second all other blocks whose boxes (a level of the tree
 above the blocks) pass the bound and which are not of the same component. Only
 the boxes are paired; members go to the pairs of blocks that are left.
 
+Two members that share much meet in many buckets. Each member carries the
+OWNERS fullest of its buckets; a pair that has some of them in common belongs to
+the one of the lowest number, where it is sure to meet, and no other bucket
+gives it. A pair without one is given by every bucket it meets in.
+
 Equal sets are one node, found by a 128-bit set hash, so exact copies never
 meet in a bucket.
 
@@ -57,6 +62,8 @@ BLOCK_ROWS = 256
 LEAF = 8
 #: Members whose trees are built together, about.
 FOREST_ROWS = 2048
+#: Buckets that a member carries to tell which of them gives a pair.
+OWNERS = 16
 #: Each salt puts the members of a large bucket in another order, whose first is a leader.
 LEADER_SALTS = (1, 2, 3, 4)
 
@@ -264,11 +271,35 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of longs as rows of equal length, and which entries are real."""
+    found = column.combine_chunks()
+    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+    many = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    real = np.arange(int(many.max(initial=0))) < many[:, None]
+    out = np.zeros(real.shape, np.int64)
+    out[real] = found.flatten().to_numpy(zero_copy_only=False)
+    return out, real
+
+
+def _given_here(sig: np.ndarray, owners: np.ndarray, real: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a pair belongs to the bucket it was met in, or to none."""
+    out = np.ones(len(i), bool)
+    for o in range(0, len(i), 1 << 13):
+        p, q = i[o : o + (1 << 13)], j[o : o + (1 << 13)]
+        same = (owners[p][:, :, None] == owners[q][:, None, :]) & real[p][:, :, None] & real[q][:, None, :]
+        common = same.any(2)
+        least = np.where(common, owners[p], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+        out[o : o + (1 << 13)] = ~common.any(1) | (least == sig[p])
+    return out
+
+
 def _search(num: int, den: int, nearest: bool):
-    """Pairs of each cell by its tree: ``cell, side, nid, root, n, cv``.
+    """Pairs of each cell by its tree: ``cell, side, nid, root, n, cv, sig, owners``.
 
     Of a cell of two blocks (sides 0 and 1) only pairs across are wanted. With
-    ``nearest`` every member has one pair at most, else all pairs of different roots.
+    ``nearest`` every member has one pair at most, else all pairs of different
+    roots; of these, the pairs that do not belong to another bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +314,8 @@ def _search(num: int, den: int, nearest: bool):
                 best = np.lexsort((nid[i], -bound, j))
                 best = best[np.flatnonzero(np.diff(j[best], prepend=-1))]
                 i, j = i[best], j[best]
+            here = _given_here(whole.column("sig").to_numpy(), *_lists(whole.column("owners")), i, j)
+            i, j = i[here], j[here]
             a, b = np.minimum(nid[i], nid[j]), np.maximum(nid[i], nid[j])
             found = np.unique(np.stack([a, b], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
@@ -290,9 +323,21 @@ def _search(num: int, den: int, nearest: bool):
     return run
 
 
+def _met(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+    """Pairs as the cells give them."""
+    dealt = cells.select("cell", "side", "nid", "root", "n", "cv", "sig", "owners").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(K.tidy(_search(num, den, nearest)), "a long, b long")
+
+
 def _searched(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
-    dealt = cells.select("cell", "side", "nid", "root", "n", "cv").repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(K.tidy(_search(num, den, nearest)), "a long, b long").distinct()
+    return _met(cells, num, den, nearest).distinct()
+
+
+def _with_owners(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """``nid, n, cv, owners``: points with the fullest of their buckets among ``members`` (``sig, members, nid``)."""
+    full = F.array_sort(F.collect_list(F.struct((-F.col("members")).alias("most"), F.xxhash64("sig").alias("h"), "sig")))
+    owners = members.groupBy("nid").agg(F.slice(full, 1, OWNERS)["sig"].alias("owners"))
+    return nodes.select("nid", "n", "cv").join(owners, "nid", "left")
 
 
 def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +392,10 @@ def _verify(df, pairs, nodes, id_col, text_col, k, num, den, name):
 
 
 def _first_cells(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Cells of the first search: blocks of each bucket, with its leaders in every block."""
+    """Cells of the first search: blocks of each bucket, with its leaders in every block.
+
+    Only buckets of one block are sure to let two of their members meet, so only they own pairs.
+    """
     blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
     spread = members.withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("nid", "sig"), F.col("blocks")).cast("int")
@@ -359,8 +407,8 @@ def _first_cells(members: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     rows = spread.select("sig", "nid", own.alias("block"))
     rows = rows.union(leaders.join(rows, ["sig", "nid", "block"], "left_anti"))
-    return rows.join(nodes.select("nid", "n", "cv"), "nid").select(
-        F.xxhash64("sig", "block").alias("cell"), F.lit(2).alias("side"), "nid", F.col("nid").alias("root"), "n", "cv"
+    return rows.join(_with_owners(nodes, members.where(F.col("members") <= BLOCK_ROWS)), "nid").select(
+        F.xxhash64("sig", "block").alias("cell"), F.lit(2).alias("side"), "nid", F.col("nid").alias("root"), "n", "cv", "sig", "owners"
     )
 
 
@@ -369,9 +417,9 @@ def _second_cells(open_rows: DataFrame, nodes: DataFrame, num: int, den: int) ->
 
     ``open_rows`` (``sig, members, nid, n, root``) is a written table.
     """
-    points = nodes.select("nid", "cv")
+    points = _with_owners(nodes, open_rows.select("sig", "members", "nid")).select("nid", "cv", "owners")
     small = open_rows.where(F.col("members") <= BLOCK_ROWS).join(points, "nid").select(
-        F.col("sig").alias("cell"), F.lit(2).alias("side"), "nid", "root", "n", "cv"
+        F.col("sig").alias("cell"), F.lit(2).alias("side"), "nid", "root", "n", "cv", "sig", "owners"
     )
     large = open_rows.where(F.col("members") > BLOCK_ROWS)
     # A component with many members in the bucket has blocks of its own, which need not meet.
@@ -405,7 +453,7 @@ def _second_cells(open_rows: DataFrame, nodes: DataFrame, num: int, den: int) ->
     sides = pairs.select(cell, F.when(same, 2).otherwise(0).alias("side"), F.col("block1").alias("block")).union(
         pairs.where(~same).select(cell, F.lit(1).alias("side"), F.col("block2").alias("block"))
     )
-    return small.union(rows.join(sides, "block").select("cell", "side", "nid", "root", "n", "cv"))
+    return small.union(rows.join(sides, "block").select("cell", "side", "nid", "root", "n", "cv", "sig", "owners"))
 
 
 def jaccard_components(
