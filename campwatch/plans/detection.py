@@ -81,6 +81,12 @@ def server_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.flags(rows, KEYS)
 
 
+def _surfaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaced flags. A filter by the verdict would be pushed below the gate, and spell the gate out for its every use."""
+    flag = F.struct("tactic", "confidence", "verdict", "reason", "evidence")
+    return server_flags(spark, sf_dir).select(*KEYS, F.inline_outer(F.array(flag))).where("verdict = 'surfaced'")
+
+
 def edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cascade.refine(cascade.scan(turns(spark, sf_dir), variant="edge"), variant="edge")
     return grounding.gate_edge(scored)
@@ -179,7 +185,7 @@ def turn_index(spark, sf_dir):
 
 
 def conversation_summary(spark, sf_dir):
-    kept = server_flags(spark, sf_dir).where("verdict = 'surfaced'")
+    kept = _surfaced(spark, sf_dir)
     flags = F.transform("flags", lambda f: F.concat_ws(":", f["turn"].cast("string"), f["tactic"]))
     return conversation.summary(kept).select("conv_id", F.array_join(flags, ",").alias("flags"))
 
@@ -252,7 +258,7 @@ def equity_regressions(spark, sf_dir):
 
 
 def flag_explanations(spark, sf_dir):
-    kept = server_flags(spark, sf_dir).where("verdict = 'surfaced'")
+    kept = _surfaced(spark, sf_dir)
     return kept.select(*KEYS, "tactic", evidence.explain_flag(F.col("tactic"), F.col("evidence")).alias("why"), evidence.tip(F.col("tactic")).alias("tip"))
 
 
@@ -325,7 +331,7 @@ def grounding_prompts(spark, sf_dir):
 
 def _surfaced_array(spark, sf_dir) -> DataFrame:
     """Surfaced flags by turn, with a model's rationale for one tactic."""
-    kept = server_flags(spark, sf_dir).where("verdict = 'surfaced'")
+    kept = _surfaced(spark, sf_dir)
     rationale = F.when(F.col("tactic") == T.URGENCY, "rush")
     flag = F.struct("confidence", "tactic", "evidence", rationale.alias("rationale"))
     return kept.groupBy(*KEYS).agg(F.collect_list(flag).alias("flags"))

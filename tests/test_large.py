@@ -87,3 +87,11 @@ def test_a_text_with_a_wallet_agrees_with_the_sql(spark, tmp_path):
     base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(base.execute(campaign.ORACLES["detected_incidents"]).fetchall())
     assert sorted(tuple(r) for r in campaign.detected_incidents(spark, str(tmp_path)).collect()) == want
+
+
+def test_a_filter_by_the_verdict_does_not_repeat_the_gate(spark):
+    """The gate was spelled out in the filter for every use of a confidence, with its searches."""
+    plan = detection.flag_explanations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter (" in line]
+    assert filters and not [line for line in filters if "Contains(" in line or "RLIKE" in line.upper()]
+    assert max(map(len, filters)) < 2_000
