@@ -6,7 +6,7 @@ from campwatch.llm import near_join
 
 
 def test_a_pair_is_given_by_one_bucket(spark, monkeypatch):
-    """Texts of one passage, each without another piece of it, share buckets of ever other members."""
+    """Results against brute force. Too small to fail without owners; ``test_shared_buckets_give_a_pair_once`` does."""
     passage = [f"p{i}" for i in range(400)]
     rows = []
     for d in range(40):
@@ -47,3 +47,21 @@ def test_owners_are_buckets_of_both(spark):
         mine = {s: m for s, m, n in rows if n == r["nid"]}
         assert len(r["owners"]) == min(near_join.OWNERS, len(mine)) and set(r["owners"]) <= set(mine)
         assert min(mine[s] for s in r["owners"]) >= max([m for s, m in mine.items() if s not in r["owners"]], default=0)
+
+
+def _given(owners):
+    """Rows that twenty shared buckets, each in a task of its own, give for one pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    cv = near_join.count_vector(np.arange(50, dtype=np.uint64) << np.uint64(56))
+    rows = 0
+    for sig in range(20):
+        columns = {"cell": [sig] * 2, "side": [2] * 2, "nid": [1, 2], "root": [1, 2], "n": [50] * 2, "cv": [cv] * 2,
+                   "sig": [sig] * 2, "owners": pa.array([owners] * 2, pa.list_(pa.int64()))}
+        rows += sum(b.num_rows for b in near_join._search(80, 100, False)(iter([pa.RecordBatch.from_pydict(columns)])))
+    return rows
+
+
+def test_shared_buckets_give_a_pair_once():
+    assert _given(list(range(4, 20))) == 1 and _given([]) == 20
