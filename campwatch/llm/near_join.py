@@ -28,6 +28,10 @@ OWNERS fullest of its buckets; a pair that has some of them in common belongs to
 the one of the lowest number, where it is sure to meet, and no other bucket
 gives it. A pair without one is given by every bucket it meets in.
 
+Pairs are verified in two steps. A vector with about a group a shingle bounds the
+overlap closely for sets of any size, and is a tenth of a set; only the sets of
+pairs that pass are shipped to each other.
+
 Equal sets are one node, found by a 128-bit set hash, so exact copies never
 meet in a bucket.
 
@@ -91,6 +95,21 @@ def count_vector(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype("u1").tobytes()
 
 
+def fine_vector(shingles: np.ndarray) -> bytes:
+    """Shingles per group, with as many groups as the largest power of two that is no more than the shingles."""
+    bits = max(len(shingles).bit_length() - 1, 1)
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype("u1").tobytes()
+
+
+def fine_bound(x: np.ndarray, y: np.ndarray) -> int | None:
+    """The most that two sets of these fine vectors can share; None if a group is too full to tell."""
+    if x.max() == 255 or y.max() == 255:
+        return None
+    x, y = (v.reshape(min(len(x), len(y)), -1).sum(1, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _points(vectors: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(vectors.to_pylist()), "u1").reshape(-1, GROUPS)
 
@@ -158,15 +177,38 @@ def _describe(k: int, num: int, den: int, common):
 def _shingles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, full = [], []
+            node, fine, full = [], [], []
+
+            def flush():
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(node), pa.array(fine, pa.binary()), pa.array(full, pa.binary())], ["node", "fine", "full"]
+                )
+
             for _, own in _sets(batch, k):
                 node.append(node_of(own))
+                fine.append(fine_vector(own))
                 full.append(own.tobytes())
                 if sum(map(len, full[-64:])) > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(full, pa.binary())], ["node", "full"])
-                    node, full = [], []
+                    yield flush()
+                    node, fine, full = [], [], []
             if node:
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(full, pa.binary())], ["node", "full"])
+                yield flush()
+
+    return run
+
+
+def _may_link(num: int, den: int):
+    """Pairs whose fine vectors leave room for the overlap that the threshold needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), "u1") for c in (2, 3))
+                most = fine_bound(x, y)
+                sizes = int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64))
+                keep[i] = most is None or most * (num + den) >= num * sizes
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
@@ -335,7 +377,8 @@ def _searched(cells: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
 
 def _with_owners(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """``nid, n, cv, owners``: points with the fullest of their buckets among ``members`` (``sig, members, nid``)."""
-    full = F.array_sort(F.collect_list(F.struct((-F.col("members")).alias("most"), F.xxhash64("sig").alias("h"), "sig")))
+    # What is collected is shipped; shingles are hashes, so their own order does among buckets of one size.
+    full = F.array_sort(F.collect_list(F.struct((-F.col("members")).cast("int").alias("most"), "sig")))
     owners = members.groupBy("nid").agg(F.slice(full, 1, OWNERS)["sig"].alias("owners"))
     return nodes.select("nid", "n", "cv").join(owners, "nid", "left")
 
@@ -374,23 +417,29 @@ def _verify(df, pairs, nodes, id_col, text_col, k, num, den, name):
     ids = wanted.select(F.col("row_id").alias("__id")).distinct()
     texts = df.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"))
     texts = texts.join(ids, F.col("__own").eqNullSafe(F.col("__id")), "left_semi")
-    full = texts.mapInArrow(K.tidy(_shingles(k)), "node binary, full binary")
-    full = saved(
-        full.join(wanted.select("node", "nid"), "node").dropDuplicates(["nid"]).select("nid", "full"),
-        f"{name}-sets",
-    )
-    both = pairs.join(full.select(F.col("nid").alias("a"), F.col("full").alias("fa")), "a").join(
-        full.select(F.col("nid").alias("b"), F.col("full").alias("fb")), "b"
-    )
+    full = texts.mapInArrow(K.tidy(_shingles(k)), "node binary, fine binary, full binary")
+    # Rows that share an id may share a text. One shuffle, by set, drops the copies and numbers the sets.
+    full = full.groupBy("node").agg(F.any_value("fine").alias("fine"), F.any_value("full").alias("full"))
+    full = saved(full.join(wanted.select("node", "nid").hint("merge"), "node").select("nid", "fine", "full"), f"{name}-sets")
+    close = saved(_both(pairs, full, "fine").mapInArrow(K.tidy(_may_link(num, den)), "a long, b long"), f"{name}-close")
+    ends = close.select(F.col("a").alias("nid")).union(close.select("b")).distinct()
+    both = _both(close, full.join(ends, "nid", "left_semi"), "full")
     links = saved(
-        both.select("a", "b", "fa", "fb").mapInArrow(K.tidy(_overlap(num, den)), "a long, b long"),
+        both.mapInArrow(K.tidy(_overlap(num, den)), "a long, b long"),
         f"{name}-links",
     )
-    for done in (wanted, full):
+    for done in (wanted, full, close):
         forget(done)
     return links
 
 
+def _both(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
+    """``a, b`` with a column of the sets of both."""
+    one = sets.select(F.col("nid").alias("a"), F.col(what).alias("fa"))
+    two = sets.select(F.col("nid").alias("b"), F.col(what).alias("fb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb")
+
+
 def _first_cells(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Cells of the first search: blocks of each bucket, with its leaders in every block.
 
