@@ -1,12 +1,19 @@
 """Faults that show only on large, skewed or odd tables."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from campwatch.functions import taxonomy as T
-from campwatch.operators import cascade, graph, vector_index, vectors
+from campwatch.operators import cascade, graph, pair_sums, vector_index, vectors
 from campwatch.plans import campaign, detection, intel
 
 
+_ROWS = pa.schema([("slot", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("rose", pa.int64()), ("last_active", pa.float64())])
+_BLOCKS = pa.schema([("slot", pa.int32()), ("n", pa.int32()), ("size", pa.int32()), ("pairs", pa.binary())])
+
+
 def test_scan_is_dealt_by_rows_not_by_splits(spark, tmp_path):
     """One row group cut into many splits is one task with rows; all tasks must get some."""
     spark.range(40_000).coalesce(1).write.parquet(str(tmp_path / "one"))
@@ -95,3 +102,38 @@ def test_a_filter_by_the_verdict_does_not_repeat_the_gate(spark):
     filters = [line for line in plan.splitlines() if "Filter (" in line]
     assert filters and not [line for line in filters if "Contains(" in line or "RLIKE" in line.upper()]
     assert max(map(len, filters)) < 2_000
+
+
+def _exchanged_rows(spark) -> int:
+    context = spark.sparkContext
+    none, doubles = context._gateway.jvm.java.util.ArrayList(), context._gateway.new_array(context._gateway.jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(none, False, False, doubles, none)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_the_view_exchanges_reports_and_not_pairs(spark):
+    """Every pair was a row of several exchanges: 200,000 rows for these 6,000 lines."""
+    before = _exchanged_rows(spark)
+    found = intel.incremental_links(spark, "/root/testdata/sf0.001")
+    assert found.count() > 0
+    assert _exchanged_rows(spark) - before < 100_000
+
+
+def test_packed_sums_are_the_sums(spark, monkeypatch):
+    """Odd names and times, blocks of several chunks, and all slots."""
+    rng = random.Random(5)
+    names = ["", "a", "\0", "é", "z" * 300, "phone_number:1", *(f"n{i}" for i in range(20))]
+    times = [None, float("nan"), float("inf"), float("-inf"), -2.5, -1.0, 0.0, 3.25, 8.64e8]
+    rows = [(rng.choice(names), rng.choice(names), rng.randrange(3), rng.choice(times[:1] if i % 3 else times)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string, rose long, last_active double")
+    want = df.groupBy("a", "b").agg(F.sum("rose").alias("rose"), F.max("last_active").alias("last_active"))
+    key = lambda r: tuple(map(repr, r))
+    for slots in (1, 7):
+        assert sorted(map(key, pair_sums.summed(df, slots).collect())) == sorted(map(key, want.collect()))
+    assert pair_sums.summed(df.where("false"), 3).count() == 0
+    monkeypatch.setattr(pair_sums, "CHUNK", 250)
+    batches = [pa.RecordBatch.from_pylist([{"slot": len(a) % 5, "a": a, "b": b, "rose": n, "last_active": t} for a, b, n, t in rows[i : i + 100]], _ROWS) for i in range(0, 3000, 100)]
+    blocks = [x for b in pair_sums._packed(batches) for x in b.to_pylist()]
+    assert len(blocks) > 12 and len({b["slot"] for b in blocks}) == len({len(a) % 5 for a, *_ in rows})
+    got = [r for slot in {b["slot"] for b in blocks} for r in pair_sums._merged(pa.Table.from_pylist([b for b in blocks if b["slot"] == slot], _BLOCKS)).to_pylist()]
+    assert sorted(key(r.values()) for r in got) == sorted(map(key, want.collect()))
