@@ -137,3 +137,14 @@ def test_packed_sums_are_the_sums(spark, monkeypatch):
     assert len(blocks) > 12 and len({b["slot"] for b in blocks}) == len({len(a) % 5 for a, *_ in rows})
     got = [r for slot in {b["slot"] for b in blocks} for r in pair_sums._merged(pa.Table.from_pylist([b for b in blocks if b["slot"] == slot], _BLOCKS)).to_pylist()]
     assert sorted(key(r.values()) for r in got) == sorted(map(key, want.collect()))
+
+
+def test_wedges_are_dealt_by_the_number_of_edges(spark, monkeypatch):
+    """A task of a join of Spark's own grew with the table, by its share of the wedges."""
+    monkeypatch.setattr(graph, "EDGES", 10)
+    edges = spark.createDataFrame([(i, j) for i in range(12) for j in range(i + 1, 12)] + [(0, 12)], "a long, b long")
+    found = graph.clustering(edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count(", 7), REPARTITION_BY_NUM") == 2
+    got = {r["node"]: (r["degree"], r["triangles"]) for r in found.collect()}
+    assert got == {0: (12, 55), 12: (1, 0)} | {i: (11, 55) for i in range(1, 12)}
