@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -148,3 +149,32 @@ def test_wedges_are_dealt_by_the_number_of_edges(spark, monkeypatch):
     assert "LeftSemi" not in plan and plan.count(", 7), REPARTITION_BY_NUM") == 2
     got = {r["node"]: (r["degree"], r["triangles"]) for r in found.collect()}
     assert got == {0: (12, 55), 12: (1, 0)} | {i: (11, 55) for i in range(1, 12)}
+
+
+def _hubs(spark, hubs=9, leaves=400):
+    """Every hub linked to nearly every leaf, and to no hub: nearly bipartite."""
+    return spark.createDataFrame([(h, 100 + i) for h in range(hubs) for i in range(leaves) if (i + h) % 7], "a long, b long").union(
+        spark.createDataFrame([(0, 1)], "a long, b long")
+    )
+
+
+def _matrix(edges):
+    pairs = [tuple(r) for r in edges.collect()]
+    nodes = sorted({x for p in pairs for x in p})
+    at, a = {x: i for i, x in enumerate(nodes)}, np.zeros((len(nodes), len(nodes)))
+    for x, y in pairs:
+        a[at[x], at[y]] = a[at[y], at[x]] = 1.0
+    return nodes, a
+
+
+def test_eigenvector_settles_on_a_nearly_bipartite_graph(spark):
+    """Powers of the matrix swing between hubs and leaves; they took more than 200 rounds at 60 times sf0.1."""
+    edges = _hubs(spark)
+    nodes, a = _matrix(edges)
+    want = dict(zip(nodes, np.abs(np.linalg.eigh(a)[1][:, -1])))
+    got = {r["node"]: r["score"] for r in graph.eigenvector(edges, rounds=20).collect()}
+    assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in nodes) < 1e-5
+    ranked = graph.chokepoints(edges, 5, exact_up_to=0, budget_s=-1.0).collect()
+    assert {r["method"] for r in ranked} == {"eigenvector_fallback"} and len(ranked) == 5
+    two = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert abs(graph.eigenvector(two, rounds=1).first()["score"] - 0.5**0.5) < 1e-12
