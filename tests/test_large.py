@@ -178,3 +178,16 @@ def test_eigenvector_settles_on_a_nearly_bipartite_graph(spark):
     assert {r["method"] for r in ranked} == {"eigenvector_fallback"} and len(ranked) == 5
     two = spark.createDataFrame([(1, 2)], "a long, b long")
     assert abs(graph.eigenvector(two, rounds=1).first()["score"] - 0.5**0.5) < 1e-12
+
+
+def test_pagerank_takes_few_rounds(spark):
+    """Every round leaves something in the driver: steps of the walk took more than a hundred."""
+    edges = _hubs(spark)
+    nodes, a = _matrix(edges)
+    home = np.array([float(x in (100, 101)) / 2 for x in nodes])
+    score = home
+    for _ in range(300):
+        score = 0.15 * home + 0.85 * (a / a.sum(1, keepdims=True)).T @ score
+    seeds = spark.createDataFrame([(100,), (101,)], "node long")
+    got = {r["node"]: r["score"] for r in graph.personalized_pagerank(edges, seeds, rounds=16).collect()}
+    assert max(abs(got[x] - s) for x, s in zip(nodes, score)) < 1e-7 and min(got.values()) >= 0
