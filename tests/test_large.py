@@ -191,3 +191,57 @@ def test_pagerank_takes_few_rounds(spark):
     seeds = spark.createDataFrame([(100,), (101,)], "node long")
     got = {r["node"]: r["score"] for r in graph.personalized_pagerank(edges, seeds, rounds=16).collect()}
     assert max(abs(got[x] - s) for x, s in zip(nodes, score)) < 1e-7 and min(got.values()) >= 0
+
+
+def test_betweenness_is_exact_at_any_size(spark, monkeypatch):
+    """Above 300 nodes it was from sampled sources."""
+    monkeypatch.setattr(graph, "VISITED", 50)
+    ring = [(i, (i + 1) % 330) for i in range(330)]
+    found = graph.chokepoints(spark.createDataFrame([*ring, (0, 1000), (1000, 1001), (0, 100), (5, 200)], "a long, b long"), 332).collect()
+    assert {r["method"] for r in found} == {"betweenness_exact"} and len(found) == 332
+    near = {}
+    for a, b in [*ring, (0, 1000), (1000, 1001), (0, 100), (5, 200)]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, paths, order, dep = {s: 0}, {s: 1}, [s], dict.fromkeys(near, 0.0)
+        for u in order:
+            for v in near[u]:
+                if v not in dist:
+                    dist[v], paths[v] = dist[u] + 1, 0
+                    order.append(v)
+                if dist[v] == dist[u] + 1:
+                    paths[v] += paths[u]
+        for v in reversed(order[1:]):
+            want[v] += dep[v]
+            for u in near[v]:
+                if dist[u] == dist[v] - 1:
+                    dep[u] += paths[u] / paths[v] * (1 + dep[v])
+    assert max(abs(r["score"] - want[r["node"]] / (331 * 330)) for r in found) < 1e-12
+    nodes = sorted(near)
+    first = np.cumsum([0, *(len(near[u]) for u in nodes)])
+    other = np.array([nodes.index(v) for u in nodes for v in near[u]], np.int32)
+    monkeypatch.setattr(graph, "VISITED", 2)  # several looks at one level
+    got = graph._brandes(first, other, np.arange(len(nodes)), range(len(nodes)))
+    assert max(abs(x - want[u]) for u, x in zip(nodes, got)) < 1e-6
+
+
+def test_nodes_with_the_same_neighbours_are_one_source(spark):
+    """Hubs and leaves: all leaves of a hub, and those of two, swap places without a change."""
+    pairs = [(0, i) for i in range(10, 15)] + [(h, i) for h in (0, 1) for i in range(20, 24)] + [(1, 30), (30, 31), (0, 31)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(edges).collect()}
+    nodes, a = _matrix(edges)
+    n, dist, paths = len(nodes), np.full(a.shape, 99), np.eye(len(nodes))
+    power = np.eye(n)
+    for d in range(n):
+        new = (power > 0) & (dist == 99)
+        dist[new], paths[new] = d, power[new]
+        power = power @ a
+    for v, node in enumerate(nodes):
+        through = sum(
+            paths[s, v] * paths[v, t] / paths[s, t] for s in range(n) for t in range(n)
+            if len({s, t, v}) == 3 and dist[s, v] + dist[v, t] == dist[s, t]
+        )
+        assert abs(got[node] - through / ((n - 1) * (n - 2))) < 1e-12
