@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from campwatch.functions import taxonomy as T
-from campwatch.operators import cascade, graph, pair_sums, vector_index, vectors
+from campwatch.operators import cascade, graph, incidents, pair_sums, vector_index, vectors
 from campwatch.plans import campaign, detection, intel
+from campwatch.streaming import view
 
 
 _ROWS = pa.schema([("slot", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("rose", pa.int64()), ("last_active", pa.float64())])
@@ -245,3 +246,23 @@ def test_nodes_with_the_same_neighbours_are_one_source(spark):
             if len({s, t, v}) == 3 and dist[s, v] + dist[v, t] == dist[s, t]
         )
         assert abs(got[node] - through / ((n - 1) * (n - 2))) < 1e-12
+
+
+def test_lists_of_a_batch_are_made_once(spark, tmp_path, monkeypatch):
+    """They were made three times, twice for split incidents, of which there are hardly any."""
+    made = []
+    pairs = incidents.pairs
+    monkeypatch.setattr(incidents, "pairs", lambda *a, **k: made.append(k.get("split")) or pairs(*a, **k))
+    small = spark.createDataFrame([(str(i // 4), f"n{i % 7}", float(i)) for i in range(60)], "incident string, node string, ts double")
+    view.apply(small, str(tmp_path / "v"), 0)
+    assert made == [False]
+    plan = pairs(incidents.listed(small.selectExpr("incident", "node", "4L AS n", "ts")), split=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan
+    large = spark.createDataFrame([("x", f"m{i}", 1.0) for i in range(300)] + [("0", "n1", 99.0)], "incident string, node string, ts double")
+    for number in (1, 1):
+        view.apply(large, str(tmp_path / "v"), number)
+    assert made == [False, False, True, False, True]
+    got = sorted(tuple(r) for r in view.links(spark, str(tmp_path / "v")).collect())
+    every = small.union(large).groupBy("incident", "node").agg(F.max("ts").alias("ts"))
+    want = sorted(tuple(r) for r in incidents.edges(every).collect())
+    assert len(got) > 300 * 299 // 2 and [r[:3] for r in got] == [r[:3] for r in want] and got == want
