@@ -266,3 +266,12 @@ def test_lists_of_a_batch_are_made_once(spark, tmp_path, monkeypatch):
     every = small.union(large).groupBy("incident", "node").agg(F.max("ts").alias("ts"))
     want = sorted(tuple(r) for r in incidents.edges(every).collect())
     assert len(got) > 300 * 299 // 2 and [r[:3] for r in got] == [r[:3] for r in want] and got == want
+
+
+def test_a_ranking_that_is_late_anyway_is_not_made(spark, monkeypatch):
+    """All nodes were sorted, and dropped, before the fallback."""
+    noted, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: noted.append(df.columns) or settle(df))
+    line = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
+    assert graph.chokepoints(line, 2, budget_s=-1.0).count() == 2
+    assert noted.count(["node", "score"]) == 1
